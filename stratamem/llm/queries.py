@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratamem.llm import leaks as L
 from stratamem.llm import neighbours as N
 from stratamem.llm import packing as K
+from stratamem.llm import residue as R
 from stratamem.llm import splitting as S
 from stratamem.sources.tables import table
 
@@ -43,7 +45,28 @@ def p6_waste(spark: SparkSession, d: str) -> DataFrame:
     return K.waste(p6_batches(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_chunk_counts, p5_found, p5_neighbours, p6_batches, p6_waste)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return L.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Also passages that differ in up to NEAR_EDITS words."""
+    return L.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=L.NEAR_EDITS)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return R.residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return R.residue(table(spark, d, "documents"))
+
+
+def p8_validation(spark: SparkSession, d: str) -> DataFrame:
+    return R.train(table(spark, d, "documents"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_chunk_counts, p5_found, p5_neighbours, p6_batches, p6_waste, p7_found, p7_near, p8_found, p8_kinds, p8_validation)}
 
 SQL = {
     "p2_found": """
