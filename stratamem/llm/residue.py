@@ -231,7 +231,7 @@ def train(docs: DataFrame) -> tuple[np.ndarray | None, DataFrame]:
             scores = [float(x) for k in range(len(CLASSES)) for x in ((y == k).sum(), ((y == k) & (p == k)).sum() / max(1, (p == k).sum()), ((y == k) & (p == k)).sum() / max(1, (y == k).sum()))]
         return pd.DataFrame({"w": [zlib.compress(w.tobytes())], "scores": [scores]})
 
-    got = sample(docs, docs.count()).groupBy(F.lit(1)).applyInPandas(run, "w binary, scores array<double>").collect()
+    got = sample(docs, docs.count()).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "w binary, scores array<double>").collect()
     s = got[0]["scores"] if got else []
     table = [(c, int(s[3 * k]), s[3 * k + 1], s[3 * k + 2]) for k, c in enumerate(CLASSES)] if s else []
     report = docs.sparkSession.createDataFrame(table, "class string, n long, precision double, recall double")
