@@ -44,3 +44,10 @@ def keep(df: DataFrame, name: str, **options) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer partitions than there are cores, for maps that are heavy on CPU.
+    Larger inputs have more partitions and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
