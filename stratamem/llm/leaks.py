@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamem.sources.tables import keep
+from stratamem.sources.tables import keep, spread
 
 WIDTH = 12
 ITEMS_PER_BLOCK = 4_000
@@ -155,7 +155,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, edits: int = 0,
 
     docs: (doc_id, text), items: (item_id, text)."""
     n = items.count()
-    spark, found = docs.sparkSession, None
+    spark, found, texts = docs.sparkSession, None, spread(docs.select("doc_id", "text"))
     blocks = math.ceil(n / ITEMS_PER_BLOCK) or 1
     numbered = keep(items.select("item_id", "text"), "items") if blocks > 1 else items.select("item_id", "text")
     for b in range(blocks):
@@ -179,6 +179,6 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, edits: int = 0,
                     if least:
                         yield pd.DataFrame([(ids[o], item, e) for (o, item), e in least.items()], columns=["doc_id", "item_id", "edits"])
 
-        rows = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, edits int")
+        rows = texts.mapInPandas(run, "doc_id long, item_id long, edits int")
         found = rows if found is None else found.unionByName(rows)
     return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratamem.sources.tables import keep
+from stratamem.sources.tables import keep, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that belongs to this vocabulary.
@@ -48,7 +48,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PAT
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long")
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_tokens long")
 
 
 def reduce_dominated(count: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -157,7 +157,7 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple]:
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece_no, n_tokens, batch_id of (doc_id, n_tokens)."""
-    spark = sizes.sparkSession
+    spark, sizes = sizes.sparkSession, keep(sizes, "sizes")
     items = keep(sizes.where("n_tokens > 0").select("doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(0), F.expr(f"CAST((n_tokens - 1) DIV {capacity} AS INT)"))).alias("piece_no", "k")).select(
         "doc_id", "piece_no", F.least(F.lit(capacity), F.col("n_tokens") - F.col("k") * capacity).cast("int").alias("size")), "items")
     count = Counter({r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()})  # at most `capacity` rows

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratamem.sources.tables import spread
+
 CLASSES = ("clean", "slot", "filler", "notice")
 BUCKETS = 1 << 16
 FIT_DOCS = 20_000  # the largest number of documents the sample of units is drawn from
@@ -208,7 +210,7 @@ def sample(docs: DataFrame, n: int) -> DataFrame:
                         rows.append((host, features(u, _where(i, len(body))), CLASSES.index(label), spread if label == "clean" else spread // 16))
             yield pd.DataFrame(rows, columns=["host", "idx", "label", "spread"])
 
-    return some.select("doc_id", "text", "source").mapInPandas(run, "host string, idx array<int>, label int, spread long").orderBy("spread", "idx").limit(FIT_UNITS)
+    return spread(some.select("doc_id", "text", "source")).mapInPandas(run, "host string, idx array<int>, label int, spread long").orderBy("spread", "idx").limit(FIT_UNITS)
 
 
 def _host_part(host: str | None) -> int:
@@ -262,4 +264,4 @@ def residue(docs: DataFrame) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "kind"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, kind string").dropDuplicates(["doc_id"])
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, kind string").dropDuplicates(["doc_id"])

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratamem.sources.tables import spread
+
 DEFAULT_LIMIT = 2000
 BLANKS = " \t\n"
 _JOINERS = "‍︎️"
@@ -113,7 +115,7 @@ def counts(df: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(i, len(spans)) for i, _, spans in _rows(pdf)], columns=["input_id", "n_pieces"])
 
-    return _inputs(df).mapInPandas(run, "input_id long, n_pieces int").dropDuplicates(["input_id"])
+    return spread(_inputs(df)).mapInPandas(run, "input_id long, n_pieces int").dropDuplicates(["input_id"])
 
 
 def pieces(df: DataFrame) -> DataFrame:
