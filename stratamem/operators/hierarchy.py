@@ -247,7 +247,10 @@ def paths(linked: DataFrame) -> DataFrame:
     border = keep(_boundary(forest).select("part", "node", "tgt", "looped"), "border")
     asked = border.select("part", F.lit(2).alias("kind"), "node", F.lit(None).cast("string").alias("parent"), none)
     wanted = own.join(asked.select("part").distinct(), "part", "left_semi")
-    now = keep(border.where("NOT looped").drop("part", "looped").dropDuplicates(["node"]).join(_spelled(wanted, asked).dropDuplicates(["node"]), "node"), "way")
+    # What loops within its part stays open for good: its target is itself.
+    ends = border.select("node", F.when(F.col("looped"), F.col("node")).otherwise(F.col("tgt")).alias("tgt")).dropDuplicates(["node"])
+    own_way = _spelled(wanted, asked).dropDuplicates(["node"])
+    now = keep(ends.join(own_way, "node", "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>"))), "way")
     left, before = now.where("tgt IS NOT NULL").count(), -1
     while left and left != before:
         far = now.select(F.col("node").alias("tgt"), F.col("path").alias("p2"), F.col("tgt").alias("t2"))
