@@ -108,7 +108,8 @@ class Passages:
         for item, text in items:
             ws = [self.number.setdefault(w, len(self.number)) for w in words(text)]
             n = min(width, len(ws))
-            by_width[n] += [(ws[i : i + n], item) for i in range(len(ws) - n + 1)] if n else []
+            if n:
+                by_width[n] += [(ws[i : i + n], item) for i in range(len(ws) - n + 1)]
         self.tables = {}
         for n, rows in by_width.items():
             x = np.array([r[0] for r in rows], np.int64)
