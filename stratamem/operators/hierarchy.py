@@ -189,46 +189,51 @@ def hierarchy(linked: DataFrame, group_limit: int = GROUP_LIMIT, fan_in: int = F
 PATH_ENTRIES = 200_000
 
 
+def _in_order(parent: dict[str, str | None]) -> Iterator[str]:
+    """The nodes, each before those below it and next to them: rows in this order share long prefixes of their paths."""
+    below: dict[str, list[str]] = {}
+    for node, up in parent.items():
+        if up in parent:
+            below.setdefault(up, []).append(node)
+    stack = [n for n, up in parent.items() if up not in parent]
+    while stack:
+        yield (node := stack.pop())
+        stack += below.get(node, ())
+
+
 def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Paths by parent traversal, one part after another. The rows of a part come as: paths of its outer targets (kind 0,
-    null for one in a loop), its links (1), and nodes asked for (2; without any, all nodes get a path)."""
-
-    def spelled(outer: dict, parent: dict, asked: list) -> Iterator[pd.DataFrame]:
-        straight: dict[str, bool] = {}
-        for node in parent:
-            way, x = [], node
-            while x in parent and x not in straight:
-                straight[x] = False
-                way.append(x)
-                x = parent[x]
-            straight |= dict.fromkeys(way, straight.get(x, outer.get(x, ()) is not None))
+    """Paths by parent traversal, one part after another. The rows of a part are: paths of its outer targets (kind 0, null
+    for one in a loop), links (1), links of nodes that get no path here (2), and nodes with links that do (3)."""
+
+    def spelled(outer: dict, parent: dict, asked: set) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
-        for node in asked or parent:
-            if straight[node]:
+        for node in _in_order(parent):  # what is in or below a loop of the part doesn't come
+            if node in asked:
                 way, x = [node], parent[node]
                 while x in parent:
                     way.append(x)
                     x = parent[x]
-                rows.append((node, [*outer.get(x, ()), *reversed(way)]))
-                size += len(rows[-1][1])
+                if (head := outer.get(x, ())) is not None:
+                    rows.append((node, [*head, *reversed(way)]))
+                    size += len(rows[-1][1])
                 if size > PATH_ENTRIES:
                     yield pd.DataFrame(rows, columns=["node", "path"])
                     rows, size = [], 0
         if rows:
             yield pd.DataFrame(rows, columns=["node", "path"])
 
-    now, outer, parent, asked = None, {}, {}, []
+    now, outer, parent, asked = None, {}, {}, set()
     for pdf in batches:
         for part, kind, node, up, path in zip(pdf["part"], pdf["kind"], pdf["node"], pdf["parent"], pdf["path"]):
             if part != now:
                 yield from spelled(outer, parent, asked)
-                now, outer, parent, asked = part, {}, {}, []
+                now, outer, parent, asked = part, {}, {}, set()
             if kind == 0:
                 outer[node] = None if path is None else tuple(path)
-            elif kind == 1:
+            elif kind < 3:
                 parent[node] = up
-            else:
-                asked.append(node)
+            if kind in (1, 3):
+                asked.add(node)
     yield from spelled(outer, parent, asked)
 
 
@@ -240,13 +245,12 @@ def _spelled(*rows: DataFrame) -> DataFrame:
 
 
 def paths(linked: DataFrame) -> DataFrame:
-    """node and path (from the root down to the node itself) of every node that has a root."""
+    """node and path (from the root down to the node itself) of every node that has a root, each once."""
     forest = _forest(single_parent(linked))
     none = F.lit(None).cast("array<string>").alias("path")
-    own = forest.select("part", F.lit(1).alias("kind"), "node", "parent", none)
     border = keep(_boundary(forest).select("part", "node", "tgt", "looped"), "border")
-    asked = border.select("part", F.lit(2).alias("kind"), "node", F.lit(None).cast("string").alias("parent"), none)
-    wanted = own.join(asked.select("part").distinct(), "part", "left_semi")
+    asked = border.select("part", F.lit(3).alias("kind"), "node", F.lit(None).cast("string").alias("parent"), none)
+    wanted = forest.select("part", F.lit(2).alias("kind"), "node", "parent", none).join(asked.select("part").distinct(), "part", "left_semi")
     # What loops within its part stays open for good: its target is itself.
     ends = border.select("node", F.when(F.col("looped"), F.col("node")).otherwise(F.col("tgt")).alias("tgt")).dropDuplicates(["node"])
     own_way = _spelled(wanted, asked).dropDuplicates(["node"])
@@ -259,7 +263,10 @@ def paths(linked: DataFrame) -> DataFrame:
     known = border.select("node").distinct().join(now.where("tgt IS NULL").select("node", "path"), "node", "left")
     outer = forest.where("tgt IS NOT NULL").select("part", F.col("tgt").alias("node")).distinct().join(known, "node")
     outer = outer.select("part", F.lit(0).alias("kind"), "node", F.lit(None).cast("string").alias("parent"), "path")
-    return _spelled(outer, own).dropDuplicates(["node"])
+    # A row delivered again in another part is a link there too, but gets its path once; so no path is shuffled.
+    again = forest.groupBy("node").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").drop("last")
+    own = forest.join(again, "node", "left").select("part", F.when(F.col("first") < F.col("part"), 2).otherwise(1).alias("kind"), "node", "parent", none)
+    return _spelled(outer, own)
 
 
 def descendants(paths_: DataFrame) -> DataFrame:
