@@ -57,3 +57,11 @@ def renamed(c: Column | str, old: str, new: str, recursive: bool = True) -> Colu
     c = _col(c)
     moved = F.concat(F.lit(new), F.substring(c, len(old) + 1, 1 << 20))
     return F.when(under(c, old) if recursive else c == old, moved).otherwise(c)
+
+
+def over_quota(present, new, most: int):
+    """The namespaces of `new` that would be one more than `most` distinct ones; those already present never are."""
+    known = present.select("namespace").distinct()
+    room = max(0, most - known.count())
+    fresh = new.select("namespace").distinct().join(known, "namespace", "left_anti")
+    return fresh.orderBy("namespace").offset(room)

@@ -63,6 +63,17 @@ def mean_pool(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(key, "n", F.transform("parts", lambda p: p["m"]).alias("mean"))
 
 
+@F.pandas_udf(T.BinaryType())
+def encode_vector(v: pd.Series) -> pd.Series:
+    """The bytes of a vector as little-endian float32."""
+    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def decode_vector(v: pd.Series) -> pd.Series:
+    return v.map(lambda b: None if b is None else np.frombuffer(bytes(b), "<f4"))
+
+
 def _fnv(text: str) -> int:
     h = 2166136261
     units = text.encode("utf-16-le")

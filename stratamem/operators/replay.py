@@ -119,6 +119,21 @@ def append(parent: str, events: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def chained(events: DataFrame, parent: str) -> DataFrame:
+    """`events` (n, event_json, ...) with parent and root, chained in the order of n after `parent`. A hash chain is sequential
+    by nature, so the hashes of one writer's batch are made in one task; only n and event_json go through it, as a stream."""
+
+    def run(batches):
+        last = parent
+        for pdf in batches:
+            links = append(last, pdf["event_json"].tolist())
+            last = links[-1][1] if links else last
+            yield pdf[["n"]].assign(parent=[p for p, _ in links], root=[r for _, r in links])
+
+    roots = events.select("n", "event_json").repartition(1).sortWithinPartitions("n").mapInPandas(run, "n long, parent string, root string")
+    return events.join(roots, "n")
+
+
 def lagged(logged: DataFrame, per: str) -> DataFrame:
     """root, previous: the root before it among the rows of the same `per`, for checks of per-store logs."""
     return logged.select("root", F.lag("root").over(Window.partitionBy(per).orderBy("_ts_created", "_id")).alias("previous"))

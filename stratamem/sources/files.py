@@ -56,8 +56,13 @@ def write_cold(blobs: DataFrame, path: str) -> None:
 
 
 def read_cold(wanted: DataFrame, path: str) -> DataFrame:
-    """content_sha256, payload of the wanted blobs, each once; a payload with another hash is left out."""
-    cold = wanted.sparkSession.read.parquet(path).where(F.sha2("payload", 256) == F.col("content_sha256"))
+    """content_sha256, payload of the wanted blobs, each once; a payload with another hash is left out. A cold store to which
+    nothing was written yet is empty."""
+    spark = wanted.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "content_sha256 string, payload binary")
+    cold = spark.read.parquet(path).where(F.sha2("payload", 256) == F.col("content_sha256"))
     return cold.join(wanted.select("content_sha256").distinct(), "content_sha256", "left_semi").dropDuplicates(["content_sha256"])
 
 

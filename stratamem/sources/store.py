@@ -17,7 +17,13 @@ from pyspark.sql import types as T
 
 from stratamem.functions.ids import stable_id
 from stratamem.functions.paths import path_error, renamed, under
-from stratamem.schema import TABLES
+from stratamem.functions.vectors import encode_vector
+from stratamem.operators import replay as R
+from stratamem.operators.links import numbered
+from stratamem.operators.predicates import closes_cycle, scope_closure
+from stratamem.schema import GENESIS, HOT_TIPS, TABLES
+from stratamem.sources.files import read_cold, write_cold
+from stratamem.sources.tables import keep
 
 SCHEMA_VERSION = 1
 
@@ -95,6 +101,39 @@ def upgraded(manifest: dict) -> dict:
     return manifest
 
 
+def logged(s: Store, out: dict[str, DataFrame], kind: str, events: DataFrame, now_ms: float) -> dict[str, DataFrame]:
+    """`out` with a provenance event, outbox rows and blobs for each of events (namespace, memory_key, and contents
+    array<struct<source_key, text, vector>>), in the order of their names."""
+    head = R.head(R.log(s.table("memory_provenance"))).collect()
+    order = numbered(events.withColumn("_o", F.concat_ws("\0", "namespace", "memory_key")), "_o").withColumnRenamed("i", "n")
+    keys = F.transform("contents", lambda c: c["source_key"])
+    json_ = F.to_json(F.struct(F.lit(kind).alias("kind"), "memory_key", "namespace", keys.alias("source_keys"), F.lit(1).alias("v")))  # keys in order: canonical
+    rows = keep(R.chained(order.withColumn("event_json", json_), head[0]["root"] if head else GENESIS), "events")
+    t = F.lit(float(now_ms)).alias("_ts_created")
+    id_ = F.concat(F.lit("prov_"), F.lpad(F.hex(F.lit(int(now_ms)) * 1_000_000 + F.col("n")), 24, "0"))  # ids grow with time and place
+    out["memory_provenance"] = s.append("memory_provenance", rows.select(F.col("parent").alias("parent_root_hex"), F.col("root").alias("root_hex"), F.lit(kind).alias("event_type"), "event_json", F.lit(None).cast("string").alias("intent_snapshot_id"), id_.alias("_id"), t))
+    none = F.lit(None).cast("string")
+    parts = rows.select("root", "namespace", "memory_key", F.explode("contents").alias("c")).select("root", "namespace", "memory_key", "c.source_key", F.encode("c.text", "UTF-8").alias("content"), encode_vector("c.vector").alias("vector"))
+    facets = None
+    for facet, body in (("content", F.col("content")), ("vector", F.col("vector"))):
+        one = parts.where(body.isNotNull()).select("root", F.lit(facet).alias("facet"), "namespace", "memory_key", "source_key", body.alias("payload"))
+        if kind == "DELETE_MEMORY":
+            one = rows.select("root", F.lit(facet).alias("facet"), "namespace", "memory_key", none.alias("source_key"), F.lit(None).cast("binary").alias("payload"))
+        facets = one if facets is None else facets.unionByName(one)
+    facets = facets.unionByName(rows.select("root", F.lit("graph").alias("facet"), "namespace", "memory_key", none.alias("source_key"), F.lit(None).cast("binary").alias("payload")))
+    sha = F.sha2("payload", 256)
+    out["memory_tip_outbox"] = s.append("memory_tip_outbox", facets.select(F.col("root").alias("root_hex"), "facet", F.lit(kind).alias("event_type"), "namespace", "memory_key", "source_key", none.alias("edge_id"), sha.alias("payload_sha256"), stable_id("tob", F.col("root"), F.col("facet"), F.coalesce("source_key", F.lit(""))).alias("_id"), t))
+    fresh = facets.where("payload IS NOT NULL").select(sha.alias("content_sha256"), "payload").dropDuplicates(["content_sha256"])
+    fresh = fresh.join(s.table("memory_tip_blobs").select("content_sha256"), "content_sha256", "left_anti")
+    out["memory_tip_blobs"] = s.append("memory_tip_blobs", fresh.select("content_sha256", "payload", F.lit("hot").alias("location"), none.alias("cold_uri"), stable_id("blob", F.col("content_sha256")).alias("_id"), t))
+    return out
+
+
+def _events(s: Store, ids: DataFrame) -> DataFrame:
+    contents = F.array().cast("array<struct<source_key: string, text: string, vector: array<float>>>").alias("contents")
+    return s.table("memories").join(ids.select(F.col("memory_id").alias("_id")).distinct(), "_id", "left_semi").select("namespace", F.col("key").alias("memory_key"), contents)
+
+
 def _without(df: DataFrame, ids: DataFrame, on: str, id_: str = "memory_id") -> DataFrame:
     return df.join(ids.select(F.col(id_).alias(on)).distinct(), on, "left_anti")
 
@@ -148,7 +187,8 @@ def merge(s: Store, items: DataFrame, now_ms: float) -> None:
     known = s.table("node_labels")
     out["node_labels"] = known.unionByName(labels.select("kind").distinct().join(known.select("kind"), "kind", "left_anti").select("kind", F.lit("").alias("description"), F.lit(None).cast("string").alias("schema"), label.alias("_id"), t))
     out["memory_scopes"] = out["memory_scopes"].unionByName(items.select("memory_id", F.col("namespace").alias("scope_id"), stable_id("ms", F.col("memory_id"), F.col("namespace")).alias("_id"), t))
-    s.commit(out)
+    contents = F.transform("chunks", lambda c: F.struct(c["key"].alias("source_key"), c["text"].alias("text"), c["vector"].alias("vector")))
+    s.commit(logged(s, out, "MERGE_MEMORY", items.select("namespace", F.col("key").alias("memory_key"), contents.alias("contents")), now_ms))
 
 
 def link(s: Store, edges: DataFrame, now_ms: float) -> None:
@@ -181,16 +221,23 @@ def replace_feature(s: Store, ns: str, key: str, source_key: str, now_ms: float,
     s.commit(out)
 
 
-def delete(s: Store, ids: DataFrame) -> None:
-    """Deletes memories (memory_id) with all that hangs on them; unknown ids are nothing to delete."""
+def delete(s: Store, ids: DataFrame, now_ms: float) -> None:
+    """Deletes memories (memory_id) with all that hangs on them, one event each; unknown ids are nothing to delete."""
     out = cleared(s, ids)
-    s.commit(out | {"memories": _without(out["memories"], ids, "_id")})
+    out["memories"] = _without(out["memories"], ids, "_id")
+    s.commit(logged(s, out, "DELETE_MEMORY", _events(s, ids), now_ms))
 
 
-def suppress(s: Store, ids: DataFrame, flag: bool = True) -> None:
+def suppress(s: Store, ids: DataFrame, now_ms: float, flag: bool = True) -> None:
+    """Hides memories (memory_id) from reads, or shows them again; writes stay allowed. Those that are so already give no event."""
+    changed = s.table("memories").where(F.coalesce("suppressed", F.lit(False)) != flag).select(F.col("_id").alias("memory_id")).join(ids.select("memory_id"), "memory_id", "left_semi")
+    ids = keep(changed, "suppress")
+    if not ids.take(1):
+        return
     hit = ids.select(F.col("memory_id").alias("_id"), F.lit(True).alias("hit")).distinct()
     rows = s.table("memories").join(hit, "_id", "left")
-    s.commit({"memories": rows.withColumn("suppressed", F.when(F.col("hit"), flag).otherwise(F.col("suppressed"))).drop("hit")})
+    out = {"memories": rows.withColumn("suppressed", F.when(F.col("hit"), flag).otherwise(F.col("suppressed"))).drop("hit")}
+    s.commit(logged(s, out, "SUPPRESS_MEMORY" if flag else "UNSUPPRESS_MEMORY", _events(s, ids), now_ms))
 
 
 def upsert_metadata(s: Store, rows: DataFrame) -> None:
@@ -199,6 +246,56 @@ def upsert_metadata(s: Store, rows: DataFrame) -> None:
     s.commit({"namespace_metadata": old.unionByName(rows.select("namespace", "display_name", "description", "suppressed", stable_id("nsm", F.col("namespace")).alias("_id"), F.lit(0.0).alias("_ts_created")))})
 
 
+def delete_metadata(s: Store, namespaces: list[str]) -> None:
+    s.commit({"namespace_metadata": s.table("namespace_metadata").where(~F.col("namespace").isin(namespaces))})
+
+
+def link_scope(s: Store, parent: str, child: str) -> None:
+    """Adds a scope edge and rebuilds the closure; an edge that closes a cycle is refused."""
+    closure = s.table("scope_closure")
+    if closes_cycle(closure, parent, child):
+        raise ValueError(f"{parent} > {child} closes a cycle")
+    edges = s.table("scope_edges").where((F.col("parent") != parent) | (F.col("child") != child))
+    _scopes(s, edges.select("parent", "child").union(s.spark.createDataFrame([(parent, child)], "parent string, child string")))
+
+
+def unlink_scope(s: Store, parent: str, child: str) -> None:
+    _scopes(s, s.table("scope_edges").where((F.col("parent") != parent) | (F.col("child") != child)).select("parent", "child"))
+
+
+def _scopes(s: Store, edges: DataFrame) -> None:
+    zero = F.lit(0.0).alias("_ts_created")
+    known = s.table("scopes").select(F.col("_id").alias("id"))
+    ids = known.union(edges.select("parent")).union(edges.select("child")).distinct()
+    s.commit({"scopes": ids.select(F.col("id").alias("_id"), zero), "scope_edges": edges.select("parent", "child", stable_id("se", F.col("parent"), F.col("child")).alias("_id"), zero),
+              "scope_closure": scope_closure(edges, ids).select("ancestor", "descendant", stable_id("sc", F.col("ancestor"), F.col("descendant")).alias("_id"), zero)})
+
+
+def replace_scopes(s: Store, rows: DataFrame) -> None:
+    """Attaches memories to scopes (memory_id, scope_id) in place of those they were attached to."""
+    kept = _without(s.table("memory_scopes"), rows, "memory_id")
+    s.commit({"memory_scopes": kept.unionByName(rows.distinct().select("memory_id", "scope_id", stable_id("ms", F.col("memory_id"), F.col("scope_id")).alias("_id"), F.lit(0.0).alias("_ts_created")))})
+
+
+def evacuate(s: Store, cold_path: str | None, tips: int = HOT_TIPS) -> None:
+    """Moves the payloads to which none of the newest roots points to a cold store, or drops them without one."""
+    blobs = s.table("memory_tip_blobs")
+    out = keep(R.evacuable(R.log(s.table("memory_provenance")), s.table("memory_tip_outbox"), blobs, tips), "evacuate")
+    if cold_path:
+        write_cold(blobs.join(out, "content_sha256", "left_semi"), cold_path)
+    s.commit({"memory_tip_blobs": R.to_cold(blobs, out, F.concat(F.lit(f"{cold_path}#"), "content_sha256") if cold_path else None)})
+
+
+def payloads(s: Store, fields: DataFrame, cold_path: str | None = None) -> DataFrame:
+    """Fields of a replay (payload = hash) with `body`: hot, or from the cold store; null where it is gone or altered."""
+    hot = s.table("memory_tip_blobs").where("payload IS NOT NULL").select(F.col("content_sha256").alias("payload"), F.col("payload").alias("hot"))
+    rows = fields.join(hot, "payload", "left")
+    if not cold_path:
+        return rows.withColumnRenamed("hot", "body")
+    cold = read_cold(fields.select(F.col("payload").alias("content_sha256")), cold_path).select(F.col("content_sha256").alias("payload"), F.col("payload").alias("cold"))
+    return rows.join(cold, "payload", "left").withColumn("body", F.coalesce("hot", "cold")).drop("hot", "cold")
+
+
 def rename_namespace(s: Store, old: str, new: str, recursive: bool = True) -> None:
     """Moves memories to the renamed namespace. Their ids follow from their names, so every reference is rewritten; a memory
     that is already there is a collision and nothing is changed."""

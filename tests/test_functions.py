@@ -46,3 +46,12 @@ def test_sketch():
     s = V.sketch([("person", {"a": 1})], {"b": "x"})
     assert len(s) == 32 and np.linalg.norm(s) == pytest.approx(1) and V.sketch([], None) == [0.0] * 32
     assert V._fnv("") == 2166136261 and V._fnv("a") == 0xE40C292C
+
+
+def test_codec_and_quota(spark):
+    from stratamem.functions.paths import over_quota
+
+    df = spark.createDataFrame([([1.5, -2.0],), (None,)], "v array<float>")
+    assert [r[0] for r in df.select(V.decode_vector(V.encode_vector("v"))).collect()] == [[1.5, -2.0], None]
+    have, new = spark.createDataFrame([("a",)], "namespace string"), spark.createDataFrame([("a",), ("b",), ("c",)], "namespace string")
+    assert [r[0] for r in over_quota(have, new, 2).collect()] == ["c"] and over_quota(have, new, 9).count() == 0

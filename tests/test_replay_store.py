@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stratamem import ontology as O
+from stratamem.client import Memories
 from stratamem.operators import dedup as D
 from stratamem.operators import links as L
 from stratamem.operators import replay as R
@@ -72,7 +74,8 @@ def test_store_life(spark, tmp_path):
     with pytest.raises(ValueError):
         S.merge(s, spark.createDataFrame([_item("Bad", "x", "one")], ITEM), 10.0)
     one = spark.createDataFrame([(ids["x"],)], "memory_id string")
-    S.suppress(s, one)
+    S.suppress(s, one, 12.0)
+    S.suppress(s, one, 13.0)
     S.merge(s, spark.createDataFrame([_item("a", "x", "three")], ITEM), 99.0)
     m = s.table("memories").where("key = 'x'").first()
     assert m["suppressed"] and m["_ts_created"] == 10.0 and s.table("edges").count() == 0 and {r["text"] for r in s.table("text_features").collect()} == {"two", "three"}
@@ -89,15 +92,60 @@ def test_store_life(spark, tmp_path):
     S.merge(s, spark.createDataFrame([_item("q", "x", "five")], ITEM), 5.0)
     with pytest.raises(ValueError):
         S.rename_namespace(s, "q", "z")
-    S.delete(s, s.table("memories").where("key = 'x'").select(F.col("_id").alias("memory_id")))
+    S.delete(s, s.table("memories").where("key = 'x'").select(F.col("_id").alias("memory_id")), 200.0)
     assert s.table("memories").count() == 1 and s.table("text_features").first()["text"] == "two"
     ro = S.Store(spark, f"file://{tmp_path}/store", readonly=True)
     with pytest.raises(PermissionError):
-        S.suppress(ro, one)
+        S.upsert_metadata(ro, s.table('namespace_metadata'))
     with pytest.raises(FileNotFoundError):
         S.Store(spark, f"file://{tmp_path}/none", readonly=True)
 
 
+def test_client_and_history(spark, tmp_path):
+    s = S.Store(spark, f"file://{tmp_path}/store")
+    S.merge(s, spark.createDataFrame([_item("a", "x", "merged budget", [("fact", "{}")]), _item("a/b", "y", "budget of dawn"), _item("c", "z", "dawn")], ITEM), 10.0)
+    m = Memories(s)
+    ids = {r["key"]: r["memory_id"] for r in m.memories().collect()}
+    S.link(s, spark.createDataFrame([(ids["x"], ids["y"], "knows", '{"directed":true}')], "from_id string, to_id string, kind string, properties string"), 11.0)
+    keys = lambda **o: [r["key"] for r in m.search(**o).collect()]
+    assert set(keys(text="budget")) == {"x", "y"} and keys(text="budget", namespaces=["a/b"]) == ["y"] and keys(text="budget", labels=(["fact"], [])) == ["x"] and keys(text="budget", as_of={"lt": 5.0}) == []
+    assert set(keys(text="budget", vector=[1.0, 2.0])) == {"x", "y", "z"} and keys(text="budget", namespaces=["a"], mode="exact") == ["x"]
+    assert [r["neighbour_id"] for r in m.neighbours("a", "x", edge_kind="knows", direction="out").collect()] == [ids["y"]]
+    assert m.graph().first()["kinds"] == ["knows"] and m.edges().first()["directed"] and m.texts().count() == 3
+    assert m.search_namespaces("budget").first()["namespace"] in ("a", "a/b") and m.catalog().count() == 3
+    first = R.head(m.log()).first()["root"]
+    assert R.verify_chain(m.log()).where("NOT links OR NOT hashes").count() == 0
+    S.merge(s, spark.createDataFrame([_item("a", "x", "other text")], ITEM), 20.0)
+    S.delete(s, m.memories().where("key = 'z'").select("memory_id"), 30.0)
+    body = lambda root=None: {(r["memory_key"], bytes(r["body"]).decode()) for r in S.payloads(s, m.state_at("content", root), f"{tmp_path}/cold").collect()}
+    assert body(first) == {("x", "merged budget"), ("y", "budget of dawn"), ("z", "dawn")} and body("unknown") == set()
+    assert body() == {("x", "other text"), ("y", "budget of dawn")} and m.event_at(first).count() == 1
+    assert R.verify_chain(m.log()).where("NOT links OR NOT hashes").count() == 0 and m.state_at("vector").count() == 2 and m.state_at("graph").count() == 2
+    S.evacuate(s, f"{tmp_path}/cold", tips=1)
+    assert s.table("memory_tip_blobs").where("location = 'cold'").count() > 0 and body() == {("x", "other text"), ("y", "budget of dawn")}
+    S.link_scope(s, "r", "a")
+    S.link_scope(s, "a", "q")
+    with pytest.raises(ValueError):
+        S.link_scope(s, "q", "r")
+    assert keys(text="other", namespaces=["r"], mode="dag") == ["x"]
+    S.unlink_scope(s, "r", "a")
+    assert keys(text="other", namespaces=["r"], mode="dag") == []
+    S.replace_scopes(s, spark.createDataFrame([(ids["y"], "q")], "memory_id string, scope_id string"))
+    assert keys(text="budget", namespaces=["a"], mode="dag") == ["y"]
+    assert m.stats().where("namespace = 'a'").first()["nodes"] == 1
+
+
+def test_ontology(spark):
+    o = O.merged({"node": {"p": {"type": "object"}}}, {"node": {"p": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1}}, "additionalProperties": False}}})
+    df = spark.createDataFrame([("p", '{"a": 1}'), ("p", '{"a": true}'), ("p", '{"b": 0}'), ("p", "{"), ("q", "{}"), ("p", '{"a": 0}')], "k string, p string")
+    assert [len(r[0]) for r in df.select(O.checker(o)("k", "p")).collect()] == [0, 1, 2, 1, 1, 1]
+    assert O.ontology_hash(o) == O.ontology_hash(dict(reversed(o.items())))
+    links = spark.createDataFrame([(1, "user", "u", "0xAA", 1), (2, "user", "u", "bb", 2), (2, "user", "u", "bb", 2), (3, "user", " ", "aa", 9), (4, "user", "v", None, 9)], "link_id long, kind string, owner_key string, ontology_hash string, linked_at_ms long")
+    onto = spark.createDataFrame([("aa", '["x","y"]', "[]"), ("bb", '["x"]', '["e"]')], "ontology_hash string, node_kinds_json string, edge_kinds_json string")
+    assert O.current(links).first()["ontology_hash"] == "bb" and O.history(links).count() == 2
+    assert O.databases_with(links, onto, ["x"], ["e"]).count() == 1 and O.databases_with(links, onto, ["y"]).count() == 0 and O.databases_with(links, onto).count() == 1
+
+
 def test_streams(spark, tmp_path):
     src = f"{tmp_path}/in"
     for i, part in enumerate((ROWS[:2], ROWS[2:], [])):
