@@ -14,7 +14,8 @@ The items are read in blocks of at most ITEMS_PER_BLOCK, so what a task holds is
 With edits = 0 the result is exact. With more, the share of passages found is at least what `repeats` walks give
 (recall is measured against brute force in the tests).
 
-Defined cases: null, blank and wordless texts hold and leak nothing; ids may repeat; empty tables give no rows; a passage
+Defined cases: null, blank and wordless texts hold and leak nothing; ids may repeat, a
+null doc_id is an id like any other, items without an id are left out; empty tables give no rows; a passage
 of several items counts for each of them.
 """
 
@@ -155,8 +156,9 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, edits: int = 0,
     """doc_id, item_id, edits: each pair once, with the least edit distance of a passage in the document.
 
     docs: (doc_id, text), items: (item_id, text)."""
+    items = items.where("item_id IS NOT NULL")
     n = items.count()
-    spark, found, texts = docs.sparkSession, None, spread(docs.select("doc_id", "text"))
+    spark, found, texts = docs.sparkSession, None, spread(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
     blocks = math.ceil(n / ITEMS_PER_BLOCK) or 1
     numbered = keep(items.select("item_id", "text"), "items") if blocks > 1 else items.select("item_id", "text")
     for b in range(blocks):
@@ -180,6 +182,6 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, edits: int = 0,
                     if least:
                         yield pd.DataFrame([(ids[o], item, e) for (o, item), e in least.items()], columns=["doc_id", "item_id", "edits"])
 
-        rows = texts.mapInPandas(run, "doc_id long, item_id long, edits int")
+        rows = texts.mapInPandas(run, "doc_id string, item_id long, edits int")
         found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+    return found.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "item_id").agg(F.min("edits").alias("edits"))

@@ -7,7 +7,7 @@ size depends on the capacity only, then gives each text its container from its r
 ranks are counted in salted groups, so that no size gathers in one task.
 
 Defined cases: a text larger than the capacity fills containers of its own, and what is left over is an item like any
-other (piece_no counts them); null and empty texts have no tokens and no container (null batch_id); ties are broken by
+other (piece_no counts them); rows aren't told apart by doc_id, so equal and null ids are placed row by row; null and empty texts have no tokens and no container (null batch_id); ties are broken by
 doc_id; an empty table gives no rows.
 """
 
@@ -48,7 +48,8 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PAT
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["text"]]})
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_tokens long")
+    named = spread(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    return named.mapInPandas(run, "doc_id string, n_tokens long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def reduce_dominated(count: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:

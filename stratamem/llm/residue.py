@@ -9,7 +9,7 @@ then reads every unit of every document, and a document is residue if any unit i
 four units of a paragraph are filler, or if its body - what is left without title, menu and footer - is nothing but notice.
 
 Defined cases: null and blank texts are no residue; a text of code or quotations only has no units and is none; doc_ids
-may repeat; without documents the result is empty, and without any weakly labelled residue no document is.
+may repeat and be null; without documents the result is empty, and without any weakly labelled residue no document is.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ FIT_UNITS = 50_000  # the largest number of units the model is fitted on
 HELD_OUT_HOSTS = 5  # one host in so many is not trained on
 
 # Phrases and shapes that weak labels are made of.
-_FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code|script|style)\b.*?</\1>", re.S | re.I)
+_FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code|script|style)\b.{0,50000}?</\1>", re.S | re.I)
 _INLINE = re.compile(r"`[^`\n]*`")
-_QUOTE = re.compile(r"(?<!\w)'[^'\n]{1,200}'(?!\w)|\"[^\"\n]{1,200}\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’")
-_TAG = re.compile(r"</?(?:html|head|title|body|h[1-6]|hr|br|div|p|span|noscript|center|main|section|article|ul|ol|li|table|tr|td|th|a|b|i|em|strong|header|footer|nav|form|button|meta|link|img)\b(?:\s[^<>]*)?/?>|<!--.*?-->|<!doctype[^>]*>", re.I | re.S)
+_QUOTE = re.compile(r"(?<!\w)'[^'\n]{1,200}'(?!\w)|\"[^\"\n]{1,200}\"|“[^”\n]{0,300}”|„[^“”\n]{0,300}[“”]|«[^»\n]{0,300}»|‘[^’\n]{0,300}’")
+_TAG = re.compile(r"</?(?:html|head|title|body|h[1-6]|hr|br|div|p|span|noscript|center|main|section|article|ul|ol|li|table|tr|td|th|a|b|i|em|strong|header|footer|nav|form|button|meta|link|img)\b(?:\s[^<>]*)?/?>|<!--.{0,50000}?-->|<!doctype[^>]*>", re.I | re.S)
 _LINK_SLOT = re.compile(r"<(?:title|link|label|code|summary|time|a|b|i|form|table|button|header|footer)>", re.I)
 _SLOT = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<%=?[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|\[\[[^\[\]\n]{1,60}\]\]"
@@ -53,7 +53,7 @@ _NOTICE = re.compile(
     rf"|^(?:sorry|we're sorry|oops)\b.{{0,80}}\b{_SCRIPT}\b|^.{{0,60}}\b(?:requires?|needs?|without) {_SCRIPT}\.?$"
     r"|^(?:bitte )?(?:aktivieren|schalten) sie .{0,40}javascript|javascript eingeschaltet sein|^ihr browser (?:blockiert|unterstützt)|^(?:active[rz]?|activa|habilit[ae]|veuillez activer)\b.{0,40}javascript|a besoin de scripts|necesita javascript|nécessite javascript"
     r"|^(?:http )?(?:error |status |fehler |erreur )?[45]\d\d\b(?:[ :.-]+(?:[A-Z][a-z]+|$)|\.)|^error [45]\d\d\b|\b(?:not found|bad gateway|gateway time-?out|service unavailable|internal server error|too many requests|unauthorized|forbidden|bad request)\b\W*$"
-    r"|^\W*\{\W*\"?(?:error|status|code|message)\"?\W|^access (?:is |to .{1,40} )?(?:denied|forbidden)|^you (?:do not|don't) have (?:permission|access)|^permission denied"
+    r"|^\W{0,5}\{\W{0,5}\"?(?:error|status|code|message)\"?\W|^access (?:is |to .{1,40} )?(?:denied|forbidden)|^you (?:do not|don't) have (?:permission|access)|^permission denied"
     r"|^(?:your |the )?(?:session|login|token) (?:has |is )?(?:expired|timed out)|^(?:please )?(?:log|sign) in (?:to|again|first)|^you (?:must|need to|have to) (?:be (?:logged|signed) in|log in|sign in)"
     r"|^(?:the |this )?[\w' -]{1,30} (?:is|are) (?:currently |temporarily )?(?:down|closed|offline|unavailable)\b|(?:down|closed) for (?:scheduled )?maintenance|^(?:under|scheduled) maintenance|^we (?:are|will be) (?:back|performing|down)"
     r"|^too many (?:attempts|requests)|^wait a (?:few|moment)|^(?:please )?try again|^verify (?:that )?you are|^checking (?:the |your )?(?:connection|browser)|^unable to (?:fetch|load|reach|open|connect)|^(?:could|can) ?not (?:load|reach|fetch|connect|be)"
@@ -62,8 +62,10 @@ _NOTICE = re.compile(
     r"|\btimed out after\b|\brefused the connection\b|\(trace \w+\)|^(?:fatal|uncaught|unhandled|traceback|exception|typeerror|referenceerror|panic)\b|^\w*error:|something went wrong|an (?:unexpected )?error (?:has )?occurred"
     r"|(?:page|seite|site|página|view|document|resource) (?:you .{1,30} )?(?:not found|nicht gefunden|non trouvée|introuvable|no encontrada|has moved|does not exist|no longer exists)|^página no encontrada|^page introuvable|^seite nicht gefunden|^die seite .{0,40}(?:nicht|existiert)|^zugriff verweigert|^accès refusé|^acceso denegado|^(?:votre|su|ihre) (?:session|sesión|sitzung)\b|wartung|en maintenance|en mantenimiento", re.I)
 _CHROME = re.compile(
-    r"^(?:#+ .*|[\w-]+(?:/[\w-]+)+|retry|close|ok|go back|reload|return to .{1,30}|back to top|status page|reference\b.{0,20}|request id\b.{0,30}|(?:contact|terms|imprint|privacy|home|menu|login|sign in|sign up|help|search|notes|explore|namespaces|about|impressum|datenschutz|kontakt|suche|hilfe|accueil|inicio|©.*)(?:\W+[\w ]{1,14}){0,7}|volver al inicio|zurück.{0,20}|retour.{0,20})[.\s]*$", re.I)
+    r"^(?:#+ .*|[\w-]+(?:/[\w-]+)+|retry|close|ok|go back|reload|return to .{1,30}|back to top|status page|reference\b.{0,20}|request id\b.{0,30}|(?:contact|terms|imprint|privacy|home|menu|login|sign in|sign up|help|search|notes|explore|namespaces|about|impressum|datenschutz|kontakt|suche|hilfe|accueil|inicio|©.*)(?:\W++\w{1,14}+){0,9}|volver al inicio|zurück.{0,20}|retour.{0,20})[.\s]*$", re.I)
+_TAIL = re.compile(r"(?<=\S)\s+(?:retry|close|status page|back to top|reload|reference \w{4,10})\s*$", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[^\s\d])|\n+")
+_LONG = re.compile(r".{1,4000}(?:\s|\Z)|.{1,4000}", re.S)  # what has no sentence ends is read in stretches
 _WORDS = re.compile(r"⟨\w+⟩|[^\W\d_]+|\d+|\.\.\.+|…|[{}<>%$\[\]|]")
 _TITLE = re.compile(r"^[^.!?:{}<>%$\[\]|]{3,80}$")
 
@@ -82,11 +84,11 @@ def paragraphs(text: str) -> list[list[str]]:
         return []
     marked = bool(re.search(r"</\w+>", text))
     if marked:
-        text = re.sub(r"<(head|title|nav|footer)\b.*?</\1>", "\n", text, flags=re.S | re.I)
+        text = re.sub(r"<(head|title|nav|footer)\b.{0,50000}?</\1>", "\n", text, flags=re.S | re.I)
     text = _TAG.sub(lambda m: m.group() if not marked and _LINK_SLOT.fullmatch(m.group()) else "\n", text)
     out = []
     for block in re.split(r"\n[ \t]*\n\s*", text):
-        units = [u.strip() for u in _SENTENCE.split(block) if u and u.strip(" \t\n>*-")]
+        units = [u.strip() for s in _SENTENCE.split(block) if s for u in _LONG.findall(s) if u.strip(" \t\n>*-")]
         if units:
             out.append(units)
     return out
@@ -135,7 +137,7 @@ _SHAPE = str.maketrans({"{": "c", "}": "d", "<": "l", ">": "r", "%": "p", "$": "
 
 def _body(paras: list[list[str]]) -> list[tuple[int, str]]:
     """The units with their paragraph, without title, path, menu and footer lines."""
-    units = [(k, u) for k, p in enumerate(paras) for u in p]
+    units = [(k, _TAIL.sub("", u)) for k, p in enumerate(paras) for u in p]
     out = [(k, u) for i, (k, u) in enumerate(units) if _SLOT.search(_unquoted(u)) or not (_CHROME.match(u) or (i == 0 and len(units) > 1 and _TITLE.match(u) and not _NOTICE.search(u)))]
     return out or units
 
@@ -210,7 +212,7 @@ def sample(docs: DataFrame, n: int) -> DataFrame:
                         rows.append((host, features(u, _where(i, len(body))), CLASSES.index(label), spread if label == "clean" else spread // 16))
             yield pd.DataFrame(rows, columns=["host", "idx", "label", "spread"])
 
-    return spread(some.select("doc_id", "text", "source")).mapInPandas(run, "host string, idx array<int>, label int, spread long").orderBy("spread", "idx").limit(FIT_UNITS)
+    return spread(some.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source")).mapInPandas(run, "host string, idx array<int>, label int, spread long").orderBy("spread", "idx").limit(FIT_UNITS)
 
 
 def _host_part(host: str | None) -> int:
@@ -264,4 +266,5 @@ def residue(docs: DataFrame) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "kind"])
 
-    return spread(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, kind string").dropDuplicates(["doc_id"])
+    named = spread(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    return named.mapInPandas(run, "doc_id string, kind string").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -10,7 +10,8 @@ pieces without their overlaps give the text again.
 
 Defined cases: a null text gives no piece and count 0, a blank one likewise; a limit that is null or below 1 means
 DEFAULT_LIMIT; a null or negative overlap means 0, one of the limit or more means limit - 1; a run without any boundary
-is cut at the limit, before no combining mark unless there is no other place; repeated input rows count once.
+is cut at the limit, before no combining mark unless there is no other place; repeated input rows count once; a null
+input_id is an id like any other.
 """
 
 from __future__ import annotations
@@ -29,14 +30,15 @@ DEFAULT_LIMIT = 2000
 BLANKS = " \t\n"
 _JOINERS = "‍︎️"
 
-#: Where a part starts, from the coarsest level to the finest. A match's end is the place.
+#: Where a part starts, from the coarsest level to the finest. A match's end is the place. Runs are matched from their start
+#: only and as a whole, so the time is in proportion to the text.
 LEVELS = [
     *[re.compile(rf"(?<=\n)(?=#{{{k}}} )|(?<=.)(?=<h{k}\b)", re.I | re.S) for k in range(1, 7)],
-    re.compile(r"\n[ \t]*\n\s*?(?=[^\n])"),
+    re.compile(r"(?<!\n)\n(?:[ \t]*+\n)++(?=.)", re.S),
     re.compile(r"(?<=\n)(?=\S)|(?<=.)(?=<(?:p|div|section|article|ul|ol|table|pre|blockquote)\b)", re.I | re.S),
     re.compile(r"(?<=\n)(?=.)|(?<=.)(?=<(?:li|tr|dt|dd|br)\b)", re.I | re.S),
-    re.compile(r"[.!?…]+[\"'”’»)\]]*\s+(?=\S)|[。！？]+[」』”’）]*(?=.)", re.S),
-    re.compile(r"\s+(?=\S)"),
+    re.compile(r"(?<![.!?…])[.!?…]++[\"'”’»)\]]*+\s++(?=\S)|(?<![。！？])[。！？]++[」』”’）]*+(?=.)", re.S),
+    re.compile(r"(?<!\s)\s++(?=\S)"),
 ]
 
 
@@ -105,7 +107,7 @@ def _rows(pdf: pd.DataFrame) -> Iterator[tuple]:
 
 
 def _inputs(df: DataFrame) -> DataFrame:
-    return df.select("input_id", "text", "max_chunk_chars", "overlap_chars")
+    return df.select(F.col("input_id").cast("string").alias("input_id"), "text", "max_chunk_chars", "overlap_chars")
 
 
 def counts(df: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def counts(df: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(i, len(spans)) for i, _, spans in _rows(pdf)], columns=["input_id", "n_pieces"])
 
-    return spread(_inputs(df)).mapInPandas(run, "input_id long, n_pieces int").dropDuplicates(["input_id"])
+    return spread(_inputs(df)).mapInPandas(run, "input_id string, n_pieces int").dropDuplicates(["input_id"]).withColumn("input_id", F.col("input_id").cast("long"))
 
 
 def pieces(df: DataFrame) -> DataFrame:
@@ -130,10 +132,11 @@ def pieces(df: DataFrame) -> DataFrame:
                     rows += [(i, n, lo, hi - lo, text[lo:hi]) for n, (lo, hi) in enumerate(spans)]
                 yield pd.DataFrame(rows, columns=["input_id", "piece_no", "start", "n_chars", "text"])
 
-    return _inputs(df).dropDuplicates(["input_id"]).mapInPandas(run, "input_id long, piece_no int, start int, n_chars int, text string")
+    return _inputs(df).dropDuplicates(["input_id"]).mapInPandas(run, "input_id string, piece_no int, start int, n_chars int, text string").withColumn("input_id", F.col("input_id").cast("long"))
 
 
 def recount(df: DataFrame) -> DataFrame:
     """input_id, chunk_count as it must be, and whether the count of the earlier run is missing or stale."""
     old = df.select("input_id", F.col("chunk_count").alias("old")).dropDuplicates(["input_id"])
-    return counts(df).join(old, "input_id").select("input_id", F.col("n_pieces").alias("chunk_count"), (~F.col("old").eqNullSafe(F.col("n_pieces"))).alias("stale"))
+    new = counts(df)
+    return new.join(old, new["input_id"].eqNullSafe(old["input_id"])).select(new["input_id"], F.col("n_pieces").alias("chunk_count"), (~F.col("old").eqNullSafe(F.col("n_pieces"))).alias("stale"))

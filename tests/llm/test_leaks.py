@@ -91,6 +91,6 @@ def test_words():
 
 def test_dirty(spark):
     items = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (4, "--")]
-    docs = [(1, None), (2, ""), (3, "x ONE, two y"), (3, "one-two"), (4, "one " * 100_000)]
-    assert _found(spark, docs, items) == {(3, 3): 0}
+    docs = [(1, None), (2, ""), (3, "x ONE, two y"), (3, "one-two"), (4, "one " * 100_000), (None, "one two"), (2**60 + 1, "one two")]
+    assert _found(spark, docs, [*items, (None, "one")]) == {(3, 3): 0, (None, 3): 0, (2**60 + 1, 3): 0}
     assert _found(spark, [], items) == {} and _found(spark, docs, []) == {}

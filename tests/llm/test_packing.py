@@ -73,9 +73,9 @@ def test_frames(spark, monkeypatch):
 
 
 def test_tokens(spark):
-    df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "a" * 100_000), (1, "Hello world")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "a" * 100_000), (1, "Hello world"), (None, "Hello"), (2**60 + 1, "Hello")], "doc_id long, text string")
     n = {r["doc_id"]: r["n_tokens"] for r in K.token_counts(df).collect()}
-    assert n[1] == 2 and n[2] == n[3] == 0 and n[4] > 1000
-    w = K.waste(K.pack(K.token_counts(df.where("doc_id > 1")))).first()
+    assert n[1] == 2 and n[2] == n[3] == 0 and n[4] > 1000 and n[None] == n[2**60 + 1] == 1
+    w = K.waste(K.pack(K.token_counts(df.where("doc_id BETWEEN 2 AND 4")))).first()
     assert w["n_tokens"] == n[4] and w["fullest"] <= K.CAPACITY and w["n_batches"] == w["least_batches"]
     assert K.waste(K.pack(K.token_counts(df.limit(0)))).first()["n_batches"] == 0

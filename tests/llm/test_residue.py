@@ -41,9 +41,9 @@ def test_validates_on_unseen_hosts(docs):
 
 
 def test_dirty_and_empty(spark, docs):
-    dirty = spark.createDataFrame([(10**6, None, None), (10**6 + 1, " \n\t", "x"), (10**6 + 2, "", "x"), (10**6 + 3, '{"a": "{b}"}', "x"), (10**6 + 4, "```\n${x}\n```", "x"), (10**6 + 5, " ".join(f"Item {i} holds value number {i * 7}." for i in range(20_000)), "x"), (10**6 + 6, "Hello {{name}}, welcome.", "x"), (10**6 + 6, "Hello {{name}}, welcome.", "x")], "doc_id long, text string, source string")
-    out = [r["doc_id"] for r in R.residue(docs.select("doc_id", "text", "source").union(dirty)).collect() if r["doc_id"] >= 10**6]
-    assert out == [10**6 + 6]
+    dirty = spark.createDataFrame([(10**6, None, None), (10**6 + 1, " \n\t", "x"), (10**6 + 2, "", "x"), (10**6 + 3, '{"a": "{b}"}', "x"), (10**6 + 4, "```\n${x}\n```", "x"), (10**6 + 5, " ".join(f"Item {i} holds value number {i * 7}." for i in range(20_000)), "x"), (None, CLEAN[0].format(n=7), None), (2**60 + 1, "Hello {{name}}, welcome.", "x"), (10**6 + 6, "Hello {{name}}, welcome.", "x"), (10**6 + 6, "Hello {{name}}, welcome.", "x")], "doc_id long, text string, source string")
+    out = [r["doc_id"] for r in R.residue(docs.select("doc_id", "text", "source").union(dirty)).collect() if r["doc_id"] is None or r["doc_id"] >= 10**6]
+    assert sorted(out) == [10**6 + 6, 2**60 + 1]
     assert R.residue(docs.limit(0)).count() == 0
     assert R.residue(spark.createDataFrame([(1, "All is well here.", "h")], "doc_id long, text string, source string")).count() == 0
     assert R.train(docs.limit(0))[1].count() == 0
@@ -52,3 +52,14 @@ def test_dirty_and_empty(spark, docs):
 @pytest.mark.parametrize("text,label", [("HTTP 404 Not Found", "notice"), ("name: TODO", "filler"), ("Write `{{name}}` here.", "clean"), ("She said 'your name here' twice.", "clean"), ("# {{title}}", "slot"), ("Back to top", None)])
 def test_weak_labels(text, label):
     assert R.weak_label(R.paragraphs(text)[0][0]) == label
+
+
+@pytest.mark.parametrize("text", ["home" + " " * 50_000 + "!", "." * 200_000, "{" * 100_000, "<pre>" * 5_000, "“" * 100_000, "a " * 300_000, "<!--" * 5_000, "`" * 100_001, "x" * 500_000, "Menu | " * 50_000])
+def test_time_is_in_proportion(text):
+    import time
+
+    t = time.time()
+    for _, u in R._body(R.paragraphs(text)):
+        R.weak_label(u)
+        R.features(u, "long")
+    assert time.time() - t < 10

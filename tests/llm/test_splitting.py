@@ -39,12 +39,21 @@ def test_very_long_and_combining():
 
 
 def test_frames(spark):
-    rows = [(1, "a b " * 10, 8, 2, 3, "clash"), (1, "a b " * 10, 8, 2, 3, "clash"), (2, None, 5, None, None, "x"), (3, " \t\n", 5, 1, 0, "x"), (4, "short", None, None, 1, "x"), (5, "漢字" * 5, 4, 9, None, "x")]
+    rows = [(1, "a b " * 10, 8, 2, 3, "clash"), (1, "a b " * 10, 8, 2, 3, "clash"), (2, None, 5, None, None, "x"), (3, " \t\n", 5, 1, 0, "x"), (4, "short", None, None, 1, "x"), (5, "漢字" * 5, 4, 9, None, "x"), (None, "null id", 3, None, 2**30, "x"), (2**60 + 1, "large id", None, None, 1, "x")]
     df = spark.createDataFrame(rows, "input_id long, text string, max_chunk_chars int, overlap_chars int, chunk_count int, piece_no string")
     n = {r["input_id"]: r["n_pieces"] for r in S.counts(df).collect()}
     assert n[2] == n[3] == 0 and n[4] == 1 and n[1] > 1
     got = S.pieces(df).collect()
-    assert {r["input_id"] for r in got} == {1, 4, 5} and sum(r["input_id"] == 1 for r in got) == n[1]
+    assert {r["input_id"] for r in got} == {1, 4, 5, None, 2**60 + 1} and sum(r["input_id"] == 1 for r in got) == n[1]
     stale = {r["input_id"]: r["stale"] for r in S.recount(df).collect()}
-    assert stale == {1: True, 2: True, 3: False, 4: False, 5: True}
+    assert stale == {1: True, 2: True, 3: False, 4: False, 5: True, None: True, 2**60 + 1: False}
     assert S.counts(df.limit(0)).count() == 0 and S.pieces(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [". " * 100_000, "." * 200_000, " \n" * 100_000 + "x", "x" + " " * 200_000 + "y", "\n" * 200_000 + "z", "# " * 90_000, "。" * 150_000, "<p" * 100_000])
+def test_time_is_in_proportion(text):
+    import time
+
+    t = time.time()
+    check("a" + text, 2000, 100)
+    assert time.time() - t < 5
