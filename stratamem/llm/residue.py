@@ -6,7 +6,8 @@ training hosts, a regularised softmax model of four classes is fitted: clean, sl
 and notice (error, access, maintenance, sign-in and script notices). Its features are hashed word n-grams, markup and
 placeholder shapes, length and repetition of the unit, and where it stands (after a title, in a short body). The model
 then reads every unit of every document, and a document is residue if any unit is a slot, if at least three of
-four units of a paragraph are filler, or if its body - what is left without title, menu and footer - is nothing but notice.
+five units of a paragraph are filler, or if its body - what is left without title, menu and footer - is nothing but notice, or a
+few sentences of which half or more are.
 
 Defined cases: null and blank texts are no residue; a text of code or quotations only has no units and is none; doc_ids
 may repeat and be null; without documents the result is empty, and without any weakly labelled residue no document is.
@@ -15,6 +16,7 @@ may repeat and be null; without documents the result is empty, and without any w
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -53,16 +55,16 @@ _NOTICE = re.compile(
     rf"|^(?:sorry|we're sorry|oops)\b.{{0,80}}\b{_SCRIPT}\b|^.{{0,60}}\b(?:requires?|needs?|without) {_SCRIPT}\.?$"
     r"|^(?:bitte )?(?:aktivieren|schalten) sie .{0,40}javascript|javascript eingeschaltet sein|^ihr browser (?:blockiert|unterstützt)|^(?:active[rz]?|activa|habilit[ae]|veuillez activer)\b.{0,40}javascript|a besoin de scripts|necesita javascript|nécessite javascript"
     r"|^(?:http )?(?:error |status |fehler |erreur )?[45]\d\d\b(?:[ :.-]+(?:[A-Z][a-z]+|$)|\.)|^error [45]\d\d\b|\b(?:not found|bad gateway|gateway time-?out|service unavailable|internal server error|too many requests|unauthorized|forbidden|bad request)\b\W*$"
-    r"|^\W{0,5}\{\W{0,5}\"?(?:error|status|code|message)\"?\W|^access (?:is |to .{1,40} )?(?:denied|forbidden)|^you (?:do not|don't) have (?:permission|access)|^permission denied"
-    r"|^(?:your |the )?(?:session|login|token) (?:has |is )?(?:expired|timed out)|^(?:please )?(?:log|sign) in (?:to|again|first)|^you (?:must|need to|have to) (?:be (?:logged|signed) in|log in|sign in)"
+    r"|^\W{0,5}\{\W{0,5}\"?(?:error|status|code|message)\"?\W(?!\W{0,3}null\b)|^access (?:is |to .{1,40} )?(?:denied|forbidden)|^you (?:do not|don't) have (?:permission|access)|^permission denied"
+    r"|^(?:your |the )?(?:session|login|token) (?:has |is )?(?:expired|timed out)\b(?! \w)|^(?:please )?(?:log|sign) in (?:to|again|first)|^you (?:must|need to|have to) (?:be (?:logged|signed) in|log in|sign in)"
     r"|^(?:the |this )?[\w' -]{1,30} (?:is|are) (?:currently |temporarily )?(?:down|closed|offline|unavailable)\b|(?:down|closed) for (?:scheduled )?maintenance|^(?:under|scheduled) maintenance|^we (?:are|will be) (?:back|performing|down)"
-    r"|^too many (?:attempts|requests)|^wait a (?:few|moment)|^(?:please )?try again|^verify (?:that )?you are|^checking (?:the |your )?(?:connection|browser)|^unable to (?:fetch|load|reach|open|connect)|^(?:could|can) ?not (?:load|reach|fetch|connect|be)"
-    r"|^change the setting|^(?:then )?reload\b|^(?:please )?(?:use the search|ask the owner|go back|come back|check again|check back|contact support|log in|return to)\b.{0,40}$|^no output$|^our team has been|is over capacity|will be back soon|cannot be (?:shown|displayed|served|found)|(?:is not|isn.t) available right now|no longer exists|has (?:been )?moved\.?$"
-    r"|^(?:es ist ein fehler|ein fehler ist|une erreur|se ha producido un error|ha ocurrido un error)|^bitte (?:versuchen sie|anmelden|melden sie)|^veuillez (?:réessayer|vous connecter)|^connectez-vous|^(?:inicia|inicie) sesión|^(?:vuelva|intente|inténtelo)\b|^(?:esta|cette|diese) .{0,30}(?:necesita|nécessite|benötigt|a besoin)"
-    r"|\btimed out after\b|\brefused the connection\b|\(trace \w+\)|^(?:fatal|uncaught|unhandled|traceback|exception|typeerror|referenceerror|panic)\b|^\w*error:|something went wrong|an (?:unexpected )?error (?:has )?occurred"
+    r"|^too many (?:attempts|requests)|^wait a (?:few|moment)|^(?:please )?try again|^verify (?:that )?you are|^checking (?:the |your )?(?:connection|browser)|^unable to (?:fetch|load|reach|open|connect|render|display|show)|^(?:could|can) ?not (?:load|reach|fetch|connect|be)"
+    r"|^change the setting|^(?:then )?reload\b|^(?:please )?(?:use the search|ask the owner|go back|come back|check again|check back|contact support|log in|return to)\b.{0,40}$|^no output$|^our team has been|(?:is|are) over capacity|^(?:oops|whoops|sorry)\W*$|^check the (?:address|link|url|spelling)\b|will be back soon|(?:cannot|could not) be (?:shown|displayed|served|found|loaded|reached|opened)\W*$|(?:is not|isn.t) available right now|no longer exists|has (?:been )?moved\.?$"
+    r"|^(?:es ist ein fehler|ein fehler ist|une erreur|se ha producido un error|ha ocurrido un error)|^bitte (?:versuchen sie|anmelden|melden sie)|^veuillez (?:réessayer|vous connecter)|^connectez-vous|^(?:inicia|inicie) sesión|^(?:vuelva|intente|inténtelo|inténtalo)\b|^(?:esta|cette|diese) .{0,30}(?:necesita|nécessite|benötigt|a besoin)"
+    r"|\btimed out after\b|\brefused the connection\b|\(trace \w+\)|^(?:fatal|uncaught|unhandled|traceback|exception|typeerror|referenceerror|panic)\b|^\w*error:|\bsomething (?:went wrong|broke|failed|is (?:wrong|broken|not (?:right|working)))\b|an (?:unexpected )?error (?:has )?occurred"
     r"|(?:page|seite|site|página|view|document|resource) (?:you .{1,30} )?(?:not found|nicht gefunden|non trouvée|introuvable|no encontrada|has moved|does not exist|no longer exists)|^página no encontrada|^page introuvable|^seite nicht gefunden|^die seite .{0,40}(?:nicht|existiert)|^zugriff verweigert|^accès refusé|^acceso denegado|^(?:votre|su|ihre) (?:session|sesión|sitzung)\b|wartung|en maintenance|en mantenimiento", re.I)
 _CHROME = re.compile(
-    r"^(?:#+ .*|[\w-]+(?:/[\w-]+)+|retry|close|ok|go back|reload|return to .{1,30}|back to top|status page|reference\b.{0,20}|request id\b.{0,30}|(?:contact|terms|imprint|privacy|home|menu|login|sign in|sign up|help|search|notes|explore|namespaces|about|impressum|datenschutz|kontakt|suche|hilfe|accueil|inicio|©.*)(?:\W++\w{1,14}+){0,9}|volver al inicio|zurück.{0,20}|retour.{0,20})[.\s]*$", re.I)
+    r"^(?:#+ .*|[\w-]+(?:/[\w-]+)+|retry|close|ok|go back|reload|return to .{1,30}|back to top|status page|reference\b.{0,20}|request id\b.{0,30}|(?:contact|terms|imprint|privacy|home|menu|login|sign in|sign up|help|search|notes|explore|namespaces|about|impressum|datenschutz|kontakt|suche|hilfe|accueil|inicio|©.*)(?: \w{1,10}+)?(?:(?: {2,}+|\s*+[|·•>\t]\s*+)[\w-]{1,14}+(?: [\w-]{1,14}+){0,2}){0,9}|volver al inicio|zurück.{0,20}|retour.{0,20})[.\s]*$", re.I)
 _TAIL = re.compile(r"(?<=\S)\s+(?:retry|close|status page|back to top|reload|reference \w{4,10})\s*$", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[^\s\d])|\n+")
 _LONG = re.compile(r".{1,4000}(?:\s|\Z)|.{1,4000}", re.S)  # what has no sentence ends is read in stretches
@@ -79,6 +81,8 @@ def _plain(text: str) -> str:
 
 def paragraphs(text: str) -> list[list[str]]:
     """The units of each paragraph. Markup is dropped where it encloses text."""
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
     text = _plain(text.replace("\r\n", "\n"))
     if re.match(r"\s*[\[{]", text) and not re.match(r"\s*(?:\{\W*\"?error|\{\{|\[\[|\{%)", text, re.I) and re.search(r"[\]}]\s*$", text) and '"' in text:
         return []
@@ -192,9 +196,10 @@ def verdict(paras: list[list[str]], classes: list[int]) -> str | None:
     by: dict[int, list[str]] = {}
     for (k, _), kind in zip(body, kinds):
         by.setdefault(k, []).append(kind)
-    if any(v.count("filler") >= max(1, 0.75 * len(v)) for v in by.values()):
+    if any(v.count("filler") >= max(1, 0.6 * len(v)) for v in by.values()):
         return "filler"
-    return "notice" if kinds and all(x == "notice" for x in kinds) else None
+    share = kinds.count("notice") / len(kinds) if kinds else 0
+    return "notice" if share == 1 or (share >= 0.5 and len(kinds) <= 5) else None
 
 
 def sample(docs: DataFrame, n: int) -> DataFrame:
