@@ -71,6 +71,7 @@ def _unit(vectors) -> np.ndarray:
 def assign(items: DataFrame, k: int | None = None) -> DataFrame:
     """`items` with `cluster`. The centroids are fitted on all items up to FIT_ROWS, else on that many by hash of the id;
     every item is assigned. Items of different lengths of vector are refused."""
+    items = keep(items, "items")
     n = items.count()
     lens = [r[0] for r in items.select(F.size("vector")).distinct().limit(2).collect()]
     if len(lens) > 1:

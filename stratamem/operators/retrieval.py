@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratamem.functions.text import porter, stems, tokens, unicode_words
 from stratamem.functions.vectors import distances_to
 from stratamem.schema import DEFAULT_TOP_K, RRF_K
+from stratamem.sources.tables import spread
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -50,7 +51,7 @@ def bm25(chunks: DataFrame, query: str, stem: bool = True, text: str = "text") -
     phrases = [p for g in groups for p in g]
     if not phrases or any(not g[0].words for g in groups):
         return chunks.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    words = chunks.withColumn("_w", stems(text) if stem else tokens(text))
+    words = spread(chunks).withColumn("_w", stems(text)) if stem else chunks.withColumn("_w", tokens(text))
     counted = words.select(*chunks.columns, F.size("_w").alias("_dl"), *[_hits(F.col("_w"), p).alias(f"_tf{i}") for i, p in enumerate(phrases)])
     stats = counted.agg(F.count("*").alias("n"), F.sum("_dl").alias("len"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]).first()
     n, mean = stats["n"] or 0, (stats["len"] or 0) / max(1, stats["n"] or 0)

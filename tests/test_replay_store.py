@@ -5,6 +5,7 @@ from stratamem import ontology as O
 from stratamem.client import Memories
 from stratamem.operators import dedup as D
 from stratamem.operators import links as L
+from stratamem.operators import references as REF
 from stratamem.operators import replay as R
 from stratamem.schema import TABLES
 from stratamem.sources import files as FS
@@ -161,6 +162,14 @@ def test_streams(spark, tmp_path):
     assert s.current().count() == before
 
 
+def test_reference_stream(spark, tmp_path):
+    schema = "child_table string, key string, d_ref long, d_exist long, ts double"
+    s = ST.reference_state(spark, f"file://{tmp_path}/refs")
+    for epoch, rows in enumerate(([("c", "k", 1, 0, 1.0), ("c", "l", 1, 0, 1.0)], [("c", "k", 0, 1, 0.5)], [("c", "l", -1, 0, 1.0), ("c", "k", 0, -1, 0.5)])):
+        s.update(spark.createDataFrame(rows, schema), epoch)
+    assert [(r["key"], r["refs"], r["exists"]) for r in REF.orphan_keys(s.current()).collect()] == [("k", 1, 0)]
+
+
 def test_dedup(spark):
     one = lambda i, v, text, at: (i, v, text, float(at), 0)
     rows = [one("a", [1.0, 0.0], "coffee is hot", 1), one("b", [0.999, 0.02], "hot coffee", 2), one("c", [0.0, 1.0], "quantum", 3), one("d", [1.0, 0.001], "other words here", 9)] + [one(f"x{i}", [0.5, 0.5], "same", 1) for i in range(50)]
