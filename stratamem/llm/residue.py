@@ -65,6 +65,8 @@ _NOTICE = re.compile(
     r"|(?:page|seite|site|página|view|document|resource) (?:you .{1,30} )?(?:not found|nicht gefunden|non trouvée|introuvable|no encontrada|has moved|does not exist|no longer exists)|^página no encontrada|^page introuvable|^seite nicht gefunden|^die seite .{0,40}(?:nicht|existiert)|^zugriff verweigert|^accès refusé|^acceso denegado|^(?:votre|su|ihre) (?:session|sesión|sitzung)\b|wartung|en maintenance|en mantenimiento", re.I)
 _CHROME = re.compile(
     r"^(?:#+ .*|[\w-]+(?:/[\w-]+)+|retry|close|ok|go back|reload|return to .{1,30}|back to top|status page|reference\b.{0,20}|request id\b.{0,30}|(?:contact|terms|imprint|privacy|home|menu|login|sign in|sign up|help|search|notes|explore|namespaces|about|impressum|datenschutz|kontakt|suche|hilfe|accueil|inicio|©.*)(?: \w{1,10}+)?(?:(?: {2,}+|\s*+[|·•>\t]\s*+)[\w-]{1,14}+(?: [\w-]{1,14}+){0,2}){0,9}|volver al inicio|zurück.{0,20}|retour.{0,20})[.\s]*$", re.I)
+_NAMES = re.compile(r"\b[^\W\d_a-zà-öø-ÿ][a-zà-öø-ÿ]\w*")
+_QUOTES, _MARK = re.compile("['\"“„«‘]"), re.compile(r"[{<\[%_]")
 _TAIL = re.compile(r"(?<=\S)\s+(?:retry|close|status page|back to top|reload|reference \w{4,10})\s*$", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[^\s\d])|\n+")
 _LONG = re.compile(r".{1,4000}(?:\s|\Z)|.{1,4000}", re.S)  # what has no sentence ends is read in stretches
@@ -99,7 +101,12 @@ def paragraphs(text: str) -> list[list[str]]:
 
 
 def _unquoted(unit: str) -> str:
-    return unit if unit.lstrip().startswith("{") else _QUOTE.sub("⟨quote⟩", unit)
+    return _QUOTE.sub("⟨quote⟩", unit) if _QUOTES.search(unit) and not unit.lstrip().startswith("{") else unit
+
+
+def _has_slot(unit: str) -> bool:
+    """Whether there is a slot outside quotations; every slot has one of a few characters."""
+    return bool(_MARK.search(unit)) and bool(_SLOT.search(_unquoted(unit)))
 
 
 def weak_label(unit: str) -> str | None:
@@ -123,9 +130,9 @@ def features(unit: str, where: str) -> list[int]:
     """Hashed features of a unit; `where` is first, short or long: its place and the length of the body."""
     u = _unquoted(unit)
     field = bool(re.match(r"^[-*]?\s*\**[\w ]{1,30}\**\s*[:=]", u))
-    marked = _SLOT.sub(lambda m: " ⟨" + re.sub(r"\w+", "w", re.sub(r"[\s.-]", "", m.group()))[:6].translate(_SHAPE) + "⟩ ⟨slot⟩ ", u) if not _FIELD.match(u) else u
+    marked = u if not _MARK.search(u) else _SLOT.sub(lambda m: " ⟨" + re.sub(r"\w+", "w", re.sub(r"[\s.-]", "", m.group()))[:6].translate(_SHAPE) + "⟩ ⟨slot⟩ ", u) if not _FIELD.match(u) else u
     w = [x if x[0] == "⟨" else "9" * min(len(x), 4) if x[0].isdigit() and not re.fullmatch(r"[45]\d\d", x) else x.lower() for x in _WORDS.findall(marked)]
-    names = [x for x in _WORDS.findall(u) if x[0].isupper() and not x.isupper()]
+    names = _NAMES.findall(u)
     f = ["w:" + x for x in w] + ["b:" + a + " " + b for a, b in zip(w, w[1:])] + ["t:" + " ".join(w[i : i + 3]) for i in range(len(w) - 2)] + ["s:" + " ".join(w[:2]), "e:" + " ".join(w[-2:])]
     kinds = len(set(w)) / len(w) if w else 0
     f += [f"len:{min(len(w), 40) // 4}", f"same:{int(kinds * 5)}", f"names:{min(len(names), 3)}", "at:" + where, f"field:{field}", f"latin:{int(4 * sum(x in _LATIN for x in w) / max(1, len(w)))}", "bias"]
@@ -142,7 +149,7 @@ _SHAPE = str.maketrans({"{": "c", "}": "d", "<": "l", ">": "r", "%": "p", "$": "
 def _body(paras: list[list[str]]) -> list[tuple[int, str]]:
     """The units with their paragraph, without title, path, menu and footer lines."""
     units = [(k, _TAIL.sub("", u)) for k, p in enumerate(paras) for u in p]
-    out = [(k, u) for i, (k, u) in enumerate(units) if _SLOT.search(_unquoted(u)) or not (_CHROME.match(u) or (i == 0 and len(units) > 1 and _TITLE.match(u) and not _NOTICE.search(u)))]
+    out = [(k, u) for i, (k, u) in enumerate(units) if _has_slot(u) or not (_CHROME.match(u) or (i == 0 and len(units) > 1 and _TITLE.match(u) and not _NOTICE.search(u)))]
     return out or units
 
 
