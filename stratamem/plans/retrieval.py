@@ -95,15 +95,15 @@ def rrf_contributions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str, **options) -> DataFrame:
+    """Two arms of 50; as_of bounds the rows before they are ranked (word statistics are those of all chunks), labels and min_score the fused list."""
     c = V.chunks(spark, d)
-    arms = [R.Arm("lexical", R.ranked(R.bm25(c, QUERY, stem=False), "id", "score", "id", limit=50)), R.Arm("recent", R.ranked(c, "id", F.desc("_ts_created"), "id", limit=50), 0.5)]
+    inside = (lambda df: df.where(P.as_of(**options["as_of"])) if "as_of" in options else df)
+    arms = [R.Arm("lexical", R.ranked(inside(R.bm25(c, QUERY, stem=False)), "id", "score", "id", limit=50)), R.Arm("recent", R.ranked(inside(c), "id", F.desc("_ts_created"), "id", limit=50), 0.5)]
     rows = R.fuse(arms).join(c.select("id", "namespace", "kinds", "_ts_created"), "id")
     if "labels" in options:
         rows = rows.where(P.has_labels("kinds", *options["labels"]))
     if "min_score" in options:
         rows = rows.where(F.col("score") >= options["min_score"])
-    if "as_of" in options:
-        rows = rows.where(P.as_of(**options["as_of"]))
     return _round(rows.orderBy(F.desc("score"), "id").limit(10).select("id", "score"), "score")
 
 

@@ -1,0 +1,21 @@
+"""Queries do the whole job on tables made for it."""
+
+import datetime
+
+from stratamem.plans import retrieval as PR
+
+
+def _documents(spark, at, rows):
+    """rows: doc_id, text, created_at."""
+    spark.createDataFrame([(i, t, "en", "web", "support", f"m{i}", ts) for i, t, ts in rows],
+                          "doc_id long, text string, lang string, source string, namespace string, memory_key string, created_at timestamp").write.parquet(f"{at}/documents.parquet")
+    return str(at)
+
+
+def test_as_of_bounds_rows_before_they_are_ranked(spark, tmp_path):
+    """60 rows after the window, which both arms rank first, take no place of the 12 within it."""
+    day = lambda y, n: datetime.datetime(y, 1, 1) + datetime.timedelta(days=n)
+    d = _documents(spark, tmp_path, [(i, "budget warehouse", day(2026, 10 + i)) for i in range(60)] + [(i, "budget warehouse of the year and more words", day(2025, 10 + i)) for i in range(100, 112)]
+                   + [(i, "nothing of this kind", day(2024, i - 200)) for i in range(200, 350)])
+    scores = {f"doc-{99 + r}": round(1 / (60 + r) + 0.5 / (60 + 13 - r), 6) for r in range(1, 13)}
+    assert {r["id"]: r["score"] for r in PR.hybrid_asof(spark, d).collect()} == dict(sorted(scores.items(), key=lambda x: -x[1])[:10])
