@@ -7,19 +7,23 @@ blocks of rows: a cluster of any size is spread over many tasks and no task hold
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratamem.functions.text import preview, tokens
 from stratamem.operators.graph import components
-from stratamem.sources.tables import keep
+from stratamem.operators.links import numbered
+from stratamem.sources.tables import keep, spread
 
 BLOCK = 2_048
 MAX_ROUNDS = 40
-FIT_ROWS = 50_000  # largest sample the centroids are fitted on
 
 
 def default_k(n: int) -> int:
@@ -68,23 +72,66 @@ def _unit(vectors) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if len(x) else x
 
 
-def assign(items: DataFrame, k: int | None = None) -> DataFrame:
-    """`items` with `cluster`. The centroids are fitted on all items up to FIT_ROWS, else on that many by hash of the id;
-    every item is assigned. Items of different lengths of vector are refused."""
-    items = keep(items, "items")
+@F.pandas_udf(T.BinaryType())
+def _packed(v: pd.Series) -> pd.Series:
+    """Unit vectors as bytes, which pass between the JVM and Python without a step per component."""
+    return pd.Series([x.tobytes() for x in _unit(v)], dtype=object)
+
+
+def _moved(packed: DataFrame, c: np.ndarray) -> np.ndarray:
+    """The centroids after one round over all rows: sums and counts per cluster and task, added up per cluster in the order
+    of the tasks, so that equal assignments give equal centroids."""
+    k, dim = c.shape
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, n = np.zeros((k, dim)), np.zeros(k, np.int64)
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(0).to_pylist())).reshape(-1, dim)
+            if not len(x):
+                continue
+            at = (x @ c.T).argmax(1)
+            order = np.argsort(at, kind="stable")
+            own, first = np.unique(at[order], return_index=True)
+            s[own] += np.add.reduceat(x[order], first, axis=0)
+            n += np.bincount(at, minlength=k)
+        own = np.flatnonzero(n)
+        task = np.full(len(own), TaskContext.get().partitionId())
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(task, pa.int32()), pa.array(n[own], pa.int64()), pa.array([s[i].tobytes() for i in own], pa.binary())], ["j", "task", "n", "s"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(b) for b in pdf.sort_values("task")["s"]], axis=0)
+        return pd.DataFrame({"j": pdf["j"].iloc[:1], "n": [pdf["n"].sum()], "s": [total.tobytes()]})
+
+    out = c.copy()
+    for r in packed.mapInArrow(part, "j int, task int, n long, s binary").groupBy("j").applyInPandas(add, "j int, n long, s binary").collect():  # k centroids
+        mean = np.frombuffer(bytes(r["s"])) / r["n"]
+        out[r["j"]] = mean / (np.linalg.norm(mean) or 1)
+    return out
+
+
+def assign(items: DataFrame, k: int | None = None, kept: bool = False) -> DataFrame:
+    """`items` with `cluster`: `centroids` over all items at any number of them. Only the seeds are drawn, by number in order
+    of id; each round is a pass over every item. kept: `items` is a written table. Items of different lengths of vector are
+    refused."""
+    items = items if kept else keep(items, "items")
     n = items.count()
     lens = [r[0] for r in items.select(F.size("vector")).distinct().limit(2).collect()]
     if len(lens) > 1:
         raise ValueError("vectors of different lengths")
-    fit = items.select("id", "vector") if n <= FIT_ROWS else items.select("id", "vector").orderBy(F.xxhash64("id")).limit(FIT_ROWS)
-    want = k or default_k(n)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = centroids(_unit(pdf.sort_values("id")["vector"]), want)
-        return pd.DataFrame({"c": [x.tolist() for x in c]})
-
-    rows = fit.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "c array<double>").collect()  # k centroids
-    c = np.array([r["c"] for r in rows])
+    if not n:
+        return items.withColumn("cluster", F.lit(None).cast("int"))
+    draw, picked = seeded(1), {}
+    while len(picked) < max(1, min(k or default_k(n), n)):
+        picked.setdefault(int(draw() * n), len(picked))
+    drawn = items.sparkSession.createDataFrame(list(picked.items()), "i long, place int")
+    ids = numbered(items.select("id"), "id").join(F.broadcast(drawn), "i").select("id", "place")
+    seeds = items.join(F.broadcast(ids), "id").orderBy("place").select("vector").collect()  # k of them
+    c = _unit([r["vector"] for r in seeds])
+    packed = keep(spread(items.select("vector")).select(_packed("vector").alias("x")), "packed")
+    for _ in range(MAX_ROUNDS):
+        old, c = c, _moved(packed, c)
+        if np.array_equal(old, c):
+            break
 
     @F.pandas_udf("int")
     def nearest(v: pd.Series) -> pd.Series:

@@ -2,6 +2,9 @@
 
 import datetime
 
+import numpy as np
+
+from stratamem.operators import dedup as D
 from stratamem.plans import retrieval as PR
 
 
@@ -19,3 +22,13 @@ def test_as_of_bounds_rows_before_they_are_ranked(spark, tmp_path):
                    + [(i, "nothing of this kind", day(2024, i - 200)) for i in range(200, 350)])
     scores = {f"doc-{99 + r}": round(1 / (60 + r) + 0.5 / (60 + 13 - r), 6) for r in range(1, 13)}
     assert {r["id"]: r["score"] for r in PR.hybrid_asof(spark, d).collect()} == dict(sorted(scores.items(), key=lambda x: -x[1])[:10])
+
+
+def test_clusters_are_those_of_all_items(spark):
+    """60,000 items, more than were ever sampled: the same clusters as of k-means over the whole array."""
+    x = np.random.default_rng(3).normal(size=(60_000, 3)).round(4)
+    items = spark.createDataFrame([(f"{i:06d}", v) for i, v in enumerate(x.tolist())], "id string, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ D.centroids(unit, 5).T).argmax(1)
+    got = {r["id"]: r["cluster"] for r in D.assign(items, 5).select("id", "cluster").collect()}
+    assert [got[f"{i:06d}"] for i in range(len(x))] == want.tolist()
