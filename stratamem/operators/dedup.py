@@ -173,7 +173,7 @@ def similar_pairs(items: DataFrame, epsilon: float) -> DataFrame:
 
 def overlapping(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts' token sets overlap by at least `least` (Jaccard)."""
-    words = items.select("id", F.array_distinct(tokens("text")).alias("w"))
+    words = items.select("id", "text").dropDuplicates(["id"]).select("id", F.array_distinct(tokens("text")).alias("w"))
     rows = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     both = F.size(F.array_intersect("wa", "wb"))
     score = F.when((F.size("wa") == 0) & (F.size("wb") == 0), 1.0).otherwise(both / F.nullif(F.size("wa") + F.size("wb") - both, F.lit(0)))
@@ -182,7 +182,7 @@ def overlapping(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
 
 def groups(items: DataFrame, epsilon: float = 0.05, min_jaccard: float = 0.1, without: DataFrame | None = None) -> DataFrame:
     """id, component, keep, n: the members of duplicate groups, one row each; `keep` marks the survivor (newest, then longest
-    text, then smallest id). items carry cluster. `without`: ids left out, for a looser second band."""
+    text, then smallest id). items carry cluster; an id may be in several clusters, with other vectors. `without`: ids left out, for a looser second band."""
     if without is not None:
         items = items.join(without.select("id"), "id", "left_anti")
     items = keep(items, "dedup")
@@ -191,7 +191,7 @@ def groups(items: DataFrame, epsilon: float = 0.05, min_jaccard: float = 0.1, wi
     if min_jaccard > 0:
         pairs = overlapping(pairs, apart, min_jaccard)
     members = components(pairs.select("a", "b").union(tied))
-    rows = members.join(items.select("id", "created_at", F.length(F.coalesce("text", F.lit(""))).alias("len")), "id")
+    rows = members.join(items.select("id", "created_at", F.length(F.coalesce("text", F.lit(""))).alias("len")).dropDuplicates(["id"]), "id")
     best = rows.groupBy("component").agg(F.max(F.struct("created_at", "len")).alias("m"), F.count("*").alias("n"))
     first = rows.join(best, "component").where((F.col("created_at") == F.col("m.created_at")) & (F.col("len") == F.col("m.len"))).groupBy("component").agg(F.min("id").alias("kept"), F.first("n").alias("n"))
     return members.join(first, "component").select("id", "component", (F.col("id") == F.col("kept")).alias("keep"), "n")

@@ -14,7 +14,7 @@ from stratamem.operators import graph as G
 from stratamem.operators import links as L
 from stratamem.plans import views as V
 from stratamem.sources.files import text_chunks
-from stratamem.sources.tables import normal, table
+from stratamem.sources.tables import keep, normal, table
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:
@@ -201,12 +201,19 @@ def kmeans_assign(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """The memories' mean vectors, clustered, with the members and survivors of duplicate groups."""
-    v = V.vectors(spark, d).where("size(vector) = 512 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e30)")
-    m = mean_pool(v, "memory_id", "vector")
-    rows = m.join(V.memories(spark, d).select("memory_id", F.col("_ts_created").alias("created_at"), F.col("key").alias("text")), "memory_id")
-    items = D.assign(rows.select(F.col("memory_id").alias("id"), F.col("mean").alias("vector"), "text", "created_at"))
-    return D.groups(items, 0.2, 0.0)
+    """The memories' mean vectors, one for each length a memory has vectors of, clustered and compared per length, with the
+    members and survivors of duplicate groups. Texts are those of a memory's documents; a pair's must overlap (Jaccard 0.1)."""
+    v = V.vectors(spark, d).where("size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e30)")
+    m = mean_pool(v.withColumn("of", F.struct("memory_id", F.size("vector").alias("length"))), "of", "vector").select("of.*", "mean")
+    parts = table(spark, d, "documents").where("text IS NOT NULL").groupBy("namespace", F.col("memory_key").alias("key")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("parts"))
+    texts = parts.select("namespace", "key", F.array_join(F.col("parts.text"), "\n\n").alias("text"))
+    about = V.memories(spark, d).select("memory_id", "namespace", "key", F.col("_ts_created").alias("created_at")).join(texts, ["namespace", "key"], "left")
+    rows = keep(m.join(about, "memory_id").select(F.col("memory_id").alias("id"), F.col("mean").alias("vector"), F.coalesce("text", F.lit("")).alias("text"), "created_at", "length"), "memories")
+    items = rows.withColumn("cluster", F.lit("")).where(F.lit(False))
+    for n in sorted(r[0] for r in rows.select("length").distinct().collect()):  # few lengths
+        own = D.assign(rows.where(F.col("length") == n), kept=True)
+        items = items.unionByName(own.withColumn("cluster", F.concat_ws("/", "length", "cluster")))
+    return D.groups(items.drop("length"), 0.2)
 
 
 QUERIES = {f.__name__: f for f in (

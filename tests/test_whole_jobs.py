@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 
 from stratamem.operators import dedup as D
+from stratamem.plans import graphs as PG
 from stratamem.plans import retrieval as PR
 
 
@@ -32,3 +33,16 @@ def test_clusters_are_those_of_all_items(spark):
     want = (unit @ D.centroids(unit, 5).T).argmax(1)
     got = {r["id"]: r["cluster"] for r in D.assign(items, 5).select("id", "cluster").collect()}
     assert [got[f"{i:06d}"] for i in range(len(x))] == want.tolist()
+
+
+def test_duplicates_of_every_length_of_vector(spark, tmp_path):
+    """Equal vectors of 768 and of 512 components are duplicates if the texts overlap; m5 links both lengths."""
+    rng = np.random.default_rng(5)
+    a, b, c = (rng.normal(size=n).tolist() for n in (768, 512, 768))
+    texts = ["the hot coffee", "hot coffee here", "hot coffee", "one quantum", "two others", "hot coffee cup"]
+    d = _documents(spark, tmp_path, [(i, t, datetime.datetime(2025, 1, 1 + i)) for i, t in enumerate(texts)])
+    vectors = [("m0", a), ("m1", a), ("m2", b), ("m3", c), ("m4", c), ("m5", a), ("m5", b)]
+    spark.createDataFrame([(m, f"s{i}", v) for i, (m, v) in enumerate(vectors)], "memory_id string, source_map_id string, vector array<float>").write.parquet(f"{d}/vector_features.parquet")
+    spark.createDataFrame([(f"m{i}", "support", f"m{i}", float(i)) for i in range(6)], "_id string, namespace string, key string, _ts_created double").write.parquet(f"{d}/memory_rows.parquet")
+    got = {(r["id"], r["component"], r["keep"], r["n"]) for r in PG.semantic_dedup(spark, d).collect()}
+    assert got == {(f"m{i}", "m0", i == 5, 4) for i in (0, 1, 2, 5)}
