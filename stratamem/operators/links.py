@@ -79,3 +79,19 @@ def approximate_nearest(vectors: DataFrame, query: list[float], k: int, id_: str
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(unit)
     near = model.approxNearestNeighbors(unit, Vectors.dense(q / (np.linalg.norm(q) or 1)), k, distCol="d")
     return near.select(id_, (F.col("d") * F.col("d") / 2).alias("distance"))
+
+
+def approximate_nearest_each(vectors: DataFrame, queries: DataFrame, k: int, id_: str, vector: str = "vector", bucket: float = 0.6, tables: int = 8) -> DataFrame:
+    """(query_id, id, distance): `approximate_nearest` for every row of `queries` (query_id, vector). All vectors are of one
+    length. Pairs that share a bucket are joined, then ranked per query."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from stratamem.functions.vectors import l2_normalised
+    from stratamem.operators.retrieval import best_each
+
+    unit = vectors.select(F.col(id_).alias("id"), array_to_vector(l2_normalised(vector)).alias("v"))
+    asked = queries.select(F.col("query_id").alias("id"), array_to_vector(l2_normalised(vector)).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(unit)
+    pairs = model.approxSimilarityJoin(asked, unit, 2.1, distCol="d")  # unit vectors are at most 2 apart
+    return best_each(pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), (F.col("d") * F.col("d") / 2).alias("distance")), k)

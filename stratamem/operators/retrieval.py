@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from stratamem.schema import DEFAULT_TOP_K, RRF_K
 from stratamem.sources.tables import spread
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+ROW_BLOCK, QUERY_BLOCK = 8_192, 1_024
 
 
 @dataclass(frozen=True)
@@ -75,6 +78,42 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_: str, vector: st
     return far.orderBy("distance", id_).limit(k)
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, id_: str, vector: str = "vector", max_distance: float | None = None) -> DataFrame:
+    """(query_id, id, distance): `nearest` for every row of `queries` (query_id, vector), each among the rows of its own
+    length; distances equal to 12 places are ties. Blocks of queries meet blocks of rows, so a task holds one of each; the
+    best of the blocks are merged per query. Queries without direction find nothing."""
+    sized = lambda df, i: df.where(F.size(vector) > 0).select(F.col(i).alias("id"), F.col(vector).alias("vector"), F.size(vector).alias("length"))
+    rows, asked = sized(vectors, id_), sized(queries, "query_id")
+    blocks = lambda df, each, name: df.groupBy("length").agg(F.ceil(F.count("*") / each).cast("int").alias(name))
+    sizes = F.broadcast(blocks(rows, ROW_BLOCK, "nr").join(blocks(asked, QUERY_BLOCK, "nq"), "length"))  # a row a length
+    at = lambda df, n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kind, asked_kind = dict(rows.dtypes)["id"], dict(asked.dtypes)["id"]
+    left = rows.join(sizes, "length").withColumn("r", at(rows, "nr")).withColumn("q", all_("nq")).select("length", "r", "q", "id", "vector")
+    right = asked.join(sizes, "length").withColumn("q", at(asked, "nq")).withColumn("r", all_("nr")).select("length", "r", "q", "id", "vector")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": b["id"].iloc[:0], "id": a["id"].iloc[:0], "distance": []})
+        x, y = (np.stack(v["vector"].to_list()).astype(np.float64) for v in (a, b))
+        with np.errstate(all="ignore"):
+            far = 1 - (y @ x.T) / (np.sqrt((y * y).sum(1))[:, None] * np.sqrt((x * x).sum(1)))
+        far = np.where(np.isfinite(far) & (far <= (np.inf if max_distance is None else max_distance)), far.round(12), np.inf)
+        last = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
+        i, j = np.nonzero((far <= last[:, None]) & np.isfinite(far))
+        return pd.DataFrame({"query_id": b["id"].to_numpy()[i], "id": a["id"].to_numpy()[j], "distance": far[i, j]})
+
+    by = ["length", "r", "q"]
+    found = left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(meet, f"query_id {asked_kind}, id {kind}, distance double")
+    return best_each(found, k)
+
+
+def best_each(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query; ties by id."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "distance")
+
+
 def ranked(df: DataFrame, id_: str, *order: Column | str, per: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """(per..., id, rank): 1-based positions. A global rank is given to the first `limit` rows only."""
     if not per:

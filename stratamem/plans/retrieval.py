@@ -10,7 +10,7 @@ from stratamem.operators import graph as G
 from stratamem.operators import namespaces as NS
 from stratamem.operators import predicates as P
 from stratamem.operators import retrieval as R
-from stratamem.operators.links import approximate_nearest, autolink
+from stratamem.operators.links import approximate_nearest_each, autolink
 from stratamem.plans import views as V
 from stratamem.sources.tables import table
 
@@ -47,9 +47,36 @@ def knn_dim_filter(spark: SparkSession, d: str) -> DataFrame:
     return _round(R.nearest(v, list(q), 10, "id"), "distance")
 
 
+def _queries(df: DataFrame) -> DataFrame:
+    """The query set of a search: the rows whose number is divisible by 100."""
+    return df.where("CAST(substring(id, 3) AS BIGINT) % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+def knn_cosine_each(spark: SparkSession, d: str) -> DataFrame:
+    e = V.embeddings(spark, d)
+    return _round(R.nearest_each(e, _queries(e), 10, "id"), "distance")
+
+
+def knn_max_distance_each(spark: SparkSession, d: str) -> DataFrame:
+    e = V.embeddings(spark, d)
+    return _round(R.nearest_each(e, _queries(e), 25, "id", max_distance=0.8), "distance")
+
+
+def knn_scoped_each(spark: SparkSession, d: str) -> DataFrame:
+    e = V.embeddings(spark, d)
+    return _round(R.nearest_each(P.path_subtree(e, ["vec/label1", "vec/label3"]), _queries(e), 10, "id"), "distance")
+
+
+def knn_dim_filter_each(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of every length; the number of a source map is that of its 24 hexadecimal digits."""
+    v = V.vectors(spark, d)
+    n = (F.conv(F.substring("id", 4, 12), 16, 10).cast("long") % 100 * 56 + F.conv(F.substring("id", 16, 12), 16, 10).cast("long")) % 100  # 16 ** 12 % 100 is 56
+    return _round(R.nearest_each(v, v.where(n == 0).select(F.col("id").alias("query_id"), "vector"), 10, "id"), "distance")
+
+
 def ann_lsh(spark: SparkSession, d: str) -> DataFrame:
     e = V.embeddings(spark, d)
-    return approximate_nearest(e, _query(e, "v-7"), 10, "id")
+    return approximate_nearest_each(e, _queries(e), 10, "id")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -235,7 +262,7 @@ def autolink_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_cosine, knn_max_distance, knn_scoped, knn_dim_filter, ann_lsh, bm25_topk, bm25_scoped_global_idf, bm25_stemmed, rrf_two_arms, rrf_weights, rrf_item_boost, rrf_contributions, hybrid_search,
+    knn_cosine, knn_max_distance, knn_scoped, knn_dim_filter, knn_cosine_each, knn_max_distance_each, knn_scoped_each, knn_dim_filter_each, ann_lsh, bm25_topk, bm25_scoped_global_idf, bm25_stemmed, rrf_two_arms, rrf_weights, rrf_item_boost, rrf_contributions, hybrid_search,
     hybrid_label_all_some, hybrid_min_score, hybrid_asof, hybrid_text_and_vector, path_subtree, path_errors, namespace_lineage, rename_map, scope_closure, exact_scope, scope_dag, suppression_visible,
     edge_suppression, closest_suppressed, namespace_catalog, namespace_under_prefix, namespace_rank, namespace_meta_rank, namespace_by_metadata, namespace_fused, neighbor_expand, autolink_edges)}
 
@@ -247,6 +274,12 @@ def _knn(where: str = "true", n: int = 10) -> str:
     return f"{V.sql('embeds')}, {_Q7} SELECT id, {_DIST} AS distance FROM embeds, q WHERE {where} ORDER BY 2, 1 LIMIT {n}"
 
 
+def _knn_each(where: str = "true", n: int = 10, views: str = V.sql("embeds"), rows: str = "embeds", asked: str = "CAST(substr(id, 3) AS BIGINT) % 100 = 0") -> str:
+    return f"""{views}, q AS (SELECT id AS query_id, vector AS qv FROM {rows} WHERE {asked}),
+far AS (SELECT query_id, id, round(1 - list_dot_product(vector, qv) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(qv, qv))), 12) AS dist FROM {rows} JOIN q ON len(vector) = len(qv) WHERE {where})
+SELECT query_id, id, round(dist, 6) + 0.0 AS distance FROM far WHERE isfinite(dist) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, id) <= {n}"""
+
+
 def _bm25(query: str) -> str:
     """CTEs up to `hits` (chunks columns, score): exact and prefix phrase of each word."""
     words = query.split()
@@ -302,6 +335,10 @@ SQL = {
     "knn_scoped": _knn("namespace IN ('vec/label1', 'vec/label3')"),
     "knn_dim_filter": f"""{V.sql('vectors')}, fit AS (SELECT id, CAST(vector AS DOUBLE[]) AS vector FROM vectors WHERE len(vector) = 768 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0),
 q AS (SELECT vector AS qv FROM fit ORDER BY id LIMIT 1) SELECT id, {_DIST} AS distance FROM fit, q WHERE list_dot_product(vector, vector) > 0 ORDER BY 2, 1 LIMIT 10""",
+    "knn_cosine_each": _knn_each(),
+    "knn_max_distance_each": _knn_each("1 - list_dot_product(vector, qv) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(qv, qv))) <= 0.8", 25),
+    "knn_scoped_each": _knn_each("namespace IN ('vec/label1', 'vec/label3')"),
+    "knn_dim_filter_each": _knn_each(views=f"{V.sql('vectors')}, fit AS (SELECT id, CAST(vector AS DOUBLE[]) AS vector FROM vectors WHERE len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)", rows="fit", asked="CAST('0x' || substr(id, 4) AS HUGEINT) % 100 = 0"),
     "bm25_topk": f"{V.sql('chunks')}, {_bm25(QUERY)} SELECT id, round(score, 6) + 0.0 AS score FROM hits ORDER BY hits.score, id LIMIT 10",
     "bm25_scoped_global_idf": f"{V.sql('chunks')}, {_bm25('budget')} SELECT id, namespace, round(score, 6) + 0.0 AS score FROM hits WHERE {_UNDER('namespace', 'support')} OR {_UNDER('namespace', 'orbit/sales')} ORDER BY hits.score, id LIMIT 25",
     "rrf_two_arms": f"{_ARMS} SELECT id, round(sum(s), 6) + 0.0 AS score FROM (SELECT id, 1.0::DOUBLE / (60 + rank) AS s FROM near UNION ALL SELECT id, 1.0::DOUBLE / (60 + rank) FROM lab) GROUP BY id",

@@ -5,6 +5,8 @@ import datetime
 import numpy as np
 
 from stratamem.operators import dedup as D
+from stratamem.operators import links as L
+from stratamem.operators import retrieval as R
 from stratamem.plans import graphs as PG
 from stratamem.plans import retrieval as PR
 
@@ -46,3 +48,21 @@ def test_duplicates_of_every_length_of_vector(spark, tmp_path):
     spark.createDataFrame([(f"m{i}", "support", f"m{i}", float(i)) for i in range(6)], "_id string, namespace string, key string, _ts_created double").write.parquet(f"{d}/memory_rows.parquet")
     got = {(r["id"], r["component"], r["keep"], r["n"]) for r in PG.semantic_dedup(spark, d).collect()}
     assert got == {(f"m{i}", "m0", i == 5, 4) for i in (0, 1, 2, 5)}
+
+
+def test_nearest_of_every_query(spark, monkeypatch):
+    """A table of queries gives what each query gives alone, also over many blocks; the hashing finds nine in ten of it."""
+    monkeypatch.setattr(R, "ROW_BLOCK", 50)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(300)] + [(300, [0.0] * 8), (301, None)]
+    v = spark.createDataFrame(rows, "id int, vector array<float>")
+    asked = v.where("id % 100 = 0").selectExpr("id AS query_id", "vector")
+    got = {(r["query_id"], r["id"], round(r["distance"], 6)) for r in R.nearest_each(v, asked, 4, "id", max_distance=0.9).collect()}
+    assert got == {(q, r["id"], round(r["distance"], 6)) for q in (0, 100, 200) for r in R.nearest(v, list(v.where(f"id = {q}").first()["vector"]), 4, "id", max_distance=0.9).collect()}
+
+
+def test_hashing_finds_nine_in_ten_for_the_query_set(spark):
+    e = PR.V.embeddings(spark, "/root/testdata/sf0.001")
+    pairs = [{(r["query_id"], r["id"]) for r in f(e, PR._queries(e), 10, "id").collect()} for f in (R.nearest_each, L.approximate_nearest_each)]
+    assert len(pairs[0]) == 50 and len(pairs[0] & pairs[1]) >= 45
