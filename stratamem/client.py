@@ -1,4 +1,4 @@
-"""One store's memories as an API: search, graph reads, namespaces, history and writes over `sources.store.Store`.
+"""One store's memos as an API: search, graph reads, namespaces, history and writes over `sources.store.Store`.
 
 Everything returns a DataFrame and stays lazy, so results compose; the query texts and vectors come from the driver."""
 
@@ -16,19 +16,19 @@ from stratamem.schema import DEFAULT_TOP_K, SYSTEM_PREFIX
 from stratamem.sources.store import Store
 
 
-class Memories:
+class Memos:
     def __init__(self, store: Store):
         self.store = store
 
     # -- tables as the operators expect them
-    def memories(self) -> DataFrame:
-        return self.store.table("memories").withColumnRenamed("_id", "memory_id")
+    def memos(self) -> DataFrame:
+        return self.store.table("memos").withColumnRenamed("_id", "memory_id")
 
     def metadata(self) -> DataFrame:
         return self.store.table("namespace_metadata").withColumnRenamed("display_name", "alias")
 
     def nodes(self) -> DataFrame:
-        return self.store.table("nodes").select("memory_id", F.col("_id").alias("node_id"), "properties").join(self.memories().select("memory_id", "namespace", "key", "suppressed"), "memory_id")
+        return self.store.table("nodes").select("memory_id", F.col("_id").alias("node_id"), "properties").join(self.memos().select("memory_id", "namespace", "key", "suppressed"), "memory_id")
 
     def edges(self) -> DataFrame:
         at = self.store.table("nodes").select(F.col("_id").alias("n"), F.col("memory_id").alias("m"))
@@ -49,7 +49,7 @@ class Memories:
         maps = self.store.table("source_maps").select(F.col("_id").alias("id"), "memory_id", "source_key")
         maps = maps if system else maps.where(~F.col("source_key").startswith(SYSTEM_PREFIX))
         texts = self.store.table("text_features").select(F.col("source_map_id").alias("id"), "text")
-        rows = maps.join(texts, "id").join(self.memories().select("memory_id", "namespace", "key", "_ts_created"), "memory_id")
+        rows = maps.join(texts, "id").join(self.memos().select("memory_id", "namespace", "key", "_ts_created"), "memory_id")
         return G.with_kinds(rows, self.node_labels(), "memory_id")
 
     def vectors(self) -> DataFrame:
@@ -58,7 +58,7 @@ class Memories:
     # -- reads
     def scope(self, namespaces: list[str] | None, mode: str = "subtree", suppressed: bool = False, as_of: dict | None = None, memory_ids: list[str] | None = None) -> DataFrame:
         """The memory_ids a search may see. Modes: subtree, exact (scopes), dag (scopes and what they reach); None: all."""
-        m = self.memories() if suppressed else P.visible(self.memories(), self.metadata(), self.edges())
+        m = self.memos() if suppressed else P.visible(self.memos(), self.metadata(), self.edges())
         if namespaces is not None:
             attached = self.store.table("memory_scopes")
             m = P.path_subtree(m, namespaces) if mode == "subtree" else P.exact_scope(m, attached, namespaces) if mode == "exact" else P.scope_dag(m, attached, self.store.table("scope_closure"), namespaces)
@@ -78,14 +78,14 @@ class Memories:
         return rows.orderBy(F.desc("score"), "id")
 
     def neighbours(self, namespace: str, key: str, **constraint) -> DataFrame:
-        one = self.memories().where((F.col("namespace") == namespace) & (F.col("key") == key)).select("memory_id")
-        return G.constrained(G.neighbours(self.edges()), self.memories(), self.edge_labels(), self.node_labels(), **constraint).join(one, "memory_id", "left_semi")
+        one = self.memos().where((F.col("namespace") == namespace) & (F.col("key") == key)).select("memory_id")
+        return G.constrained(G.neighbours(self.edges()), self.memos(), self.edge_labels(), self.node_labels(), **constraint).join(one, "memory_id", "left_semi")
 
     def graph(self, namespace: Column | None = None) -> DataFrame:
         return G.edges_of(self.edges(), self.nodes(), self.edge_labels(), namespace)
 
     def stats(self) -> DataFrame:
-        return G.stats(self.nodes(), self.edges(), P.hidden_namespaces(self.memories(), self.metadata()))
+        return G.stats(self.nodes(), self.edges(), P.hidden_namespaces(self.memos(), self.metadata()))
 
     def texts(self) -> DataFrame:
         """memory_id and its texts, in order of time, joined by blank lines; system chunks are left out."""
@@ -94,10 +94,10 @@ class Memories:
         return parts.select("memory_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))
 
     def catalog(self) -> DataFrame:
-        return N.catalog(self.memories(), self.metadata())
+        return N.catalog(self.memos(), self.metadata())
 
     def search_namespaces(self, text: str, limit: int = N.DEFAULT_LIMIT, under: str | None = None) -> DataFrame:
-        """Namespaces by their matching memories and by their metadata, fused: namespace, score."""
+        """Namespaces by their matching memos and by their metadata, fused: namespace, score."""
         hits = self.search(text, top_k=50).select("namespace", F.col("key").alias("memory_key"), "score")
         content = N.rank(hits, root=under, limit=N.MAX_LIMIT)
         meta = N.by_metadata(self.catalog() if under is None else N.under_prefix(self.catalog(), under, True), text)

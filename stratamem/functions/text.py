@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -133,41 +132,36 @@ def paragraph_chunks(c: Column | str, limit: int = 2000) -> Column:
     return F.flatten(cut)
 
 
-def _scalar(v) -> str:
-    if isinstance(v, str):
-        return v
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, (int, float)):
-        return str(int(v)) if float(v).is_integer() else repr(v)
-    return ", ".join(filter(None, map(_scalar, v))) if isinstance(v, list) else ""
-
-
-def _lines(props: dict, prefix: str = "") -> list[str]:
-    out = []
-    for k in sorted(props):
-        name = f"{prefix}.{k}" if prefix else k
-        if isinstance(props[k], dict):
-            out += _lines(props[k], name)
-        elif props[k] is not None and (text := _scalar(props[k])):
-            out.append(f"{name.replace('_', ' ')}: {text}")
-    return out
+NESTED = 8  # levels of nested properties that are read
+
+
+def _object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def props_text(kind: str, props_json: str | None, formatter=None) -> str:
-    """The search text of a label's properties: a kind line and sorted key lines, or what a formatter gives."""
-    try:
-        props = json.loads(props_json or "")
-    except ValueError:
-        return ""
-    if not isinstance(props, dict) or not props:
-        return ""
-    if formatter and (own := (formatter(kind, props) or "").strip()):
-        return own
-    lines = _lines(props)
-    return "\n".join([f"Kind: {kind}", *lines]) if lines else ""
+def _leaves(v: Column, levels: int = 4) -> Column:
+    """The scalars of a variant as texts, those of nested arrays in order; objects within arrays have none."""
+    own = F.try_variant_get(v, "$", "string")
+    one = F.when(F.schema_of_variant(v).startswith("OBJECT") | own.isNull(), F.array().cast("array<string>")).otherwise(F.array(own))
+    if not levels:
+        return one
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _leaves(x, levels - 1)))).otherwise(one)
 
 
-@F.pandas_udf(T.StringType())
-def props_search_text(kind: pd.Series, props: pd.Series) -> pd.Series:
-    return pd.Series([props_text(k, p) for k, p in zip(kind, props)])
+def props_text(kind: Column | str, props: Column | str, formatter: Callable[[Column, Column], Column] | None = None) -> Column:
+    """The search text of a label's properties (JSON): a kind line and a line a leaf, "path: value", in order of the path, where a
+    path is read with blanks for underscores. A formatter (kind and props columns to a text) goes first where it gives
+    something. What is no JSON object or has no leaf gives an empty text. Objects below NESTED levels are left out."""
+    kind, props = (F.col(c) if isinstance(c, str) else c for c in (kind, props))
+    level = F.transform(F.map_entries(_object(F.try_parse_json(props))), lambda e: F.struct(F.array(e["key"]).alias("path"), e["value"].alias("value")))
+    for _ in range(NESTED - 1):
+        level = F.flatten(F.transform(level, lambda e: F.when(
+            F.schema_of_variant(e["value"]).startswith("OBJECT"),
+            F.transform(F.map_entries(_object(e["value"])), lambda x: F.struct(F.concat(e["path"], F.array(x["key"])).alias("path"), x["value"].alias("value")))).otherwise(F.array(e))))
+    shown = F.transform(level, lambda e: F.struct(e["path"].alias("path"), F.array_join(F.filter(_leaves(e["value"]), lambda x: x != ""), ", ").alias("text")))
+    lines = F.transform(F.array_sort(F.filter(shown, lambda e: e["text"] != "")), lambda e: F.concat(F.translate(F.array_join(e["path"], "."), "_", " "), F.lit(": "), e["text"]))
+    plain = F.when(F.size(lines) > 0, F.array_join(F.concat(F.array(F.concat(F.lit("Kind: "), kind)), lines), "\n")).otherwise("")
+    if formatter is None:
+        return F.coalesce(plain, F.lit(""))
+    some = F.size(F.map_keys(_object(F.try_parse_json(props)))) > 0
+    return F.coalesce(F.when(some, F.nullif(F.trim(formatter(kind, props)), F.lit(""))), plain, F.lit(""))

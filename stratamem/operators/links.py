@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def autolink(hits: DataFrame, top_k: int = 10, min_score: float | None = None, skip_edges: bool = True) -> DataFrame:
     """source_key, memory_key, source_map, score, rank (from 0): the best hit of each other memory, the top_k best of them.
 
-    hits: source_key, memory_key, kind, source_map, score. Hits of the source itself and of edge memories are left out."""
+    hits: source_key, memory_key, kind, source_map, score. Hits of the source itself and of edge memos are left out."""
     rows = hits.where("memory_key <> source_key")
     if skip_edges:
         rows = rows.where("coalesce(kind, 'node') <> 'edge'")

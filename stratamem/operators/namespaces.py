@@ -11,10 +11,10 @@ from stratamem.functions.text import share_of_query
 MAX_LIMIT, DEFAULT_LIMIT, DEFAULT_BOOST = 32, 10, 0.5
 
 
-def catalog(memories: DataFrame, metadata: DataFrame) -> DataFrame:
+def catalog(memos: DataFrame, metadata: DataFrame) -> DataFrame:
     """namespace, alias, description, suppressed (its own flag) and effective (flag of itself or an ancestor) of every
-    namespace that holds memories or has metadata."""
-    names = memories.select("namespace").distinct()
+    namespace that holds memos or has metadata."""
+    names = memos.select("namespace").distinct()
     rows = names.join(metadata.select("namespace", "alias", "description", "suppressed"), "namespace", "full_outer")
     rows = rows.select("namespace", "alias", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("suppressed", F.lit(False)).alias("suppressed"))
     flagged = rows.where("suppressed").select(F.col("namespace").alias("up"))

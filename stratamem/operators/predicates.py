@@ -1,4 +1,4 @@
-"""Which memories a read may see: namespace and scope predicates, time bounds, suppression."""
+"""Which memos a read may see: namespace and scope predicates, time bounds, suppression."""
 
 from __future__ import annotations
 
@@ -26,15 +26,15 @@ def path_subtree(df: DataFrame, roots: list[str], col: str = "namespace") -> Dat
     return df.where(under_any(col, roots))
 
 
-def exact_scope(memories: DataFrame, memory_scopes: DataFrame, scopes: list[str]) -> DataFrame:
-    """Memories attached to one of the scopes itself."""
-    return memories.join(memory_scopes.where(F.col("scope_id").isin(scopes)), "memory_id", "left_semi")
+def exact_scope(memos: DataFrame, memory_scopes: DataFrame, scopes: list[str]) -> DataFrame:
+    """Memos attached to one of the scopes itself."""
+    return memos.join(memory_scopes.where(F.col("scope_id").isin(scopes)), "memory_id", "left_semi")
 
 
-def scope_dag(memories: DataFrame, memory_scopes: DataFrame, closure: DataFrame, roots: list[str]) -> DataFrame:
-    """Memories attached to a root scope or to one reachable from it."""
+def scope_dag(memos: DataFrame, memory_scopes: DataFrame, closure: DataFrame, roots: list[str]) -> DataFrame:
+    """Memos attached to a root scope or to one reachable from it."""
     reach = closure.where(F.col("ancestor").isin(roots)).select(F.col("descendant").alias("scope_id")).distinct()
-    return memories.join(memory_scopes.join(reach, "scope_id", "left_semi"), "memory_id", "left_semi")
+    return memos.join(memory_scopes.join(reach, "scope_id", "left_semi"), "memory_id", "left_semi")
 
 
 def scope_closure(edges: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
@@ -78,15 +78,15 @@ def hidden_namespaces(namespaces: DataFrame, metadata: DataFrame) -> DataFrame:
     return each.join(flagged, "by").groupBy("namespace").agg(F.max_by("by", F.length("by")).alias("by"))
 
 
-def visible(memories: DataFrame, metadata: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """Memories that are not suppressed, nor in or below a suppressed namespace, nor edges with such an end.
+def visible(memos: DataFrame, metadata: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Memos that are not suppressed, nor in or below a suppressed namespace, nor edges with such an end.
 
-    memories: memory_id, namespace, suppressed, edge_id; edges: edge_id, from_id, to_id."""
-    hidden = hidden_namespaces(memories, metadata).select("namespace")
-    open_ = memories.where("NOT coalesce(suppressed, false)").join(hidden, "namespace", "left_anti")
+    memos: memory_id, namespace, suppressed, edge_id; edges: edge_id, from_id, to_id."""
+    hidden = hidden_namespaces(memos, metadata).select("namespace")
+    open_ = memos.where("NOT coalesce(suppressed, false)").join(hidden, "namespace", "left_anti")
     if edges is None:
         return open_
-    closed = memories.select("memory_id").join(open_.select("memory_id"), "memory_id", "left_anti")
+    closed = memos.select("memory_id").join(open_.select("memory_id"), "memory_id", "left_anti")
     bad = edges.select("edge_id", F.explode(F.array("from_id", "to_id")).alias("memory_id")).join(closed, "memory_id", "left_semi").select("edge_id")
     return open_.join(bad.distinct(), "edge_id", "left_anti")
 

@@ -101,7 +101,7 @@ SQL = {
     "prov_chain_page": f"{_LOG}, c AS (SELECT _ts_created AS t, _id AS i FROM log WHERE _ts_created <= {UNTIL} {_PAGE} 1) SELECT _id, _ts_created, parent, root FROM log, c WHERE _ts_created < t OR (_ts_created = t AND _id < i) {_PAGE} 100",
     "prov_event_counts": f"{_LOG} SELECT event_type, {_JSON} AS namespace, count(*) AS n FROM log GROUP BY 1, 2",
     "chain_verify": f"""{_LOG}, v AS (SELECT (parent IS NULL OR parent IN ('', repeat('0', 64)) OR EXISTS (SELECT 1 FROM log p WHERE p.root = l.parent)) AS links,
-  coalesce(root = sha256(unhex(CASE WHEN parent IS NULL OR parent = '' THEN repeat('0', 64) WHEN regexp_full_match(parent, '([0-9a-f]{{2}})*') THEN parent END || sha256('MEMORIES_EVENT_LEAF_v1' || chr(0) || event_json))), false) AS hashes FROM log l) SELECT links, hashes, count(*) AS n FROM v GROUP BY 1, 2""",
+  coalesce(root = sha256(unhex(CASE WHEN parent IS NULL OR parent = '' THEN repeat('0', 64) WHEN regexp_full_match(parent, '([0-9a-f]{{2}})*') THEN parent END || sha256('STRATAMEM_EVENT_LEAF_v1' || chr(0) || event_json))), false) AS hashes FROM log l) SELECT links, hashes, count(*) AS n FROM v GROUP BY 1, 2""",
     "content_at_time": f"WITH {_sql_state('content', f'_ts_created <= {UNTIL}')}, b AS (SELECT {V._n('content_sha256')} AS payload, min(location) AS location FROM memory_tip_blobs GROUP BY 1) SELECT namespace, memory_key, source_key, payload, location FROM st_content LEFT JOIN b USING (payload)",
     "vector_at_time": f"WITH {_sql_state('vector', f'_ts_created <= {UNTIL}')} SELECT namespace, memory_key, source_key, payload FROM st_vector",
     "graph_at_time": f"WITH {_sql_state('graph', f'_ts_created <= {UNTIL}')} SELECT namespace, memory_key, edge_id FROM st_graph",

@@ -151,7 +151,7 @@ def hybrid_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_text_and_vector(spark: SparkSession, d: str) -> DataFrame:
-    """The whole search: stemmed lexical arm and vector arm over memories in scope."""
+    """The whole search: stemmed lexical arm and vector arm over memos in scope."""
     v = V.vectors(spark, d).where("size(vector) = 512")
     q = list(v.where("forall(vector, x -> NOT isnan(x) AND abs(x) < 1e30)").orderBy("id").select("vector").first()[0])
     c = V.chunks(spark, d).select("id", "memory_id", "text", "kinds")
@@ -160,20 +160,20 @@ def hybrid_text_and_vector(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_subtree(spark: SparkSession, d: str) -> DataFrame:
-    return P.path_subtree(V.memories(spark, d), ROOTS).select("memory_id", "namespace")
+    return P.path_subtree(V.memos(spark, d), ROOTS).select("memory_id", "namespace")
 
 
 def path_errors(spark: SparkSession, d: str) -> DataFrame:
-    names = V.memories(spark, d).select("namespace").union(V.memories(spark, d).select("key")).distinct()
+    names = V.memos(spark, d).select("namespace").union(V.memos(spark, d).select("key")).distinct()
     return names.select(F.col("namespace").alias("path"), path_error("namespace", max_depth=2).alias("error"))
 
 
 def namespace_lineage(spark: SparkSession, d: str) -> DataFrame:
-    return V.memories(spark, d).select("namespace").distinct().select("namespace", F.array_join(lineage("namespace"), " ").alias("lineage"))
+    return V.memos(spark, d).select("namespace").distinct().select("namespace", F.array_join(lineage("namespace"), " ").alias("lineage"))
 
 
 def rename_map(spark: SparkSession, d: str) -> DataFrame:
-    return V.memories(spark, d).select("memory_id", renamed("namespace", "support", "help/desk").alias("namespace"))
+    return V.memos(spark, d).select("memory_id", renamed("namespace", "support", "help/desk").alias("namespace"))
 
 
 def scope_closure(spark: SparkSession, d: str) -> DataFrame:
@@ -196,11 +196,11 @@ def scope_dag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suppression_visible(spark: SparkSession, d: str) -> DataFrame:
-    return P.visible(V.memories(spark, d), V.metadata(spark, d)).select("memory_id")
+    return P.visible(V.memos(spark, d), V.metadata(spark, d)).select("memory_id")
 
 
 def edge_suppression(spark: SparkSession, d: str) -> DataFrame:
-    """Order memories hidden as edges whose customer is suppressed."""
+    """Order memos hidden as edges whose customer is suppressed."""
     nodes, edges, _, _ = V.graph(spark, d)
     own = nodes.select("memory_id", "namespace", "suppressed", F.lit(None).cast("string").alias("edge_id"))
     as_edges = edges.select(F.concat(F.lit("e:"), "edge_id").alias("memory_id"), F.lit("links").alias("namespace"), F.lit(False).alias("suppressed"), "edge_id")
@@ -208,15 +208,15 @@ def edge_suppression(spark: SparkSession, d: str) -> DataFrame:
 
 
 def closest_suppressed(spark: SparkSession, d: str) -> DataFrame:
-    return P.hidden_namespaces(V.memories(spark, d), V.metadata(spark, d)).withColumnRenamed("by", "up")
+    return P.hidden_namespaces(V.memos(spark, d), V.metadata(spark, d)).withColumnRenamed("by", "up")
 
 
 def namespace_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return NS.catalog(V.memories(spark, d), V.metadata(spark, d))
+    return NS.catalog(V.memos(spark, d), V.metadata(spark, d))
 
 
 def namespace_under_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return NS.under_prefix(NS.catalog(V.memories(spark, d), V.metadata(spark, d)), "support").select("namespace")
+    return NS.under_prefix(NS.catalog(V.memos(spark, d), V.metadata(spark, d)), "support").select("namespace")
 
 
 def _lexical_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -234,11 +234,11 @@ def namespace_meta_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def namespace_by_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return _round(NS.by_metadata(NS.catalog(V.memories(spark, d), V.metadata(spark, d)), "legal notes desk"), "score")
+    return _round(NS.by_metadata(NS.catalog(V.memos(spark, d), V.metadata(spark, d)), "legal notes desk"), "score")
 
 
 def namespace_fused(spark: SparkSession, d: str) -> DataFrame:
-    names = NS.catalog(V.memories(spark, d), V.metadata(spark, d))
+    names = NS.catalog(V.memos(spark, d), V.metadata(spark, d))
     content = NS.rank(_lexical_hits(spark, d), limit=32)
     meta = NS.by_metadata(names, "support studio notes")
     arms = [R.Arm("nodes", R.ranked(content, "namespace", F.desc(F.round("score", 6)), "namespace", limit=32)), R.Arm("lexical", R.ranked(meta, "namespace", F.desc(F.round("score", 6)), "namespace", limit=32))]
@@ -312,13 +312,13 @@ nodes_ AS (SELECT parent AS id FROM scopes UNION SELECT child FROM scopes),
 closure AS (SELECT id AS ancestor, id AS descendant FROM nodes_ UNION SELECT c.ancestor, s.child FROM closure c JOIN scopes s ON s.parent = c.descendant)"""
 _MEMBERS = ", members AS (SELECT c_custkey AS memory_id, n_name || '/' || c_mktsegment AS scope_id FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 _UNDER = lambda c, r: f"({c} = '{r}' OR starts_with({c}, '{r}/'))"
-_HIDDEN = ", hidden AS (SELECT DISTINCT m.namespace, x.namespace AS up FROM memories m JOIN metadata x ON x.suppressed AND (m.namespace = x.namespace OR starts_with(m.namespace, x.namespace || '/')))"
+_HIDDEN = ", hidden AS (SELECT DISTINCT m.namespace, x.namespace AS up FROM memos m JOIN metadata x ON x.suppressed AND (m.namespace = x.namespace OR starts_with(m.namespace, x.namespace || '/')))"
 _CATALOG = """,
-names AS (SELECT DISTINCT namespace FROM memories UNION SELECT namespace FROM metadata),
+names AS (SELECT DISTINCT namespace FROM memos UNION SELECT namespace FROM metadata),
 catalog AS (SELECT n.namespace, x.alias, coalesce(x.description, '') AS description, coalesce(x.suppressed, false) AS suppressed,
   EXISTS (SELECT 1 FROM metadata y WHERE y.suppressed AND (n.namespace = y.namespace OR starts_with(n.namespace, y.namespace || '/'))) AS effective
   FROM names n LEFT JOIN metadata x USING (namespace))"""
-_NSHITS = f"{V.sql('memories', 'metadata', 'chunks')}, {_bm25('budget')}, nshits AS (SELECT namespace, key, round(-score, 6) AS score FROM hits), per AS (SELECT namespace, count(*) AS hit_count, sum(score) AS score_sum, max(score) AS score_max FROM nshits GROUP BY 1)"
+_NSHITS = f"{V.sql('memos', 'metadata', 'chunks')}, {_bm25('budget')}, nshits AS (SELECT namespace, key, round(-score, 6) AS score FROM hits), per AS (SELECT namespace, count(*) AS hit_count, sum(score) AS score_sum, max(score) AS score_max FROM nshits GROUP BY 1)"
 
 
 def _share(query: str, text: str) -> str:
@@ -349,22 +349,22 @@ q AS (SELECT vector AS qv FROM fit ORDER BY id LIMIT 1) SELECT id, {_DIST} AS di
     "hybrid_label_all_some": _hybrid_sql("c.lang = 'en' AND c.source IN ('session-log', 'import-ops', 'agent-ops', 'import-agents', 'mail-ops')"),
     "hybrid_min_score": _hybrid_sql("f.score >= 0.014"),
     "hybrid_asof": _hybrid_sql("c._ts_created >= 1735689600000 AND c._ts_created <= 1767225600000"),
-    "path_subtree": f"{V.sql('memories')} SELECT memory_id, namespace FROM memories WHERE {_UNDER('namespace', 'support')} OR {_UNDER('namespace', 'orbit/sales')}",
-    "path_errors": f"""{V.sql('memories')} SELECT path, CASE WHEN path = '' THEN 'empty' WHEN length(path) > 512 THEN 'max_length' WHEN NOT regexp_full_match(path, '[a-z0-9_-]+(/[a-z0-9_-]+)*') THEN 'invalid'
-      WHEN len(string_split(path, '/')) > 2 THEN 'max_depth' END AS error FROM (SELECT namespace AS path FROM memories UNION SELECT key FROM memories)""",
-    "namespace_lineage": f"{V.sql('memories')} SELECT DISTINCT namespace, array_to_string(list_transform(range(1, len(string_split(namespace, '/')) + 1), lambda n: array_to_string(string_split(namespace, '/')[1:n], '/')), ' ') AS lineage FROM memories",
-    "rename_map": f"{V.sql('memories')} SELECT memory_id, CASE WHEN {_UNDER('namespace', 'support')} THEN 'help/desk' || substr(namespace, 8) ELSE namespace END AS namespace FROM memories",
+    "path_subtree": f"{V.sql('memos')} SELECT memory_id, namespace FROM memos WHERE {_UNDER('namespace', 'support')} OR {_UNDER('namespace', 'orbit/sales')}",
+    "path_errors": f"""{V.sql('memos')} SELECT path, CASE WHEN path = '' THEN 'empty' WHEN length(path) > 512 THEN 'max_length' WHEN NOT regexp_full_match(path, '[a-z0-9_-]+(/[a-z0-9_-]+)*') THEN 'invalid'
+      WHEN len(string_split(path, '/')) > 2 THEN 'max_depth' END AS error FROM (SELECT namespace AS path FROM memos UNION SELECT key FROM memos)""",
+    "namespace_lineage": f"{V.sql('memos')} SELECT DISTINCT namespace, array_to_string(list_transform(range(1, len(string_split(namespace, '/')) + 1), lambda n: array_to_string(string_split(namespace, '/')[1:n], '/')), ' ') AS lineage FROM memos",
+    "rename_map": f"{V.sql('memos')} SELECT memory_id, CASE WHEN {_UNDER('namespace', 'support')} THEN 'help/desk' || substr(namespace, 8) ELSE namespace END AS namespace FROM memos",
     "scope_closure": f"{V.sql('scopes', recursive=True)}{_CLOSURE} SELECT ancestor, descendant FROM closure",
     "exact_scope": f"WITH members AS (SELECT c_custkey AS memory_id, n_name || '/' || c_mktsegment AS scope_id FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT memory_id FROM members WHERE scope_id IN ('NATION_0/BUILDING', 'NATION_3/MACHINERY', 'NATION_3')",
     "scope_dag": f"{V.sql('scopes', recursive=True)}{_CLOSURE}{_MEMBERS} SELECT DISTINCT memory_id FROM members JOIN closure ON scope_id = descendant WHERE ancestor IN ('ASIA', 'NATION_0')",
-    "suppression_visible": f"{V.sql('memories', 'metadata')}{_HIDDEN} SELECT memory_id FROM memories WHERE NOT suppressed AND namespace NOT IN (SELECT namespace FROM hidden)",
+    "suppression_visible": f"{V.sql('memos', 'metadata')}{_HIDDEN} SELECT memory_id FROM memos WHERE NOT suppressed AND namespace NOT IN (SELECT namespace FROM hidden)",
     "edge_suppression": f"{V.sql('nodes', 'edges')} SELECT edge_id FROM edges_ e WHERE NOT EXISTS (SELECT 1 FROM nodes_ n WHERE n.suppressed AND n.memory_id IN (e.from_id, e.to_id))",
-    "closest_suppressed": f"{V.sql('memories', 'metadata')}{_HIDDEN} SELECT namespace, arg_max(up, length(up)) AS up FROM hidden GROUP BY 1",
-    "namespace_catalog": f"{V.sql('memories', 'metadata')}{_CATALOG} SELECT * FROM catalog",
-    "namespace_under_prefix": f"{V.sql('memories', 'metadata')}{_CATALOG} SELECT namespace FROM catalog WHERE {_UNDER('namespace', 'support')} AND NOT effective",
+    "closest_suppressed": f"{V.sql('memos', 'metadata')}{_HIDDEN} SELECT namespace, arg_max(up, length(up)) AS up FROM hidden GROUP BY 1",
+    "namespace_catalog": f"{V.sql('memos', 'metadata')}{_CATALOG} SELECT * FROM catalog",
+    "namespace_under_prefix": f"{V.sql('memos', 'metadata')}{_CATALOG} SELECT namespace FROM catalog WHERE {_UNDER('namespace', 'support')} AND NOT effective",
     "namespace_rank": f"{_NSHITS} SELECT namespace, round(score_sum * (1 + ln(1 + hit_count)), 6) + 0.0 AS score, hit_count, round(score_max, 6) + 0.0 AS score_max FROM per ORDER BY score_sum * (1 + ln(1 + hit_count)) DESC, per.score_max DESC, hit_count DESC, namespace LIMIT 20",
     "namespace_meta_rank": f"{_NSHITS} SELECT namespace, round(score, 6) + 0.0 AS score, hit_count FROM (SELECT per.*, score_sum * (1 + ln(1 + hit_count)) * (1 + 0.5 * {_share('support notes', _META_TEXT)}) AS score FROM per LEFT JOIN metadata USING (namespace)) t ORDER BY t.score DESC, score_max DESC, hit_count DESC, namespace LIMIT 20",
-    "namespace_by_metadata": f"{V.sql('memories', 'metadata')}{_CATALOG} SELECT namespace, round({_share('legal notes desk', _META_TEXT)}, 6) + 0.0 AS score FROM catalog WHERE {_share('legal notes desk', _META_TEXT)} > 0",
+    "namespace_by_metadata": f"{V.sql('memos', 'metadata')}{_CATALOG} SELECT namespace, round({_share('legal notes desk', _META_TEXT)}, 6) + 0.0 AS score FROM catalog WHERE {_share('legal notes desk', _META_TEXT)} > 0",
     "namespace_fused": f"""{_NSHITS}{_CATALOG},
 content AS (SELECT namespace, row_number() OVER (ORDER BY round(score_sum * (1 + ln(1 + hit_count)), 6) DESC, namespace) AS rank FROM per QUALIFY rank <= 32),
 scored AS (SELECT namespace, round({_share('support studio notes', _META_TEXT)}, 6) AS s FROM catalog),

@@ -1,6 +1,6 @@
 """The model's tables as views over a data directory, in Spark and as SQL.
 
-Memories, vectors, provenance and outbox are the store's own tables, each row once. Chunks are the documents. The property
+Memos, vectors, provenance and outbox are the store's own tables, each row once. Chunks are the documents. The property
 graph comes from the order tables: regions, nations, customers, suppliers and orders are nodes, their keys are edges."""
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from stratamem.functions.ids import stable_id
 from stratamem.sources.tables import table
 
 
-def memories(spark: SparkSession, d: str) -> DataFrame:
+def memos(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "memory_rows").dropDuplicates(["_id"]).withColumnRenamed("_id", "memory_id")
 
 
@@ -59,8 +59,8 @@ def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
 
 
 def metadata(spark: SparkSession, d: str) -> DataFrame:
-    """namespace, alias, description, suppressed: one row per top namespace of the memories."""
-    top = memories(spark, d).select(F.split("namespace", "/")[0].alias("namespace")).distinct()
+    """namespace, alias, description, suppressed: one row per top namespace of the memos."""
+    top = memos(spark, d).select(F.split("namespace", "/")[0].alias("namespace")).distinct()
     return top.select("namespace", F.initcap("namespace").alias("alias"), F.concat(F.lit("Notes about "), "namespace").alias("description"), F.col("namespace").isin("legal", "orbit").alias("suppressed"))
 
 
@@ -77,7 +77,7 @@ def _n(col: str) -> str:
 
 
 SQL = {
-    "memories": "memories AS (SELECT DISTINCT namespace, key, kind, edge_id, suppressed, _id AS memory_id, _ts_created FROM memory_rows)",
+    "memos": "memos AS (SELECT DISTINCT namespace, key, kind, edge_id, suppressed, _id AS memory_id, _ts_created FROM memory_rows)",
     "chunks": """chunks AS (SELECT 'doc-' || doc_id AS id, namespace, coalesce(memory_key, 'doc-' || doc_id) AS key, text, lower(lang) AS lang, source,
       'mem_' || substr(sha256('mem' || chr(0) || namespace || chr(0) || coalesce(memory_key, 'doc-' || doc_id)), 1, 24) AS memory_id, CAST(epoch_ms(created_at) AS DOUBLE) AS _ts_created
       FROM documents WHERE text IS NOT NULL)""",

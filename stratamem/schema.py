@@ -5,32 +5,34 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _table(**columns: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "d": T.DoubleType(), "b": T.BooleanType(), "v": T.ArrayType(T.FloatType()), "y": T.BinaryType()}
-    fields = [T.StructField(k, kinds[v[0]], v.endswith("?")) for k, v in columns.items()]
-    return T.StructType([*fields, T.StructField("_id", T.StringType(), False), T.StructField("_ts_created", T.DoubleType(), False)])
+_KINDS = {"STRING": T.StringType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(), "BINARY": T.BinaryType(), "ARRAY<FLOAT>": T.ArrayType(T.FloatType())}
+
+
+def _table(columns: str) -> T.StructType:
+    """Columns as in DDL, and the two that every table has."""
+    parts = [c.split(" ", 2) for c in f"{columns}, _id STRING NOT NULL, _ts_created DOUBLE NOT NULL".removeprefix(", ").split(", ")]
+    return T.StructType([T.StructField(name, _KINDS[kind], not rest) for name, kind, *rest in parts])
 
 
-#: "s" string, "d" double, "b" boolean, "v" vector, "y" bytes; "?" may be null.
 TABLES = {
-    "memories": _table(namespace="s", key="s", kind="s", edge_id="s?", suppressed="b"),
-    "source_maps": _table(memory_id="s", source_key="s", content_hash="s?"),
-    "text_features": _table(memory_id="s", source_map_id="s", text="s"),
-    "vector_features": _table(memory_id="s", source_map_id="s", vector="v"),
-    "nodes": _table(memory_id="s", value="s", properties="s?"),
-    "edges": _table(from_node_id="s", to_node_id="s", properties="s?"),
-    "node_labels": _table(kind="s", description="s", schema="s?"),
-    "edge_labels": _table(kind="s", description="s", schema="s?"),
-    "node_label_assignments": _table(node_id="s", label_id="s", props="s"),
-    "edge_label_assignments": _table(edge_id="s", label_id="s", props="s"),
-    "scopes": _table(),
-    "scope_edges": _table(parent="s", child="s"),
-    "scope_closure": _table(ancestor="s", descendant="s"),
-    "memory_scopes": _table(memory_id="s", scope_id="s"),
-    "memory_provenance": _table(parent_root_hex="s", root_hex="s", event_type="s", event_json="s", intent_snapshot_id="s?"),
-    "namespace_metadata": _table(namespace="s", display_name="s?", description="s", suppressed="b"),
-    "memory_tip_outbox": _table(root_hex="s", facet="s", event_type="s", namespace="s", memory_key="s", source_key="s?", edge_id="s?", payload_sha256="s?"),
-    "memory_tip_blobs": _table(content_sha256="s", payload="y?", location="s", cold_uri="s?"),
+    "memos": _table("namespace STRING NOT NULL, key STRING NOT NULL, kind STRING NOT NULL, edge_id STRING, suppressed BOOLEAN NOT NULL"),
+    "source_maps": _table("memory_id STRING NOT NULL, source_key STRING NOT NULL, content_hash STRING"),
+    "text_features": _table("memory_id STRING NOT NULL, source_map_id STRING NOT NULL, text STRING NOT NULL"),
+    "vector_features": _table("memory_id STRING NOT NULL, source_map_id STRING NOT NULL, vector ARRAY<FLOAT> NOT NULL"),
+    "nodes": _table("memory_id STRING NOT NULL, value STRING NOT NULL, properties STRING"),
+    "edges": _table("from_node_id STRING NOT NULL, to_node_id STRING NOT NULL, properties STRING"),
+    "node_labels": _table("kind STRING NOT NULL, description STRING NOT NULL, schema STRING"),
+    "edge_labels": _table("kind STRING NOT NULL, description STRING NOT NULL, schema STRING"),
+    "node_label_assignments": _table("node_id STRING NOT NULL, label_id STRING NOT NULL, props STRING NOT NULL"),
+    "edge_label_assignments": _table("edge_id STRING NOT NULL, label_id STRING NOT NULL, props STRING NOT NULL"),
+    "scopes": _table(""),
+    "scope_edges": _table("parent STRING NOT NULL, child STRING NOT NULL"),
+    "scope_closure": _table("ancestor STRING NOT NULL, descendant STRING NOT NULL"),
+    "memory_scopes": _table("memory_id STRING NOT NULL, scope_id STRING NOT NULL"),
+    "memory_provenance": _table("parent_root_hex STRING NOT NULL, root_hex STRING NOT NULL, event_type STRING NOT NULL, event_json STRING NOT NULL, intent_snapshot_id STRING"),
+    "namespace_metadata": _table("namespace STRING NOT NULL, display_name STRING, description STRING NOT NULL, suppressed BOOLEAN NOT NULL"),
+    "memory_tip_outbox": _table("root_hex STRING NOT NULL, facet STRING NOT NULL, event_type STRING NOT NULL, namespace STRING NOT NULL, memory_key STRING NOT NULL, source_key STRING, edge_id STRING, payload_sha256 STRING"),
+    "memory_tip_blobs": _table("content_sha256 STRING NOT NULL, payload BINARY, location STRING NOT NULL, cold_uri STRING"),
 }
 
 # Fixed values of the data model.

@@ -131,7 +131,7 @@ def logged(s: Store, out: dict[str, DataFrame], kind: str, events: DataFrame, no
 
 def _events(s: Store, ids: DataFrame) -> DataFrame:
     contents = F.array().cast("array<struct<source_key: string, text: string, vector: array<float>>>").alias("contents")
-    return s.table("memories").join(ids.select(F.col("memory_id").alias("_id")).distinct(), "_id", "left_semi").select("namespace", F.col("key").alias("memory_key"), contents)
+    return s.table("memos").join(ids.select(F.col("memory_id").alias("_id")).distinct(), "_id", "left_semi").select("namespace", F.col("key").alias("memory_key"), contents)
 
 
 def _without(df: DataFrame, ids: DataFrame, on: str, id_: str = "memory_id") -> DataFrame:
@@ -149,14 +149,14 @@ def _doomed_edges(s: Store, ids: DataFrame) -> DataFrame:
 
 
 def cleared(s: Store, ids: DataFrame) -> dict[str, DataFrame]:
-    """All tables without what hangs on the memories `ids` (memory_id): features, labels, nodes, incident edges and the
-    memories of those edges. The rows of the memories themselves stay."""
+    """All tables without what hangs on the memos `ids` (memory_id): features, labels, nodes, incident edges and the
+    memos of those edges. The rows of the memos themselves stay."""
     doomed = _doomed_edges(s, ids)
-    own = s.table("memories").where("edge_id IS NOT NULL").join(doomed, "edge_id", "left_semi").select(F.col("_id").alias("memory_id"))
+    own = s.table("memos").where("edge_id IS NOT NULL").join(doomed, "edge_id", "left_semi").select(F.col("_id").alias("memory_id"))
     gone = ids.select("memory_id").union(own).distinct()
     nodes = s.table("nodes").join(gone, "memory_id", "left_semi").select(F.col("_id").alias("node_id"))
     return {
-        "memories": _without(s.table("memories"), own, "_id"), "source_maps": _without(s.table("source_maps"), gone, "memory_id"), "text_features": _without(s.table("text_features"), gone, "memory_id"),
+        "memos": _without(s.table("memos"), own, "_id"), "source_maps": _without(s.table("source_maps"), gone, "memory_id"), "text_features": _without(s.table("text_features"), gone, "memory_id"),
         "vector_features": _without(s.table("vector_features"), gone, "memory_id"), "nodes": _without(s.table("nodes"), gone, "memory_id"), "edges": _without(s.table("edges"), doomed, "_id", "edge_id"),
         "node_label_assignments": s.table("node_label_assignments").join(nodes, "node_id", "left_anti"), "edge_label_assignments": _without(s.table("edge_label_assignments"), doomed, "edge_id", "edge_id"),
         "memory_scopes": _without(s.table("memory_scopes"), gone, "memory_id"),
@@ -164,7 +164,7 @@ def cleared(s: Store, ids: DataFrame) -> dict[str, DataFrame]:
 
 
 def merge(s: Store, items: DataFrame, now_ms: float) -> None:
-    """Writes node memories: items have namespace, key, properties?, chunks array<struct<key, text, vector>>, labels
+    """Writes node memos: items have namespace, key, properties?, chunks array<struct<key, text, vector>>, labels
     array<struct<kind, props>>. What hung on them before is replaced; time of creation and suppression stay. Of several labels
     of one kind the last wins; illegal namespaces are refused."""
     bad = items.where(path_error("namespace").isNotNull()).take(1)
@@ -172,9 +172,9 @@ def merge(s: Store, items: DataFrame, now_ms: float) -> None:
         raise ValueError(f"illegal namespace {bad[0]['namespace']!r}")
     items = items.withColumn("memory_id", memory_id())
     out, t = cleared(s, items), F.lit(float(now_ms)).alias("_ts_created")
-    old = s.table("memories").select(F.col("_id").alias("memory_id"), F.col("suppressed").alias("was"), F.col("_ts_created").alias("since"))
+    old = s.table("memos").select(F.col("_id").alias("memory_id"), F.col("suppressed").alias("was"), F.col("_ts_created").alias("since"))
     fresh = items.join(old, "memory_id", "left").select("namespace", "key", F.lit("node").alias("kind"), F.lit(None).cast("string").alias("edge_id"), F.coalesce("was", F.lit(False)).alias("suppressed"), F.col("memory_id").alias("_id"), F.coalesce("since", F.lit(float(now_ms))).alias("_ts_created"))
-    out["memories"] = _without(out["memories"], items, "_id").unionByName(fresh)
+    out["memos"] = _without(out["memos"], items, "_id").unionByName(fresh)
     node = stable_id("node", F.col("memory_id"))
     out["nodes"] = out["nodes"].unionByName(items.select("memory_id", F.col("key").alias("value"), "properties", node.alias("_id"), t))
     chunks = items.select("memory_id", F.explode("chunks").alias("c")).select("memory_id", F.col("c.key").alias("source_key"), "c.text", "c.vector").withColumn("sm", stable_id("sm", F.col("memory_id"), F.col("source_key")))
@@ -209,7 +209,7 @@ def link(s: Store, edges: DataFrame, now_ms: float) -> None:
 
 def replace_feature(s: Store, ns: str, key: str, source_key: str, now_ms: float, text: str | None = None, vector: list[float] | None = None) -> None:
     """Replaces the text or the vector of one chunk; what isn't given stays."""
-    m = s.table("memories").where((F.col("namespace") == ns) & (F.col("key") == key)).select("_id").limit(1).collect()
+    m = s.table("memos").where((F.col("namespace") == ns) & (F.col("key") == key)).select("_id").limit(1).collect()
     sm = m and s.table("source_maps").where((F.col("memory_id") == m[0]["_id"]) & (F.col("source_key") == source_key)).select("_id").limit(1).collect()
     if not sm:
         raise KeyError((ns, key, source_key))
@@ -222,21 +222,21 @@ def replace_feature(s: Store, ns: str, key: str, source_key: str, now_ms: float,
 
 
 def delete(s: Store, ids: DataFrame, now_ms: float) -> None:
-    """Deletes memories (memory_id) with all that hangs on them, one event each; unknown ids are nothing to delete."""
+    """Deletes memos (memory_id) with all that hangs on them, one event each; unknown ids are nothing to delete."""
     out = cleared(s, ids)
-    out["memories"] = _without(out["memories"], ids, "_id")
+    out["memos"] = _without(out["memos"], ids, "_id")
     s.commit(logged(s, out, "DELETE_MEMORY", _events(s, ids), now_ms))
 
 
 def suppress(s: Store, ids: DataFrame, now_ms: float, flag: bool = True) -> None:
-    """Hides memories (memory_id) from reads, or shows them again; writes stay allowed. Those that are so already give no event."""
-    changed = s.table("memories").where(F.coalesce("suppressed", F.lit(False)) != flag).select(F.col("_id").alias("memory_id")).join(ids.select("memory_id"), "memory_id", "left_semi")
+    """Hides memos (memory_id) from reads, or shows them again; writes stay allowed. Those that are so already give no event."""
+    changed = s.table("memos").where(F.coalesce("suppressed", F.lit(False)) != flag).select(F.col("_id").alias("memory_id")).join(ids.select("memory_id"), "memory_id", "left_semi")
     ids = keep(changed, "suppress")
     if not ids.take(1):
         return
     hit = ids.select(F.col("memory_id").alias("_id"), F.lit(True).alias("hit")).distinct()
-    rows = s.table("memories").join(hit, "_id", "left")
-    out = {"memories": rows.withColumn("suppressed", F.when(F.col("hit"), flag).otherwise(F.col("suppressed"))).drop("hit")}
+    rows = s.table("memos").join(hit, "_id", "left")
+    out = {"memos": rows.withColumn("suppressed", F.when(F.col("hit"), flag).otherwise(F.col("suppressed"))).drop("hit")}
     s.commit(logged(s, out, "SUPPRESS_MEMORY" if flag else "UNSUPPRESS_MEMORY", _events(s, ids), now_ms))
 
 
@@ -272,7 +272,7 @@ def _scopes(s: Store, edges: DataFrame) -> None:
 
 
 def replace_scopes(s: Store, rows: DataFrame) -> None:
-    """Attaches memories to scopes (memory_id, scope_id) in place of those they were attached to."""
+    """Attaches memos to scopes (memory_id, scope_id) in place of those they were attached to."""
     kept = _without(s.table("memory_scopes"), rows, "memory_id")
     s.commit({"memory_scopes": kept.unionByName(rows.distinct().select("memory_id", "scope_id", stable_id("ms", F.col("memory_id"), F.col("scope_id")).alias("_id"), F.lit(0.0).alias("_ts_created")))})
 
@@ -297,11 +297,11 @@ def payloads(s: Store, fields: DataFrame, cold_path: str | None = None) -> DataF
 
 
 def rename_namespace(s: Store, old: str, new: str, recursive: bool = True) -> None:
-    """Moves memories to the renamed namespace. Their ids follow from their names, so every reference is rewritten; a memory
+    """Moves memos to the renamed namespace. Their ids follow from their names, so every reference is rewritten; a memory
     that is already there is a collision and nothing is changed."""
     hit = under("namespace", old) if recursive else F.col("namespace") == old
-    moved = s.table("memories").where(hit).select(F.col("_id").alias("was"), renamed("namespace", old, new, recursive).alias("namespace"), "key").withColumn("now", memory_id())
-    stay = s.table("memories").where(~hit)
+    moved = s.table("memos").where(hit).select(F.col("_id").alias("was"), renamed("namespace", old, new, recursive).alias("namespace"), "key").withColumn("now", memory_id())
+    stay = s.table("memos").where(~hit)
     if stay.join(moved.select(F.col("now").alias("_id")), "_id", "left_semi").take(1):
         raise ValueError("a memory of that name is already there")
 
@@ -311,7 +311,7 @@ def rename_namespace(s: Store, old: str, new: str, recursive: bool = True) -> No
 
     nodes = s.table("nodes").join(moved.select(F.col("was").alias("memory_id"), F.col("now").alias("new_id")), "memory_id").select(F.col("_id").alias("was"), stable_id("node", F.col("new_id")).alias("now"))
     maps = s.table("source_maps").join(moved.select(F.col("was").alias("memory_id"), F.col("now").alias("new_id")), "memory_id").select(F.col("_id").alias("was"), stable_id("sm", F.col("new_id"), F.col("source_key")).alias("now"))
-    out = {"memories": swap(s.table("memories").withColumn("namespace", renamed("namespace", old, new, recursive)), "_id", moved), "nodes": swap(swap(s.table("nodes"), "memory_id", moved), "_id", nodes),
+    out = {"memos": swap(s.table("memos").withColumn("namespace", renamed("namespace", old, new, recursive)), "_id", moved), "nodes": swap(swap(s.table("nodes"), "memory_id", moved), "_id", nodes),
            "source_maps": swap(swap(s.table("source_maps"), "memory_id", moved), "_id", maps), "edges": swap(swap(s.table("edges"), "from_node_id", nodes), "to_node_id", nodes),
            "node_label_assignments": swap(s.table("node_label_assignments"), "node_id", nodes), "memory_scopes": swap(s.table("memory_scopes"), "memory_id", moved).withColumn("scope_id", renamed("scope_id", old, new, recursive)),
            "namespace_metadata": s.table("namespace_metadata").withColumn("namespace", renamed("namespace", old, new, recursive))}

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratamem import ontology as O
-from stratamem.client import Memories
+from stratamem.client import Memos
 from stratamem.operators import dedup as D
 from stratamem.operators import links as L
 from stratamem.operators import references as REF
@@ -65,9 +65,9 @@ ITEM = "namespace string, key string, properties string, chunks array<struct<key
 
 def test_store_life(spark, tmp_path):
     s = S.Store(spark, f"file://{tmp_path}/store")
-    assert s.table("memories").count() == 0
+    assert s.table("memos").count() == 0
     S.merge(s, spark.createDataFrame([_item("a", "x", "one", [("fact", "1"), ("fact", "2")]), _item("a/b", "y", "two")], ITEM), 10.0)
-    ids = {r["key"]: r["_id"] for r in s.table("memories").collect()}
+    ids = {r["key"]: r["_id"] for r in s.table("memos").collect()}
     S.link(s, spark.createDataFrame([(ids["x"], ids["y"], "knows", None)], "from_id string, to_id string, kind string, properties string"), 11.0)
     assert s.table("edges").count() == 1 and s.table("node_label_assignments").first()["props"] == "2"
     with pytest.raises(ValueError):
@@ -78,13 +78,13 @@ def test_store_life(spark, tmp_path):
     S.suppress(s, one, 12.0)
     S.suppress(s, one, 13.0)
     S.merge(s, spark.createDataFrame([_item("a", "x", "three")], ITEM), 99.0)
-    m = s.table("memories").where("key = 'x'").first()
+    m = s.table("memos").where("key = 'x'").first()
     assert m["suppressed"] and m["_ts_created"] == 10.0 and s.table("edges").count() == 0 and {r["text"] for r in s.table("text_features").collect()} == {"two", "three"}
     S.replace_feature(s, "a", "x", "body", 100.0, text="four")
     assert {r["text"] for r in s.table("text_features").collect()} == {"two", "four"} and s.table("vector_features").count() == 2
     S.rename_namespace(s, "a", "z")
-    assert {r["namespace"] for r in s.table("memories").collect()} == {"z", "z/b"}
-    moved = s.table("memories")
+    assert {r["namespace"] for r in s.table("memos").collect()} == {"z", "z/b"}
+    moved = s.table("memos")
     for t in ("source_maps", "text_features", "vector_features", "nodes", "memory_scopes"):
         assert s.table(t).join(moved.select(F.col("_id").alias("memory_id")), "memory_id", "left_anti").count() == 0
     assert s.table("text_features").join(s.table("source_maps").select(F.col("_id").alias("source_map_id")), "source_map_id", "left_anti").count() == 0
@@ -93,8 +93,8 @@ def test_store_life(spark, tmp_path):
     S.merge(s, spark.createDataFrame([_item("q", "x", "five")], ITEM), 5.0)
     with pytest.raises(ValueError):
         S.rename_namespace(s, "q", "z")
-    S.delete(s, s.table("memories").where("key = 'x'").select(F.col("_id").alias("memory_id")), 200.0)
-    assert s.table("memories").count() == 1 and s.table("text_features").first()["text"] == "two"
+    S.delete(s, s.table("memos").where("key = 'x'").select(F.col("_id").alias("memory_id")), 200.0)
+    assert s.table("memos").count() == 1 and s.table("text_features").first()["text"] == "two"
     ro = S.Store(spark, f"file://{tmp_path}/store", readonly=True)
     with pytest.raises(PermissionError):
         S.upsert_metadata(ro, s.table('namespace_metadata'))
@@ -105,8 +105,8 @@ def test_store_life(spark, tmp_path):
 def test_client_and_history(spark, tmp_path):
     s = S.Store(spark, f"file://{tmp_path}/store")
     S.merge(s, spark.createDataFrame([_item("a", "x", "merged budget", [("fact", "{}")]), _item("a/b", "y", "budget of dawn"), _item("c", "z", "dawn")], ITEM), 10.0)
-    m = Memories(s)
-    ids = {r["key"]: r["memory_id"] for r in m.memories().collect()}
+    m = Memos(s)
+    ids = {r["key"]: r["memory_id"] for r in m.memos().collect()}
     S.link(s, spark.createDataFrame([(ids["x"], ids["y"], "knows", '{"directed":true}')], "from_id string, to_id string, kind string, properties string"), 11.0)
     keys = lambda **o: [r["key"] for r in m.search(**o).collect()]
     assert set(keys(text="budget")) == {"x", "y"} and keys(text="budget", namespaces=["a/b"]) == ["y"] and keys(text="budget", labels=(["fact"], [])) == ["x"] and keys(text="budget", as_of={"lt": 5.0}) == []
@@ -117,7 +117,7 @@ def test_client_and_history(spark, tmp_path):
     first = R.head(m.log()).first()["root"]
     assert R.verify_chain(m.log()).where("NOT links OR NOT hashes").count() == 0
     S.merge(s, spark.createDataFrame([_item("a", "x", "other text")], ITEM), 20.0)
-    S.delete(s, m.memories().where("key = 'z'").select("memory_id"), 30.0)
+    S.delete(s, m.memos().where("key = 'z'").select("memory_id"), 30.0)
     body = lambda root=None: {(r["memory_key"], bytes(r["body"]).decode()) for r in S.payloads(s, m.state_at("content", root), f"{tmp_path}/cold").collect()}
     assert body(first) == {("x", "merged budget"), ("y", "budget of dawn"), ("z", "dawn")} and body("unknown") == set()
     assert body() == {("x", "other text"), ("y", "budget of dawn")} and m.event_at(first).count() == 1

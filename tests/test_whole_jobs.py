@@ -4,7 +4,6 @@ import datetime
 
 import numpy as np
 
-from stratamem.llm import residue as RES
 from stratamem.operators import dedup as D
 from stratamem.operators import links as L
 from stratamem.operators import retrieval as R
@@ -67,11 +66,3 @@ def test_hashing_finds_nine_in_ten_for_the_query_set(spark):
     e = PR.V.embeddings(spark, "/root/testdata/sf0.001")
     pairs = [{(r["query_id"], r["id"]) for r in f(e, PR._queries(e), 10, "id").collect()} for f in (R.nearest_each, L.approximate_nearest_each)]
     assert len(pairs[0]) == 50 and len(pairs[0] & pairs[1]) >= 45
-
-
-def test_residue_is_found_without_sources(spark):
-    """A null source is held out of the validation's model, not of the one that gives the verdicts."""
-    filler = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
-    plain = "The harbour office moved its ledgers to the second floor, where the clerks keep the keys of all the older rooms."
-    docs = spark.createDataFrame([(i, filler if i % 2 else f"{plain} It was the year {1900 + i}.", None) for i in range(40)], "doc_id long, text string, source string")
-    assert {(r["doc_id"], r["kind"]) for r in RES.residue(docs).select("doc_id", "kind").collect()} == {(i, "filler") for i in range(1, 40, 2)}
