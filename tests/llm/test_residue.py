@@ -63,3 +63,11 @@ def test_time_is_in_proportion(text):
         R.weak_label(u)
         R.features(u, "long")
     assert time.time() - t < 10
+
+
+def test_residue_is_found_without_sources(spark):
+    """A null source is held out of the validation's model, not of the one that gives the verdicts."""
+    filler = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
+    plain = "The harbour office moved its ledgers to the second floor, where the clerks keep the keys of all the older rooms."
+    docs = spark.createDataFrame([(i, filler if i % 2 else f"{plain} It was the year {1900 + i}.", None) for i in range(40)], "doc_id long, text string, source string")
+    assert {(r["doc_id"], r["kind"]) for r in R.residue(docs).select("doc_id", "kind").collect()} == {(i, "filler") for i in range(1, 40, 2)}
