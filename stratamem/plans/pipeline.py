@@ -8,32 +8,27 @@ from pyspark.sql import functions as F
 from stratamem.operators import changes as C
 from stratamem.operators import hierarchy as H
 from stratamem.operators import references as R
-from stratamem.sources.tables import table
+from stratamem.sources.tables import keep, table
 
 
-def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The distinct pointing rows of the three tables, and the state of their keys."""
-    rows = (
-        R.pointers(table(spark, d, "memory_tip_outbox"), "memory_tip_outbox", "_id", "payload_sha256", "_ts_created")
-        .unionByName(R.pointers(table(spark, d, "nodes"), "nodes", "_id", "memory_id", "_ts_created"))
-        .unionByName(R.pointers(table(spark, d, "database_ontology_links"), "database_ontology_links", "link_id", "ontology_hash", "linked_at_ms"))
-        .distinct()
-    )
-    state = R.counts(
-        R.ref_deltas(rows),
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger of the pointing rows of the three tables and of their targets."""
+    return R.ledger(
+        R.ref_deltas(table(spark, d, "memory_tip_outbox"), "memory_tip_outbox", "_id", "payload_sha256", "_ts_created"),
+        R.ref_deltas(table(spark, d, "nodes"), "nodes", "_id", "memory_id", "_ts_created"),
+        R.ref_deltas(table(spark, d, "database_ontology_links"), "database_ontology_links", "link_id", "ontology_hash", "linked_at_ms"),
         R.exist_deltas(table(spark, d, "memory_tip_blobs"), "memory_tip_outbox", "content_sha256", "_ts_created", F.col("location") != "dropped"),
         R.exist_deltas(table(spark, d, "memory_rows"), "nodes", "_id", "_ts_created"),
         R.exist_deltas(table(spark, d, "ontologies"), "database_ontology_links", "ontology_hash", "created_at_ms"),
     )
-    return rows, state
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return R.orphan_rows(*_references(spark, d)).select("child_table", "child_id")
+    return R.orphan_rows(_references(spark, d)).select("child_table", "child_id")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return R.report(R.orphan_rows(*_references(spark, d)))
+    return R.report(R.orphan_rows(_references(spark, d)))
 
 
 def _provenance(spark: SparkSession, d: str) -> DataFrame:
@@ -41,9 +36,8 @@ def _provenance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    changed = C.changes(table(spark, d, "memory_tip_outbox"))
-    placed = H.hierarchy(_provenance(spark, d)).select(F.col("node").alias("root"), F.coalesce("depth", "to_cycle").alias("place"))
-    return C.current(changed, placed.join(C.tied_roots(changed), "root", "left_semi"))
+    changed = keep(C.changes(table(spark, d, "memory_tip_outbox")), "changes")
+    return C.current(changed, C.order(changed, C.links(table(spark, d, "memory_provenance"))))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

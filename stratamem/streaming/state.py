@@ -74,5 +74,6 @@ def live_fields(state: DataFrame, facet: str) -> DataFrame:
 
 
 def reference_state(spark: SparkSession, path: str) -> MergedState:
-    """Signed reference and existence counts from a stream of deltas (child_table, key, d_ref, d_exist, ts)."""
-    return MergedState(spark, path, lambda batch: R.counts(batch), R.merge_states)
+    """The ledger of references and targets from a stream of deltas (`references.ref_deltas` and `exist_deltas`), of which
+    `references.counts` and `orphan_rows` give the report. Deletes, repeats and disorder are all right."""
+    return MergedState(spark, path, lambda batch: R.ledger(batch), R.merge_ledgers)

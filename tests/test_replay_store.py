@@ -163,11 +163,21 @@ def test_streams(spark, tmp_path):
 
 
 def test_reference_stream(spark, tmp_path):
-    schema = "child_table string, key string, d_ref long, d_exist long, ts double"
+    """Targets that come, go and come again, repeats of all of them, and an insert that arrives after its own delete."""
     s = ST.reference_state(spark, f"file://{tmp_path}/refs")
-    for epoch, rows in enumerate(([("c", "k", 1, 0, 1.0), ("c", "l", 1, 0, 1.0)], [("c", "k", 0, 1, 0.5)], [("c", "l", -1, 0, 1.0), ("c", "k", 0, -1, 0.5)])):
-        s.update(spark.createDataFrame(rows, schema), epoch)
-    assert [(r["key"], r["refs"], r["exists"]) for r in REF.orphan_keys(s.current()).collect()] == [("k", 1, 0)]
+    row = lambda i, ts, at: spark.createDataFrame([(i, i[0], ts, at)], "id string, key string, ts double, at double")
+    ref = lambda i, ts, at, sign=1: REF.ref_deltas(row(i, ts, at), "c", "id", "key", "ts", sign, F.col("at"))
+    target = lambda k, ts, at, sign=1: REF.exist_deltas(row(k, ts, at), "c", "key", "ts", None, sign, F.col("at"))
+    seen = []
+    for epoch, batch in enumerate((ref("k1", 5.0, 1.0).union(ref("k2", 1.0, 1.0)), target("k", 3.0, 2.0), target("k", 3.0, 2.0), target("k", 3.0, 4.0, -1), target("k", 3.0, 2.0),
+                                   target("k", 9.0, 5.0), target("k", 3.0, 6.0), ref("k2", 1.0, 7.0, -1), ref("k2", 1.0, 1.0))):
+        s.update(batch, epoch)
+        seen.append({(r["child_id"], r["missing"]) for r in REF.orphan_rows(s.current()).collect()})
+    absent, late = {("k1", "absent"), ("k2", "absent")}, {("k2", "late")}
+    assert seen == [absent, late, late, absent, absent, {("k1", "late"), ("k2", "late")}, late, set(), set()]
+    s.update(target("k", 3.0, 8.0, -1), 20)
+    s.update(target("k", 3.0, 8.0, -1), 20)
+    assert [(r["key"], r["refs"], r["exists"], r["first_exist"]) for r in REF.counts(s.current()).collect()] == [("k", 1, 1, 9.0)]
 
 
 def test_dedup(spark):
