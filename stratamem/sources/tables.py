@@ -35,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = f"file://{own}"
         spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()  # never without its scheme
+    return full.rstrip("/").replace("file:/", "file:///") if full.startswith("file:/") and not full.startswith("file://") else full.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -50,6 +52,25 @@ def keep(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class SharedFiles:
+    """Parquet below a path of the shared folder, read in a task."""
+
+    def __init__(self, path: str):
+        import pyarrow.fs as fs
+
+        self.fs, self.path = fs.FileSystem.from_uri(path)
+
+    def read(self, name: str, columns: list[str]):
+        """The table in the folder `name`; None where nothing was written."""
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        at = f"{self.path}/{name}"
+        if self.fs.get_file_info(at).type == fs.FileType.NotFound:
+            return None
+        return pq.read_table(at, filesystem=self.fs, columns=columns, partitioning=None)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores where its files give fewer partitions than there are cores, for maps that are heavy on CPU.
     Larger inputs have more partitions and are left as they are."""
