@@ -1,21 +1,21 @@
 """Parent-child links to full hierarchies: root, depth, path and descendants of every node, cycles reported.
 
-Weighted disjoint-set forests: each input partition joins its own links into a forest whose entries hold a
-representative and the offset to it (`_contract`, path compression by vectorised pointer jumping). Only nodes another
-partition points at go on; neighbouring partitions are merged level by level while a group stays under `group_limit`
-links, and a last group, or pointer jumping with joins where it would be larger (`_jump`), finds roots and cycles.
-Rows keep their arrival order for this, so that most links are local. Paths are then put together from the local
-segments by following the few links between partitions (`paths`).
+Weighted disjoint-set forests: each stretch of at most `group_limit` input rows joins its own links into a forest whose
+entries hold a representative, the offset to it and the link that leaves the stretch (`_contract`, path compression by
+vectorised pointer jumping). Only nodes another stretch points at go on, level by level (`_solve`). A level links by coins,
+which alone takes away a share of any line, and merges neighbouring stretches into groups of at most `group_limit` entries;
+the levels end when one group holds all that is left. So every step has the same bound at any size, and levels grow with the
+logarithm of what the stretches leave open. Rows keep their arrival order for this, so that most links are local. Paths are
+then put together from the local segments by following the few links between stretches (`paths`).
 
 Defined cases: a node starts a hierarchy (depth 1, itself the root) if its parent is null, blank, zeros or held by no
 row; a null or blank node is no node; exact copies count once; of several parents the smallest is kept (blank first);
-nodes on or below a cycle have no root, but the cycle's smallest node and their distance to it (0 on it); an empty table
-gives empty results.
+nodes on or below a cycle have no root, but the cycle's smallest node; an empty table gives empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from stratamem.sources.tables import keep, normal
 
-GROUP_LIMIT = 2_000_000
-FAN_IN = 8
-ENTRY = "node string, root string, steps long, tgt string, looped boolean"
+GROUP_LIMIT = 200_000  # rows or entries that one task joins
+FEW = 100_000  # contradictory nodes that are broadcast
+ENTRY = "node string, root string, steps long, tgt string, low string, looped boolean"
 
 
 def links(df: DataFrame, node: str, parent: str, zeros: str = "0" * 64) -> DataFrame:
@@ -35,24 +35,31 @@ def links(df: DataFrame, node: str, parent: str, zeros: str = "0" * 64) -> DataF
     return df.select(normal(node).alias("node"), F.when((p != "") & (p != zeros), p).alias("parent")).where("node <> ''")
 
 
-def single_parent(linked: DataFrame) -> DataFrame:
-    """The links without contradictions: of several parents of one node the smallest is kept."""
-    several = linked.groupBy("node").agg(F.min(F.coalesce("parent", F.lit(""))).alias("kept"), F.max(F.coalesce("parent", F.lit(""))).alias("last")).where("kept <> last").drop("last")
-    if not several.take(1):
+def single_parent(linked: DataFrame, few: int = FEW) -> DataFrame:
+    """The links without contradictions, in their order: of several parents of one node the smallest is kept."""
+    up = F.coalesce("parent", F.lit(""))
+    several = keep(linked.groupBy("node").agg(F.min(up).alias("kept"), F.max(up).alias("last")).where("kept <> last").drop("last"), "several")
+    n = several.count()
+    if not n:
         return linked
-    return linked.join(several, "node", "left").where("kept IS NULL OR kept = coalesce(parent, '')").drop("kept")
-
-
-def _jump_local(nxt: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Path compression: the end of each entry's chain and the offset to it; entries in a loop end on it."""
-    nxt, w, span = nxt.copy(), w.copy(), 1
-    while span <= len(nxt):
+    right = "kept IS NULL OR kept = coalesce(parent, '')"
+    if n <= few:
+        return linked.join(F.broadcast(several), "node", "left").where(right).drop("kept")
+    placed = linked.withColumn("at", F.monotonically_increasing_id())
+    return placed.join(several.hint("merge"), "node", "left").where(right).repartitionByRange("at").sortWithinPartitions("at").drop("kept", "at")
+
+
+def _jump_local(nxt: np.ndarray, w: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Path compression: the end of each entry's chain, the offset to it and the least `low` up to it (on a loop: an entry of
+    the loop, and for those on it the least of the whole loop)."""
+    nxt, w, low, span = nxt.copy(), w.copy(), low.copy(), 1
+    while span <= 2 * len(nxt):
         further = nxt[nxt]
-        w = w + w[nxt]
+        w, low = w + w[nxt], np.minimum(low, low[nxt])
         if (further == nxt).all():
             break
         nxt, span = further, span * 2
-    return nxt, w
+    return nxt, w, low
 
 
 def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -61,79 +68,38 @@ def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
     n = len(pdf)
     at = pd.Index(pdf["node"]).get_indexer(pdf["tgt"]) if n else np.zeros(0, int)
     at[pdf["tgt"].isna().to_numpy()] = -1
-    own = np.arange(n)
-    steps = pdf["steps"].to_numpy(np.int64)
-    open_ = at >= 0
-    end, w = _jump_local(np.where(open_, at, own), np.where(open_, steps + 1, 0))
-    looping = open_[end]
-    root, tgt = pdf["root"].to_numpy(object), pdf["tgt"].to_numpy(object)
-    looped = pdf["looped"].to_numpy(bool)
-    out = pd.DataFrame({"node": pdf["node"], "root": root[end], "steps": w + steps[end], "tgt": tgt[end], "looped": looped[end] | looping})
-    if looping.any():
-        on = np.zeros(n, bool)
-        on[end[looping]] = True
-        name, low = pdf["node"].to_numpy(object), {}
-        for i in np.flatnonzero(on):
-            if i not in low:
-                ring = [i]
-                while (j := at[ring[-1]]) != i:
-                    ring.append(j)
-                low |= dict.fromkeys(ring, min(name[k] for k in ring))
-        end, w = _jump_local(np.where(on | ~open_, own, at), np.where(on | ~open_, 0, steps + 1))
-        for i in np.flatnonzero(looping):
-            out.at[i, "root"], out.at[i, "steps"], out.at[i, "tgt"] = low[end[i]], w[i], None
-    return out
-
-
-def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A partition as one group; bounded by the split size, or by group_limit."""
-    parts = [b for b in batches if len(b)]
-    if parts:
-        yield _contract(pd.concat(parts, ignore_index=True))
-
-
-def _jump(entries: DataFrame) -> DataFrame:
-    """The same result as one `_contract` over all entries, by pointer jumping with joins: for any number of entries.
-
-    A round resolves the entries of up to twice the length; one that resolves none leaves only loops and what is below
-    them. Those jump on until their images stay the same in number (then they are the loops) and their minima settle."""
-    now = keep(entries.dropDuplicates(["node"]), "jump")
-    left = now.where("tgt IS NOT NULL").count()
-    while left:
-        far = now.select(F.col("node").alias("tgt"), F.col("root").alias("r2"), F.col("steps").alias("s2"), F.col("tgt").alias("t2"), F.col("looped").alias("l2"))
-        now = keep(now.join(far, "tgt", "left").select(
-            "node", F.coalesce("r2", "root").alias("root"), F.when(F.col("s2").isNull(), F.col("steps")).otherwise(F.col("steps") + 1 + F.col("s2")).alias("steps"),
-            F.col("t2").alias("tgt"), F.coalesce("l2", "looped").alias("looped")), "jump")
-        before, left = left, now.where("tgt IS NOT NULL").count()
-        if left == before:
-            break
-    if not left:
-        return now
-    bound = entries.dropDuplicates(["node"]).join(now.where("tgt IS NOT NULL").select("node"), "node", "left_semi")
-    hop = keep(bound.select("node", F.col("tgt").alias("to"), F.col("node").alias("low")), "loop")
-    images, lows = -1, None
-    while True:
-        hop = keep(hop.alias("a").join(hop.alias("b"), F.col("a.to") == F.col("b.node")).select(
-            "a.node", F.col("b.to").alias("to"), F.least("a.low", "b.low").alias("low")), "loop")
-        ring = hop.select(F.col("to").alias("node")).distinct()
-        on = hop.join(ring, "node", "left_semi")
-        n, sums = ring.count(), on.agg(F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first()[0]
-        if (n, sums) == (images, lows):
-            break
-        images, lows = n, sums
-    on = keep(on.select("node", F.col("low").alias("root"), F.lit(0).cast("long").alias("steps"), F.lit(None).cast("string").alias("tgt"), F.lit(True).alias("looped")), "ring")
-    below = _jump(bound.join(on, "node", "left_anti").unionByName(on))
-    return now.where("tgt IS NULL").unionByName(below)
-
-
-def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The forest of a partition's own links (node, parent, part)."""
-    parts = [b for b in batches if len(b)]
-    if parts:
-        pdf = pd.concat(parts, ignore_index=True).drop_duplicates("node").reset_index(drop=True)
-        out = _contract(pd.DataFrame({"node": pdf["node"], "root": pdf["node"], "steps": 0, "tgt": pdf["parent"], "looped": False}))
-        out["parent"], out["part"] = pdf["parent"], pdf["part"]
-        yield out
+    open_, own, steps = at >= 0, np.arange(n), pdf["steps"].to_numpy(np.int64)
+    names, rank = np.unique(pdf["low"].to_numpy(object).astype(str), return_inverse=True)
+    end, w, low = _jump_local(np.where(open_, at, own), np.where(open_, steps + 1, 0), rank)
+    bent = open_[end]
+    looped = bent | pdf["looped"].to_numpy(bool)[end]
+    low = np.where(bent, low[end], np.where(looped, rank[end], np.minimum(low, rank[end])))
+    pick = lambda c: pd.Series(pdf[c].to_numpy(object)[end], dtype=object)
+    return pd.DataFrame({"node": pdf["node"], "root": pick("root").mask(looped, None), "steps": w + steps[end], "tgt": pick("tgt").mask(looped, None), "low": names[low] if n else [], "looped": looped})
+
+
+def _local(group_limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The forests of the stretches of a partition's links (node, parent, part); part becomes that of the stretch."""
+
+    def joined(pdf: pd.DataFrame, number: int) -> pd.DataFrame:
+        part = (int(pdf["part"].iloc[0]) << 24) + number
+        pdf = pdf.drop_duplicates("node").reset_index(drop=True)
+        out = _contract(pd.DataFrame({"node": pdf["node"], "root": pdf["node"], "steps": 0, "tgt": pdf["parent"], "low": pdf["node"], "looped": False}))
+        return out.assign(parent=pdf["parent"], part=part)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, number = [], 0, 0
+        for b in batches:
+            while len(b):
+                some, b = b.iloc[: group_limit - size], b.iloc[group_limit - size :]
+                held, size = [*held, some], size + len(some)
+                if size == group_limit:
+                    yield joined(pd.concat(held, ignore_index=True), number)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield joined(pd.concat(held, ignore_index=True), number)
+
+    return run
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,44 +112,67 @@ def _boundary(entries: DataFrame) -> DataFrame:
     return entries.join(entries.where("tgt IS NOT NULL").select(F.col("tgt").alias("node")).distinct(), "node", "left_semi")
 
 
+def _past(far: DataFrame) -> DataFrame:
+    return far.select(F.col("node").alias("tgt"), F.col("root").alias("r2"), F.col("steps").alias("s2"), F.col("tgt").alias("t2"), F.col("low").alias("low2"), F.col("looped").alias("l2"))
+
+
+def _joined(entries: DataFrame, far: DataFrame, tgt: str) -> DataFrame:
+    """Entries continued past their targets, which `far` holds once each; `tgt` is what becomes of the target."""
+    met = F.col("s2").isNotNull()
+    return entries.join(_past(far), "tgt", "left").withColumns({
+        "root": F.when(met, F.col("r2")).otherwise(F.col("root")), "steps": F.when(met, F.col("steps") + 1 + F.col("s2")).otherwise(F.col("steps")),
+        "low": F.when(F.col("l2"), F.col("low2")).when(met, F.least("low", "low2")).otherwise(F.col("low")),
+        "looped": F.coalesce("l2", "looped"), "tgt": F.expr(tgt)}).drop("r2", "s2", "t2", "low2", "l2")
+
+
 def _follow(entries: DataFrame, solved: DataFrame) -> DataFrame:
     """Entries continued through what their targets are resolved to; a target held by no row ends the chain."""
-    far = solved.select(F.col("node").alias("tgt"), F.col("root").alias("r2"), F.col("steps").alias("s2"), F.col("looped").alias("l2"))
-    return entries.join(far, "tgt", "left").withColumns({
-        "root": F.coalesce("r2", "root"), "steps": F.when(F.col("s2").isNull(), F.col("steps")).otherwise(F.col("steps") + 1 + F.col("s2")),
-        "looped": F.coalesce("l2", "looped")}).drop("r2", "s2", "l2", "tgt")
+    return _joined(entries, solved, "CAST(NULL AS STRING)")
 
 
-def _solve(entries: DataFrame, group_limit: int, groups: int = 1, fan_in: int = FAN_IN) -> DataFrame:
-    """Entries (with their group as part) resolved among themselves: in one group, by merging neighbouring groups, or
-    where a group would exceed the limit, by jumping."""
-    entries = keep(entries, "entries")
-    if entries.count() <= group_limit:
-        return keep(entries.drop("part").coalesce(1).mapInPandas(_whole, ENTRY), "solved")
-    wide = F.floor(F.col("part") / fan_in).cast("int")
-    if groups <= fan_in or entries.groupBy(wide).count().agg(F.max("count")).first()[0] > group_limit:
-        return _jump(entries.drop("part"))
-    merged = keep(entries.withColumn("part", wide).groupBy("part").applyInPandas(_merge, f"{ENTRY}, part int"), "merged")
-    return _follow(merged, _solve(_boundary(merged), group_limit, -(-groups // fan_in), fan_in)).drop("part")
+def _coin_linked(entries: DataFrame, level: int) -> DataFrame:
+    """Entries continued past targets that are done or whose coin of this level is tails. On a line, a quarter of the entries is
+    pointed at no more, whatever the order of the rows."""
+    tails = F.xxhash64("node", F.lit(level)) % 2 == 0
+    return _joined(entries, entries.where(tails | F.col("tgt").isNull()), "CASE WHEN s2 IS NULL THEN tgt ELSE t2 END")
 
 
-def _forest(linked: DataFrame) -> DataFrame:
-    return keep(linked.withColumn("part", F.spark_partition_id()).mapInPandas(_local, f"{ENTRY}, parent string, part int"), "forest")
+def _grouped(entries: DataFrame, group_limit: int) -> DataFrame:
+    """Entries with neighbouring parts put together, as many as make no more than group_limit entries."""
+    places, group, size = [], 0, 0
+    for r in entries.groupBy("part").count().orderBy("part").collect():  # a row a part of the input
+        group, size = (group, size + r["count"]) if size + r["count"] <= group_limit or not size else (group + 1, r["count"])
+        places.append((r["part"], group))
+    to = entries.sparkSession.createDataFrame(places, "part long, wide long")
+    return entries.join(F.broadcast(to), "part").drop("part").withColumnRenamed("wide", "part")
 
 
-def hierarchy(linked: DataFrame, group_limit: int = GROUP_LIMIT, fan_in: int = FAN_IN) -> DataFrame:
-    """node, parent, root, depth, cycle, to_cycle of every node of `links(...)`.
+def _solve(entries: DataFrame, group_limit: int) -> DataFrame:
+    """Entries (with their part) resolved among themselves, each node once."""
+    now, levels = keep(entries.dropDuplicates(["node"]), "entries"), []
+    while now.count() > group_limit:
+        linked = keep(_coin_linked(now, len(levels)), "linked")
+        merged = keep(_grouped(linked, group_limit).groupBy("part").applyInPandas(_merge, f"{ENTRY}, part long"), "merged")
+        levels.append(merged)
+        now = keep(_boundary(merged), "entries")
+    solved = keep(now.groupBy(F.lit(0).alias("all")).applyInPandas(_contract, ENTRY), "solved")
+    for merged in reversed(levels):
+        solved = keep(_follow(merged.drop("part"), solved), "solved")
+    return solved
 
-    root and depth (1 at the root) are null on and below cycles; cycle and to_cycle are null elsewhere."""
-    forest = _forest(single_parent(linked))
-    groups = (forest.agg(F.max("part")).first()[0] or 0) + 1
-    whole = _follow(forest.drop("part"), _solve(_boundary(forest.drop("parent")), group_limit, groups, fan_in))
-    looped = keep(whole.where("looped").select("node", "parent").dropDuplicates(["node"]), "looped")
-    cycles = _solve(looped.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("steps"), F.col("parent").alias("tgt"), F.lit(False).alias("looped")), group_limit)
-    none = {t: F.lit(None).cast(t) for t in ("string", "long")}
-    straight = whole.where("NOT looped").select("node", "parent", "root", (F.col("steps") + 1).alias("depth"), none["string"].alias("cycle"), none["long"].alias("to_cycle")).dropDuplicates(["node"])
-    bent = looped.join(cycles.select("node", F.col("root").alias("cycle"), F.col("steps").alias("to_cycle")), "node")
-    return straight.unionByName(bent.select("node", "parent", none["string"].alias("root"), none["long"].alias("depth"), "cycle", "to_cycle"))
+
+def _forest(linked: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    return keep(linked.withColumn("part", F.spark_partition_id().cast("long")).mapInPandas(_local(group_limit), f"{ENTRY}, parent string, part long"), "forest")
+
+
+def hierarchy(linked: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """node, parent, root, depth, cycle of every node of `links(...)`.
+
+    root and depth (1 at the root) are null on and below cycles; cycle is null elsewhere."""
+    forest = _forest(single_parent(linked), group_limit)
+    whole = _follow(forest.drop("part"), _solve(_boundary(forest.drop("parent")), group_limit)).dropDuplicates(["node"])
+    bent = F.col("looped")
+    return whole.select("node", "parent", F.when(~bent, F.col("root")).alias("root"), F.when(~bent, F.col("steps") + 1).alias("depth"), F.when(bent, F.col("low")).alias("cycle"))
 
 
 PATH_ENTRIES = 200_000
