@@ -63,11 +63,16 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return R.residue(table(spark, d, "documents"))
 
 
+def p8_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents the model and the weak labels alone call residue, by what each says."""
+    return R.residue(table(spark, d, "documents"), labels=True).groupBy("kind", "by_labels").agg(F.count("*").alias("n"))
+
+
 def p8_validation(spark: SparkSession, d: str) -> DataFrame:
     return R.train(table(spark, d, "documents"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_chunk_counts, p5_found, p5_neighbours, p6_batches, p6_waste, p7_found, p7_near, p8_found, p8_kinds, p8_validation)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_chunk_counts, p5_found, p5_neighbours, p6_batches, p6_waste, p7_found, p7_near, p8_found, p8_kinds, p8_agreement, p8_validation)}
 
 SQL = {
     "p2_found": """

@@ -1,16 +1,22 @@
 """Template residue and error-page text: a linear classifier on hashed n-grams over the lines and sentences of a text.
 
 A text is read as paragraphs of units (sentences, or lines of lists and fields), after code and quotations are set
-aside. Weak labels come from response-status and phrase patterns (`weak_label`); on a bounded sample of the units of
-training hosts, a regularised softmax model of four classes is fitted: clean, slot (an unfilled placeholder), filler
-and notice (error, access, maintenance, sign-in and script notices). Its features are hashed word n-grams, markup and
-placeholder shapes, length and repetition of the unit, and where it stands (after a title, in a short body). The model
-then reads every unit of every document, and a document is residue if any unit is a slot, if at least three of
-five units of a paragraph are filler, or if its body - what is left without title, menu and footer - is nothing but notice, or a
-few sentences of which half or more are.
+aside. Weak labels come from response-status and phrase patterns (`weak_label`); on a bounded sample of the units, and on
+the seeds of `seeds.py` (status phrases, notices, template fields and short notes put together by rule), a regularised softmax
+model of four classes is fitted: clean, slot (an unfilled placeholder), filler and notice (error, access, maintenance, sign-in
+and script notices). The model alone gives the verdicts; the patterns only label its sample.
+
+Its features are hashed word n-grams; for anything that stands between brackets or signs, the signs, the case, the number and
+the kind of its words (`_described`), so that a placeholder is told by how it is made and not by a list of spellings; and the
+unit's length, repetition, names, and place after a title. These last ones say little of their own: features are dropped at
+random in training, and clean units, often down to no known word, so what the model knows nothing of is clean. A class other
+than clean needs a probability of SURE.
+
+A document is residue if any unit is a slot, if at least three of five units of a paragraph are filler, or if at least half of
+its body - what is left without title, menu and footer - is notice.
 
 Defined cases: null and blank texts are no residue; a text of code or quotations only has no units and is none; doc_ids
-may repeat and be null; without documents the result is empty, and without any weakly labelled residue no document is.
+may repeat and be null; placeholders are read up to 60 characters; without documents the result is empty.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,19 +32,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratamem.llm.seeds import seeds
 from stratamem.sources.tables import spread
 
 CLASSES = ("clean", "slot", "filler", "notice")
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
+SHAPED = 1 << 10  # the first buckets: features of length and place
+SURE = 0.65
 FIT_DOCS = 20_000  # the largest number of documents the sample of units is drawn from
-FIT_UNITS = 50_000  # the largest number of units the model is fitted on
-HELD_OUT_HOSTS = 5  # one host in so many is not trained on
-
-# Phrases and shapes that weak labels are made of.
-_FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(pre|code|script|style)\b.{0,50000}?</\1>", re.S | re.I)
+FIT_UNITS = 50_000  # the largest number of their units the model is fitted on
+HELD_OUT_HOSTS = 5  # in validation, one host in so many is not trained on
+KNOWN_WORDS = 300_000  # kept in each Python worker
+DOCS_AT_ONCE = 500
+
+# Phrases and shapes that weak labels are made of, and how texts are parted.
+_FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
+_OPENS = re.compile(r"<(pre|code|script|style|head|title|nav|footer)\b[^<>]*>", re.I)
 _INLINE = re.compile(r"`[^`\n]*`")
-_QUOTE = re.compile(r"(?<!\w)'[^'\n]{1,200}'(?!\w)|\"[^\"\n]{1,200}\"|“[^”\n]{0,300}”|„[^“”\n]{0,300}[“”]|«[^»\n]{0,300}»|‘[^’\n]{0,300}’")
-_TAG = re.compile(r"</?(?:html|head|title|body|h[1-6]|hr|br|div|p|span|noscript|center|main|section|article|ul|ol|li|table|tr|td|th|a|b|i|em|strong|header|footer|nav|form|button|meta|link|img)\b(?:\s[^<>]*)?/?>|<!--.{0,50000}?-->|<!doctype[^>]*>", re.I | re.S)
+_QUOTE = re.compile(r"(?<!\w)'[^'\n]+'(?!\w)|\"[^\"\n]+\"|“[^“”„\n]*”|„[^“”„\n]*[“”]|«[^«»\n]*»|‘[^‘’\n]*’")
+_TAG = re.compile(r"</?(?:html|head|title|body|h[1-6]|hr|br|div|p|span|noscript|center|main|section|article|ul|ol|li|table|tr|td|th|a|b|i|em|strong|header|footer|nav|form|button|meta|link|img)\b(?:\s[^<>]*)?/?>|<!doctype[^>]*>", re.I | re.S)
 _LINK_SLOT = re.compile(r"<(?:title|link|label|code|summary|time|a|b|i|form|table|button|header|footer)>", re.I)
 _SLOT = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<%=?[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|\[\[[^\[\]\n]{1,60}\]\]"
@@ -65,36 +78,69 @@ _NOTICE = re.compile(
     r"|(?:page|seite|site|página|view|document|resource) (?:you .{1,30} )?(?:not found|nicht gefunden|non trouvée|introuvable|no encontrada|has moved|does not exist|no longer exists)|^página no encontrada|^page introuvable|^seite nicht gefunden|^die seite .{0,40}(?:nicht|existiert)|^zugriff verweigert|^accès refusé|^acceso denegado|^(?:votre|su|ihre) (?:session|sesión|sitzung)\b|wartung|en maintenance|en mantenimiento", re.I)
 _CHROME = re.compile(
     r"^(?:#+ .*|[\w-]+(?:/[\w-]+)+|retry|close|ok|go back|reload|return to .{1,30}|back to top|status page|reference\b.{0,20}|request id\b.{0,30}|(?:contact|terms|imprint|privacy|home|menu|login|sign in|sign up|help|search|notes|explore|namespaces|about|impressum|datenschutz|kontakt|suche|hilfe|accueil|inicio|©.*)(?: \w{1,10}+)?(?:(?: {2,}+|\s*+[|·•>\t]\s*+)[\w-]{1,14}+(?: [\w-]{1,14}+){0,2}){0,9}|volver al inicio|zurück.{0,20}|retour.{0,20})[.\s]*$", re.I)
-_NAMES = re.compile(r"\b[^\W\d_a-zà-öø-ÿ][a-zà-öø-ÿ]\w*")
-_QUOTES, _MARK = re.compile("['\"“„«‘]"), re.compile(r"[{<\[%_]")
+_QUOTES, _MARK = re.compile("['\"“„«‘]"), re.compile(r"[{<\[%_@#$~^|=+!?]")
 _TAIL = re.compile(r"(?<=\S)\s+(?:retry|close|status page|back to top|reload|reference \w{4,10})\s*$", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[^\s\d])|\n+")
 _LONG = re.compile(r".{1,4000}(?:\s|\Z)|.{1,4000}", re.S)  # what has no sentence ends is read in stretches
-_WORDS = re.compile(r"⟨\w+⟩|[^\W\d_]+|\d+|\.\.\.+|…|[{}<>%$\[\]|]")
 _TITLE = re.compile(r"^[^.!?:{}<>%$\[\]|]{3,80}$")
-
-
-def _plain(text: str) -> str:
-    """The text without code and quotations, and with its slots and markup as marks."""
-    text = _FENCE.sub("\n\n⟨code⟩\n\n", text)
-    text = _INLINE.sub("⟨code⟩", text)
-    return text
+_FIELD_NAME = re.compile(r"^[-*]?\s*\**[\w ]{1,30}\**\s*[:=]")
+# Anything between brackets, or between signs that repeat in reverse; whether it is a placeholder is for the model to say.
+_WRAP = re.compile(
+    r"[$#%@]?\{{1,3}[^{}\n]{1,60}\}{1,3}|\[{1,3}[^\[\]\n]{1,60}\]{1,3}(?!\()|<{1,3}[^<>\n]{1,60}>{1,3}|%\([A-Za-z_]\w{0,40}\)[sd]|\({2}[^()\n]{1,60}\){2}"
+    r"|(?<![\w@#%$~^|!?=+])([@#%$~^|!?=+]{1,3})[A-Za-z][\w.-]{0,40}?\1(?![\w@#%$~^|!?=+])|(?<!\w)(_{2,3})[A-Za-z]\w{0,40}?\2(?!\w)|(?<!\w)([A-Z]{2,4})_[A-Z][A-Z_]{0,40}?_\3(?!\w)")
+_ANY = re.compile(r"[^\W_]")
+_PART = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+")
+_TOKEN = re.compile(r"⟨[^⟩]*⟩|[^\W\d_]+|\d+|\.\.\.+|…|[{}<>%$\[\]|:=?!\x00]")
+
+
+def _without_blocks(text: str, names: tuple[str, ...], mark: str) -> str:
+    """The text with elements of these names replaced by a mark, in one pass; an element that is never closed stays."""
+    lower, ends, out, at = text.lower(), {}, [], 0
+    for m in _OPENS.finditer(text):
+        name = m.group(1).lower()
+        if m.start() < at or name not in names:
+            continue
+        if name not in ends:
+            ends[name] = [e.start() for e in re.finditer(rf"</{name}>", lower)]
+        i = bisect_left(ends[name], m.end())
+        if i < len(ends[name]):
+            out += [text[at : m.start()], mark]
+            at = ends[name][i] + len(name) + 3
+    return "".join([*out, text[at:]])
+
+
+def _without_comments(text: str) -> str:
+    out, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
+        out += [text[at:a], "\n"]
+        at = b + 3
+    return "".join([*out, text[at:]])
 
 
 def paragraphs(text: str) -> list[list[str]]:
     """The units of each paragraph. Markup is dropped where it encloses text."""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf")
-    text = _plain(text.replace("\r\n", "\n"))
-    if re.match(r"\s*[\[{]", text) and not re.match(r"\s*(?:\{\W*\"?error|\{\{|\[\[|\{%)", text, re.I) and re.search(r"[\]}]\s*$", text) and '"' in text:
+        text = unicodedata.normalize("NFKC", text)
+        if any(unicodedata.category(c) == "Cf" for c in set(text)):
+            text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+    text = text.replace("\r\n", "\n")
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n\n⟨code⟩\n\n", text)
+    angle = "<" in text
+    if angle:
+        text = _without_blocks(text, ("pre", "code", "script", "style"), "\n\n⟨code⟩\n\n")
+    if "`" in text:
+        text = _INLINE.sub("⟨code⟩", text)
+    if re.match(r"\s*[\[{]", text) and not re.match(r"\s*(?:\{\W*\"?error|\{\{|\[\[|\{%)", text, re.I) and text.rstrip()[-1:] in "]}" and '"' in text:
         return []
-    marked = bool(re.search(r"</\w+>", text))
-    if marked:
-        text = re.sub(r"<(head|title|nav|footer)\b.{0,50000}?</\1>", "\n", text, flags=re.S | re.I)
-    text = _TAG.sub(lambda m: m.group() if not marked and _LINK_SLOT.fullmatch(m.group()) else "\n", text)
+    if angle:
+        marked = bool(re.search(r"</\w+>", text))
+        if marked:
+            text = _without_blocks(_without_comments(text), ("head", "title", "nav", "footer"), "\n")
+        text = _TAG.sub(lambda m: m.group() if not marked and _LINK_SLOT.fullmatch(m.group()) else "\n", text)
     out = []
     for block in re.split(r"\n[ \t]*\n\s*", text):
-        units = [u.strip() for s in _SENTENCE.split(block) if s for u in _LONG.findall(s) if u.strip(" \t\n>*-")]
+        units = [u.strip() for s in _SENTENCE.split(block) if s for u in ((s,) if len(s) <= 4000 else _LONG.findall(s)) if u.strip(" \t\n>*-")]
         if units:
             out.append(units)
     return out
@@ -104,9 +150,9 @@ def _unquoted(unit: str) -> str:
     return _QUOTE.sub("⟨quote⟩", unit) if _QUOTES.search(unit) and not unit.lstrip().startswith("{") else unit
 
 
-def _has_slot(unit: str) -> bool:
-    """Whether there is a slot outside quotations; every slot has one of a few characters."""
-    return bool(_MARK.search(unit)) and bool(_SLOT.search(_unquoted(unit)))
+def _wrapped(unit: str) -> bool:
+    """Whether anything outside quotations stands between brackets or signs."""
+    return bool(_MARK.search(unit)) and bool(_WRAP.search(_unquoted(unit)))
 
 
 def weak_label(unit: str) -> str | None:
@@ -126,94 +172,188 @@ def weak_label(unit: str) -> str | None:
     return None if _CHROME.match(u) else "clean"
 
 
-def features(unit: str, where: str) -> list[int]:
-    """Hashed features of a unit; `where` is first, short or long: its place and the length of the body."""
+def _phrases(unit: str) -> str:
+    """The unit without what the patterns label it by."""
     u = _unquoted(unit)
-    field = bool(re.match(r"^[-*]?\s*\**[\w ]{1,30}\**\s*[:=]", u))
-    marked = u if not _MARK.search(u) else _SLOT.sub(lambda m: " ⟨" + re.sub(r"\w+", "w", re.sub(r"[\s.-]", "", m.group()))[:6].translate(_SHAPE) + "⟩ ⟨slot⟩ ", u) if not _FIELD.match(u) else u
-    w = [x if x[0] == "⟨" else "9" * min(len(x), 4) if x[0].isdigit() and not re.fullmatch(r"[45]\d\d", x) else x.lower() for x in _WORDS.findall(marked)]
-    names = _NAMES.findall(u)
-    f = ["w:" + x for x in w] + ["b:" + a + " " + b for a, b in zip(w, w[1:])] + ["t:" + " ".join(w[i : i + 3]) for i in range(len(w) - 2)] + ["s:" + " ".join(w[:2]), "e:" + " ".join(w[-2:])]
-    kinds = len(set(w)) / len(w) if w else 0
-    f += [f"len:{min(len(w), 40) // 4}", f"same:{int(kinds * 5)}", f"names:{min(len(names), 3)}", "at:" + where, f"field:{field}", f"latin:{int(4 * sum(x in _LATIN for x in w) / max(1, len(w)))}", "bias"]
-    if "⟨slot⟩" in w:
-        f += [f"slot:{i}" for i in range(6)]  # as heavy as the words around it
-    if field and len(w) < 8:
-        f += [f"value:{i}:" + " ".join(w[-2:]) for i in range(3)]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in dict.fromkeys(f)]
-
-
-_SHAPE = str.maketrans({"{": "c", "}": "d", "<": "l", ">": "r", "%": "p", "$": "s", "[": "o", "]": "q", "#": "h", "=": "e", "_": "u", "(": "k", ")": "m"})
+    return _NOTICE.sub(" ", _FILLER.sub(" ", _SLOT.sub(" ", u)).strip(" #*>-"))
+
+
+def _described(m: re.Match) -> str:
+    """What stands between brackets or signs, as words about it."""
+    t = m.group()
+    core = t.strip("{}[]<>()%@#$~^|!?=+_-/*. ") or t
+    if (x := m.group(3)) is not None:
+        core = core.removeprefix(x).removesuffix(x).strip("_")
+    signs = t[: t.find(core)].strip() or "none"
+    parts = _PART.findall(core)
+    case = "upper" if core.isupper() else "lower" if core.islower() else "title" if core.istitle() else "camel" if len(parts) > 1 and " " not in core else "mixed" if any(c.isalpha() for c in core) else "plain"
+    glue = "_" if "_" in core else "dot" if re.search(r"\w[.-]\w", core) else "blank" if " " in core else "none"
+    sums = "odd" if re.search(r"[^\w .:|'-]", core) else "even"
+    kind = f"{case}:{min(len(parts), 4)}:{glue}:{sums}"
+    signs = "XX_" if m.group(3) else signs
+    return " " + " ".join(f"⟨{x}⟩" for x in ("wrap", f"o:{signs}", f"p:{signs[0]}:{len(signs) > 1}", f"k:{kind}", f"ok:{signs[0]}:{kind}", *(f"c:{p.lower()}" for p in parts[:6] if not p.isdigit()), f"digits:{any(p.isdigit() for p in parts)}")) + " "
+
+
+class Words(dict):
+    """Tokens to numbers: a hash above three bits for a capital, a word of the Latin filler and a mark of `_described`."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        mark = token[0] == "⟨"
+        word = token if mark else "9" * min(len(token), 4) if token.isdigit() and not (len(token) == 3 and token[0] in "45") else token.lower()
+        h = zlib.crc32(word.encode()) | zlib.crc32(word.encode(), 77) << 28
+        self[token] = n = (h << 3 | (token[0].isupper() and not token.isupper()) | (word in _LATIN) << 1 | mark << 2) & 0x7FFFFFFFFFFFFFFF
+        return n
+
+
+_SEP = "\x00"
+
+
+def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(kind)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (SHAPED + ((x ^ (x >> np.uint64(31))) % np.uint64(BUCKETS - SHAPED))).astype(np.int64)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def features(units: list[tuple[str, str]], known: Words, parted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(unit number, feature) of many units at once, each pair once, in order of the units. The second part of a unit is its place: alone,
+    first or later. `parted`: units come as they stand in a text; else they are ready for tokenising."""
+    texts = [_unquoted(u) if parted else u for u, _ in units]
+    texts = [_WRAP.sub(_described, u) if _MARK.search(u) else u for u in texts]
+    got = np.fromiter(map(known.__getitem__, _TOKEN.findall(_SEP.join(texts))), np.int64)
+    ends = got == known[_SEP]
+    unit, got = np.cumsum(ends)[~ends], got[~ends].astype(np.uint64)
+    h, n = got >> np.uint64(3), len(units)
+    count = np.bincount(unit, minlength=n)
+    first = np.concatenate([[0], np.cumsum(count)[:-1]])
+    place = np.arange(len(unit)) - first[unit]
+    at, out = [unit], [_mixed(h, 1)]
+    two = np.flatnonzero(unit[1:] == unit[:-1])
+    pair = h[two] * np.uint64(31) + h[two + 1]
+    three = np.flatnonzero(unit[2:] == unit[:-2])
+    for own, x, kind in ((two, pair, 2), (three, (h[three] * np.uint64(31) + h[three + 1]) * np.uint64(31) + h[three + 2], 3)):
+        at.append(unit[own])
+        out.append(_mixed(x, kind))
+    for own, kind in ((place[two] == 0, 4), (place[two] + 2 == count[unit[two]], 5)):  # the first and the last two words
+        at.append(unit[two[own]])
+        out.append(_mixed(pair[own], kind))
+    ones = (place == 0) & (count[unit] == 1)
+    at.append(unit[ones])
+    out.append(_mixed(h[ones], 6))
+    field = np.array([bool(_FIELD_NAME.match(u)) for u, _ in units], bool)
+    short = field[unit] & (count[unit] < 8) & (place >= count[unit] - 2)
+    at.append(unit[short])
+    out.append(_mixed(h[short], 7))
+    seen = lambda bit: np.bincount(unit, (got >> np.uint64(bit)) & np.uint64(1), minlength=n)
+    kinds = np.bincount(_distinct((unit << 40) + (h % np.uint64(1 << 40)).astype(np.int64)) >> 40, minlength=n) / np.maximum(count, 1)
+    where = np.array([("alone", "first", "later").index(w) for _, w in units], np.int64)
+    shape = [np.full(n, 0), 1 + np.minimum(count, 40) // 4, 20 + (kinds * 5).astype(np.int64), 30 + np.minimum(seen(0), 3).astype(np.int64), 40 + (4 * seen(1) / np.maximum(count, 1)).astype(np.int64), 50 + field, 60 + where]
+    at += [np.arange(n)] * len(shape)
+    out += [np.asarray(x, np.int64) for x in shape]
+    both = _distinct(np.concatenate(at).astype(np.int64) * BUCKETS + np.concatenate(out))
+    return both // BUCKETS, both % BUCKETS
 
 
 def _body(paras: list[list[str]]) -> list[tuple[int, str]]:
     """The units with their paragraph, without title, path, menu and footer lines."""
-    units = [(k, _TAIL.sub("", u)) for k, p in enumerate(paras) for u in p]
-    out = [(k, u) for i, (k, u) in enumerate(units) if _has_slot(u) or not (_CHROME.match(u) or (i == 0 and len(units) > 1 and _TITLE.match(u) and not _NOTICE.search(u)))]
-    return out or units
+    units = [(k, _TAIL.sub("", u) if len(u) < 4000 else u) for k, p in enumerate(paras) for u in p]
+    chrome = lambda i, u: (len(u) <= 600 or u[0] == "#") and bool(_CHROME.match(u)) or (i == 0 and len(units) > 1 and _TITLE.match(u) and not _NOTICE.search(u))
+    return [(k, u) for i, (k, u) in enumerate(units) if not chrome(i, u) or _wrapped(u)] or units
+
+
+def _where(i: int, n: int) -> str:
+    return "alone" if n == 1 else "first" if i == 0 else "later"
 
 
-def fit(rows: list[tuple[list[int], int]], rounds: int = 8, rate: float = 0.5, decay: float = 1e-6, seed: int = 5) -> np.ndarray:
-    """Softmax weights (BUCKETS, classes) by AdaGrad with L2 decay; rare classes count up to ten times."""
-    y = np.array([r[1] for r in rows])
+def fit(rows: list[np.ndarray], y: np.ndarray, rounds: int = 8, rate: float = 0.3, decay: float = 1e-4, drop: float = 0.25, bare: float = 0.2, seed: int = 5) -> np.ndarray:
+    """Softmax weights (BUCKETS, classes) by AdaGrad with L2 decay; rare classes count up to ten times. In each round a share `drop` of the
+    features is left out, and of a share `bare` of the clean rows most. Features of a single row have no weight."""
     share = np.bincount(y, minlength=len(CLASSES)) / max(1, len(y))
     weight = np.clip(0.5 / np.maximum(share, 1e-9), 1, 10)[y]
-    lens = np.array([len(r[0]) for r in rows])
-    flat, ends = np.concatenate([np.array(r[0], np.int64) for r in rows]), np.cumsum(lens)
-    w, g2, rng = np.zeros((BUCKETS, len(CLASSES))), np.full((BUCKETS, len(CLASSES)), 1e-3), np.random.default_rng(seed)
+    lens, flat = np.array([len(r) for r in rows]), np.concatenate(rows)
+    flat = np.where((np.bincount(flat, minlength=BUCKETS)[flat] > 1) | (flat < SHAPED), flat, 0)
+    names, flat = np.unique(flat, return_inverse=True)
+    content, ends = names[flat] >= SHAPED, np.cumsum(lens)
+    w, g2, rng = np.zeros((len(names), len(CLASSES))), np.full((len(names), len(CLASSES)), 1e-2), np.random.default_rng(seed)
     for _ in range(rounds):
         order = rng.permutation(len(rows))
         for b in range(0, len(order), 256):
             some = order[b : b + 256]
-            idx = np.concatenate([flat[ends[i] - lens[i] : ends[i]] for i in some])
+            at = np.concatenate([np.arange(ends[i] - lens[i], ends[i]) for i in some])
             of = np.repeat(np.arange(len(some)), lens[some])
-            z = np.zeros((len(some), len(CLASSES)))
-            np.add.at(z, of, w[idx])
+            out = np.where((y[some] == 0) & (rng.random(len(some)) < bare), 0.9, drop)[of]
+            kept = ~content[at] | (rng.random(len(at)) >= out)
+            idx, of = flat[at[kept]], of[kept]
+            z = np.stack([np.bincount(of, w[idx, c], minlength=len(some)) for c in range(len(CLASSES))], 1)
             z = np.exp(z - z.max(1, keepdims=True))
             d = z / z.sum(1, keepdims=True)
             d[np.arange(len(some)), y[some]] -= 1
             d *= weight[some][:, None] / len(some)
             u, back = np.unique(idx, return_inverse=True)
-            grad = np.zeros((len(u), len(CLASSES)))
-            np.add.at(grad, back, d[of])
-            grad += decay * w[u]
+            grad = np.stack([np.bincount(back, d[of, c], minlength=len(u)) for c in range(len(CLASSES))], 1) + decay * w[u]
             g2[u] += grad**2
             w[u] -= rate * grad / np.sqrt(g2[u])
-    return w.astype(np.float32)
+    out = np.zeros((BUCKETS, len(CLASSES)), np.float32)
+    out[names] = w
+    return out
 
 
-def classify(units: list[tuple[str, str]], w: np.ndarray) -> np.ndarray:
-    """The class number of each (unit, where)."""
-    f = [features(u, where) for u, where in units]
-    lens = [len(x) for x in f]
-    s = np.add.reduceat(w[np.concatenate([np.array(x, np.int64) for x in f])], np.concatenate([[0], np.cumsum(lens)[:-1]]), axis=0)
-    return s.argmax(1)
+def scored(at: np.ndarray, idx: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
+    """The class number of each of n units: the likeliest one if it is clean or likely enough, else clean."""
+    z = np.stack([np.bincount(at, w[idx, c], minlength=n) for c in range(len(CLASSES))], 1)
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    best = p.argmax(1)
+    return np.where(p[np.arange(n), best] >= SURE, best, 0)
 
 
-def _where(i: int, n: int) -> str:
-    return "short" if n <= 3 else "first" if i == 0 else "long"
+def classify(units: list[tuple[str, str]], w: np.ndarray, known: Words) -> np.ndarray:
+    """The class number of each unit; one of code and quotations only is clean."""
+    only = np.array([("⟨code⟩" in u or bool(_QUOTES.search(u))) and not _ANY.search(re.sub("⟨(?:code|quote)⟩", "", _unquoted(u))) for u, _ in units], bool)
+    return np.where(only, 0, scored(*features(units, known), len(units), w))
 
 
-def verdict(paras: list[list[str]], classes: list[int]) -> str | None:
+def verdict(body: list[tuple[int, str]], kinds: list[str | None]) -> str | None:
     """The kind of residue of a document from the classes of its body's units, in order."""
-    kinds = [CLASSES[c] for c in classes]
-    body = _body(paras)
     if "slot" in kinds:
         return "slot"
-    by: dict[int, list[str]] = {}
+    by: dict[int, list] = {}
     for (k, _), kind in zip(body, kinds):
         by.setdefault(k, []).append(kind)
     if any(v.count("filler") >= max(1, 0.6 * len(v)) for v in by.values()):
         return "filler"
-    share = kinds.count("notice") / len(kinds) if kinds else 0
-    return "notice" if share == 1 or (share >= 0.5 and len(kinds) <= 5) else None
+    return "notice" if kinds and kinds.count("notice") >= 0.5 * len(kinds) else None
+
+
+def _rows(at: np.ndarray, idx: np.ndarray, n: int) -> list[np.ndarray]:
+    return np.split(idx, np.searchsorted(at, np.arange(1, n)))
+
+
+def _seed_rows(known: Words, held: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    texts = [(t, c, w) for t, c in seeds() for w in ("alone", "later")]
+    units = [(_phrases(t) if held else t, w) for t, _, w in texts]
+    return _rows(*features(units, known), len(units)), np.array([CLASSES.index(c) for _, c, _ in texts])
+
+
+def _beginning(unit: str, words: int) -> str | None:
+    """The first words of a longer unit, as clean as the whole and as short as a note; None if markup or signs are among them."""
+    m = re.match(rf"(?:\w[\w'’-]*,? ){{{words}}}", unit)
+    return m.group().strip() + "." if m and m.end() < len(unit) else None
 
 
 def sample(docs: DataFrame, n: int) -> DataFrame:
-    """Weakly labelled units (host, idx, label) of at most FIT_DOCS documents, at most FIT_UNITS; rare classes first."""
+    """Weakly labelled units (host, idx, blind, label) of at most FIT_DOCS documents, at most FIT_UNITS; rare classes first. blind: the
+    features without the phrases that the label is given by."""
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, FIT_DOCS / max(1, n)) * (1 << 20)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Words()
         for pdf in batches:
             rows = []
             for doc, text, host in zip(pdf["doc_id"], pdf["text"], pdf["source"]):
@@ -221,63 +361,79 @@ def sample(docs: DataFrame, n: int) -> DataFrame:
                 for i, (_, u) in enumerate(body):
                     if label := weak_label(u):
                         spread = zlib.crc32(f"{doc}:{i}".encode())
-                        rows.append((host, features(u, _where(i, len(body))), CLASSES.index(label), spread if label == "clean" else spread // 16))
-            yield pd.DataFrame(rows, columns=["host", "idx", "label", "spread"])
+                        rows.append((host, u, _where(i, len(body)), CLASSES.index(label), spread if label == "clean" else spread // 16))
+                        if label == "clean" and spread % 3 == 0 and (begin := _beginning(u, 3 + spread % 7)):
+                            rows.append((host, begin, "alone", 0, spread))
+            if rows:
+                n = len(rows)
+                idx = _rows(*features([(r[1], r[2]) for r in rows], known), n)
+                blind = _rows(*features([(_phrases(r[1]), r[2]) for r in rows], known, False), n)
+                yield pd.DataFrame({"host": [r[0] for r in rows], "idx": idx, "blind": blind, "label": [r[3] for r in rows], "spread": [r[4] for r in rows]})
 
-    return spread(some.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source")).mapInPandas(run, "host string, idx array<int>, label int, spread long").orderBy("spread", "idx").limit(FIT_UNITS)
+    return spread(some.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source")).mapInPandas(run, "host string, idx array<int>, blind array<int>, label int, spread long").orderBy("spread", "idx").limit(FIT_UNITS)
 
 
 def _host_part(host: str | None) -> int:
     return zlib.crc32((host or "").encode()) % HELD_OUT_HOSTS
 
 
-def train(docs: DataFrame, validate: bool = True) -> tuple[np.ndarray | None, DataFrame]:
-    """The weights, fitted on the whole sample (None without labelled residue), and the validation (class, n, precision,
-    recall) of weights fitted without the held-out hosts, on those hosts."""
+REPORT = "features string, class string, n long, precision double, recall double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [([*map(int, i)], int(y)) for i, y in zip(pdf["idx"], pdf["label"])]
+
+def train(docs: DataFrame, validate: bool = True) -> tuple[np.ndarray, DataFrame]:
+    """The weights, fitted on the whole sample and the seeds, and the validation (features, class, n, precision, recall) of weights
+    fitted without the held-out hosts, on those hosts: with all features, and with the phrases that labels are given by
+    held out of training and test."""
+
+    def scores(pdf: pd.DataFrame, column: str, name: str) -> list[tuple]:
+        rows, y = [np.asarray(r, np.int64) for r in pdf[column]], pdf["label"].to_numpy()
         held = pdf["host"].map(_host_part).to_numpy() == 0
-        seen = [r for r, h in zip(rows, held) if not h]
-        if not any(y for _, y in rows):
-            return pd.DataFrame({"w": [b""], "scores": [[]]})
-        w, scores = fit(rows), []
-        if validate and held.any() and any(y for _, y in seen):
-            apart, test = fit(seen), [r for r, h in zip(rows, held) if h]
-            y, p = np.array([t for _, t in test]), np.array([apart[i].sum(0).argmax() for i, _ in test])
-            scores = [float(x) for k in range(len(CLASSES)) for x in ((y == k).sum(), ((y == k) & (p == k)).sum() / max(1, (p == k).sum()), ((y == k) & (p == k)).sum() / max(1, (y == k).sum()))]
-        return pd.DataFrame({"w": [zlib.compress(w.tobytes())], "scores": [scores]})
-
-    got = sample(docs, docs.count()).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "w binary, scores array<double>").collect()
-    s = got[0]["scores"] if got else []
-    table = [(c, int(s[3 * k]), s[3 * k + 1], s[3 * k + 2]) for k, c in enumerate(CLASSES)] if s else []
-    report = docs.sparkSession.createDataFrame(table, "class string, n long, precision double, recall double")
-    w = np.frombuffer(zlib.decompress(got[0]["w"]), np.float32).reshape(BUCKETS, -1) if got and got[0]["w"] else None
-    return w, report
-
-
-def residue(docs: DataFrame) -> DataFrame:
-    """doc_id and kind (slot, filler, notice) of the documents that hold residue. docs: doc_id, text, source."""
+        if not held.any():
+            return []
+        more, classes = _seed_rows(Words(), column == "blind")
+        w = fit([r for r, h in zip(rows, held) if not h] + more, np.concatenate([y[~held], classes]))
+        test, y = [r for r, h in zip(rows, held) if h], y[held]
+        p = scored(np.repeat(np.arange(len(test)), [len(r) for r in test]), np.concatenate(test), len(test), w)
+        return [(name, c, int((y == k).sum()), float(((y == k) & (p == k)).sum() / max(1, (p == k).sum())), float(((y == k) & (p == k)).sum() / max(1, (y == k).sum()))) for k, c in enumerate(CLASSES)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        more, classes = _seed_rows(Words())
+        w = fit([np.asarray(r, np.int64) for r in pdf["idx"]] + more, np.concatenate([pdf["label"].to_numpy(), classes]))
+        used = np.flatnonzero(w.any(1))
+        table = [t for c, name in (("idx", "all"), ("blind", "without the labels' phrases")) for t in scores(pdf, c, name)] if validate else []
+        return pd.DataFrame({"at": [used.astype(np.int32).tobytes()], "w": [w[used].tobytes()], "scores": [[dict(zip(("features", "class", "n", "precision", "recall"), t)) for t in table]]})
+
+    shape = "at binary, w binary, scores array<struct<features: string, class: string, n: long, precision: double, recall: double>>"
+    got = sample(docs, docs.count()).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, shape).collect()
+    w = np.zeros((BUCKETS, len(CLASSES)), np.float32)
+    if got:
+        w[np.frombuffer(bytes(got[0]["at"]), np.int32)] = np.frombuffer(bytes(got[0]["w"]), np.float32).reshape(-1, len(CLASSES))
+    return w, docs.sparkSession.createDataFrame(got[0]["scores"] if got else [], REPORT)
+
+
+def residue(docs: DataFrame, labels: bool = False) -> DataFrame:
+    """doc_id and kind (slot, filler, notice) of the documents that hold residue. docs: doc_id, text, source. With `labels`
+    also those that the weak labels alone would give, and what each says: kind and by_labels."""
     w, _ = train(docs, validate=False)
     one = docs.sparkSession.sparkContext.broadcast(w)  # BUCKETS x 4 weights
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = one.value
+        w, known = one.value, Words()
         for pdf in batches:
-            if w is None:
-                continue
-            for a in range(0, len(pdf), 200):
-                part, units, spans, parsed = pdf.iloc[a : a + 200], [], [], []
-                for doc, text in zip(part["doc_id"], part["text"]):
-                    paras = paragraphs(text) if text and text.strip() else []
-                    body = _body(paras)
-                    spans.append((doc, len(units), len(units) + len(body)))
-                    parsed.append(paras)
-                    units += [(u, _where(i, len(body))) for i, (_, u) in enumerate(body)]
-                classes = classify(units, w) if units else []
-                rows = [(doc, kind) for (doc, lo, hi), paras in zip(spans, parsed) if hi > lo and (kind := verdict(paras, list(classes[lo:hi])))]
+            for a in range(0, len(pdf), DOCS_AT_ONCE):
+                part = pdf.iloc[a : a + DOCS_AT_ONCE]
+                bodies = [_body(paragraphs(t)) if t and t.strip() else [] for t in part["text"]]
+                units = [(u, _where(i, len(b))) for b in bodies for i, (_, u) in enumerate(b)]
+                kinds, at, rows = [CLASSES[c] for c in classify(units, w, known)] if units else [], 0, []
+                for doc, b in zip(part["doc_id"], bodies):
+                    kind = verdict(b, kinds[at : at + len(b)])
+                    at += len(b)
+                    own = verdict(b, [weak_label(u) or "chrome" for _, u in b]) if labels else None
+                    if kind or own:
+                        rows.append((doc, kind, own))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "kind"])
+                    yield pd.DataFrame(rows, columns=["doc_id", "kind", "by_labels"])
 
     named = spread(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
-    return named.mapInPandas(run, "doc_id string, kind string").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = named.mapInPandas(run, "doc_id string, kind string, by_labels string").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return found if labels else found.drop("by_labels")

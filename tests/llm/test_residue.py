@@ -1,6 +1,9 @@
+import os
+
 import pytest
 
 from stratamem.llm import residue as R
+from hand_labelled import FRESH, TEXTS
 
 CLEAN = ["The chain was reviewed by Nora in {n} hops, but the outbox took longer.", "Decision: split the root, keep the {n} edges, revisit on Friday.", "Bitte erinnere Karl am {n}. an die Übergabe.",
          "Vera reported an access denied message in ops; the ticket {n} had been closed.", "Ask what `{{{{name}}}}` means in the {n} old exports.", "L'espace contient {n} nœuds liés à Paul.", "Ines fixed the banner that told readers to enable JavaScript {n} days ago."]
@@ -35,9 +38,36 @@ def test_finds_residue(docs):
 
 
 def test_validates_on_unseen_hosts(docs):
-    report = {r["class"]: r for r in R.train(docs)[1].collect()}
-    assert set(report) == set(R.CLASSES)
-    assert all(report[c]["precision"] >= 0.9 and report[c]["recall"] >= 0.9 for c in R.CLASSES if report[c]["n"])
+    """With all features, and with the phrases that labels are given by held out of training and test."""
+    report = {(r["features"], r["class"]): r for r in R.train(docs)[1].collect()}
+    assert len(report) == 2 * len(R.CLASSES)
+    assert all(r["precision"] >= 0.9 and r["recall"] >= 0.9 for k, r in report.items() if k[0] == "all" and r["n"])
+    assert all(r["precision"] >= 0.9 for k, r in report.items() if k[1] == "clean")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_new_wordings(spark):
+    """Texts labelled by hand, on the model of the largest documents table."""
+    w, known = R.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), validate=False)[0], R.Words()
+
+    def kind(text):
+        body = R._body(R.paragraphs(text))
+        return R.verdict(body, [R.CLASSES[c] for c in R.classify([(u, R._where(i, len(body))) for i, (_, u) in enumerate(body)], w, known)])
+
+    def rates(texts):
+        got = [(bool(kind(t)), bool(k)) for t, k in texts]
+        true = sum(a and b for a, b in got)
+        return true / sum(a for a, _ in got), true / sum(b for _, b in got)
+
+    (p, r), (p2, r2) = rates(TEXTS), rates(FRESH)
+    assert p >= 0.9 and r >= 0.75 and p2 >= 0.9 and r2 >= 0.85
+    assert sum(kind(t) is not None for t, k in TEXTS + FRESH if k is None) <= 4
+    assert [kind(t) for t in ("Hi [Customer Name], all is well.", "Hello <<first_name>>!", "From @@NAME@@", "Ask XX_OWNER_XX for it.")] == ["slot"] * 4
+
+
+def test_agreement_is_reported(docs):
+    got = {r["doc_id"]: (r["kind"], r["by_labels"]) for r in R.residue(docs, labels=True).collect()}
+    assert got and all(any(k) for k in got.values()) and sum(a == b for a, b in got.values()) >= 0.95 * len(got)
 
 
 def test_dirty_and_empty(spark, docs):
@@ -54,14 +84,16 @@ def test_weak_labels(text, label):
     assert R.weak_label(R.paragraphs(text)[0][0]) == label
 
 
-@pytest.mark.parametrize("text", ["home" + " " * 50_000 + "!", "." * 200_000, "{" * 100_000, "<pre>" * 5_000, "“" * 100_000, "a " * 300_000, "<!--" * 5_000, "`" * 100_001, "x" * 500_000, "Menu | " * 50_000])
+@pytest.mark.parametrize("text", ["home" + " " * 50_000 + "!", "." * 200_000, "{" * 100_000, "<pre>" * 5_000, "“" * 100_000, "a " * 300_000, "<!--" * 50_000, "<pre>" * 50_000, "<title>" * 50_000, "@a" * 100_000, "__a" * 50_000, "AB_" * 50_000, "%a b" * 50_000, "((" * 50_000, "`" * 100_001, "x" * 500_000, "Menu | " * 50_000])
 def test_time_is_in_proportion(text):
     import time
 
     t = time.time()
-    for _, u in R._body(R.paragraphs(text)):
+    body, known = R._body(R.paragraphs(text)), R.Words()
+    for _, u in body:
         R.weak_label(u)
-        R.features(u, "long")
+        R._phrases(u)
+    R.features([(u, "later") for _, u in body] or [("x", "alone")], known)
     assert time.time() - t < 10
 
 
