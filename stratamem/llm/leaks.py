@@ -43,11 +43,11 @@ WIDTH = 12
 BLOCK_CHARS = 4_000_000
 NEAR_EDITS = 2
 WORDS_PER_EDIT = 4
-REPEATS = 16  # walks
+REPEATS = 24  # walks
 DRAWS = 4  # hashes of each walk
-SAMPLED = 3  # steps in each hash
+SAMPLED = 4  # steps in each hash
 WINDOWS_AT_ONCE = 50_000
-PAIRS_AT_ONCE = 20_000
+PAIRS_AT_ONCE = 200_000
 BATCH_WORDS = 1_000_000
 KNOWN_WORDS = 500_000  # hashes of words kept in each Python worker
 PAD = np.uint64(0)
@@ -130,6 +130,24 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return row.min(1)
 
 
+def _within(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Whether all but `most` words of passage x[j] stand in y[i] at most `most` places off: no pair within that distance is lost."""
+    n = x.shape[1]
+    there = np.zeros(len(i), np.int64)
+    for k in range(n):
+        word, found = x[j, k], np.zeros(len(i), bool)
+        for at in range(max(0, k - most), min(y.shape[1], k + most + 1)):
+            found |= y[i, at] == word
+        there += found
+        alive = there + (n - 1 - k) >= n - most
+        if not alive.all():
+            i, j, there = i[alive], j[alive], there[alive]
+            kept = np.flatnonzero(alive) if k == 0 else kept[alive]
+        elif k == 0:
+            kept = np.arange(len(i))
+    return kept
+
+
 def _grams(stream: np.ndarray, g: int) -> np.ndarray:
     """Hashes of the runs of g words that begin at each place."""
     n = len(stream) - g + 1
@@ -184,23 +202,28 @@ class Passages:
                 yield from self._met(x, y, owner[own], of, e, keys, n)
 
     def _met(self, x: np.ndarray, y: np.ndarray, owner: np.ndarray, of: dict, e: int, keys: list, n: int) -> Iterator[tuple[int, int, int]]:
-        done, seen = set(), np.zeros(0, np.int64)
-        for (h, order), mine in zip(keys, _keys(y, n, e, *self.drawing)):
+        done, held, size = set(), [], 0
+        for k, ((h, order), mine) in enumerate(zip(keys, _keys(y, n, e, *self.drawing)), 1):
             lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
             hit = np.flatnonzero(hi > lo)
             count = hi[hit] - lo[hit]
             for c in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(np.cumsum(count) // PAIRS_AT_ONCE)) + 1):
                 i = np.repeat(hit[c], count[c])
                 j = order[np.repeat(lo[hit[c]], count[c]) + np.arange(len(i)) - np.repeat(np.cumsum(count[c]) - count[c], count[c])]
-                pairs = np.setdiff1d(i * len(x) + j, seen)
-                i, j = pairs // len(x), pairs % len(x)
-                seen = np.union1d(seen, pairs)
-                far = edit_distance(x[j], y[i], e)
-                for a, k, d in set(zip(owner[i[far <= e]].tolist(), j[far <= e].tolist(), far[far <= e].tolist())):
-                    if (a, k, d) not in done:
-                        done.add((a, k, d))
-                        for item in of[k]:
-                            yield a, item, d
+                held.append(i * len(x) + j)
+                size += len(i)
+                if size > PAIRS_AT_ONCE or k == len(keys):
+                    pairs = np.sort(np.concatenate(held))
+                    pairs, held, size = pairs[np.diff(pairs, prepend=-1) > 0], [], 0
+                    i, j = pairs // len(x), pairs % len(x)
+                    near = _within(x, y, i, j, e)
+                    i, j = i[near], j[near]
+                    far = edit_distance(x[j], y[i], e)
+                    for a, p, d in set(zip(owner[i[far <= e]].tolist(), j[far <= e].tolist(), far[far <= e].tolist())):
+                        if (a, p, d) not in done:
+                            done.add((a, p, d))
+                            for item in of[p]:
+                                yield a, item, d
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, edits: int = NEAR_EDITS, words_per_edit: int = WORDS_PER_EDIT, repeats: int = REPEATS, draws: int = DRAWS, sampled: int = SAMPLED) -> DataFrame:
