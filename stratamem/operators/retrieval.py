@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stratamem.functions.text import porter, stems, tokens, unicode_words
 from stratamem.functions.vectors import distances_to
 from stratamem.schema import DEFAULT_TOP_K, RRF_K
-from stratamem.sources.tables import spread
+from stratamem.sources.tables import keep, spread
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 ROW_BLOCK, QUERY_BLOCK = 8_192, 1_024
@@ -47,15 +47,16 @@ def _hits(words: Column, p: Phrase) -> Column:
     return F.size(at)
 
 
-def bm25(chunks: DataFrame, query: str, stem: bool = True, text: str = "text") -> DataFrame:
+def bm25(chunks: DataFrame, query: str, stem: bool = True, text: str = "text", words: str | None = None) -> DataFrame:
     """`chunks` with a `score` (negative, best least) where the query matches. Counts and lengths are those of all of
-    `chunks`, so restrict the scope of the result, not the input. One pass over the texts; nothing is exploded."""
+    `chunks`, so restrict the scope of the result, not the input. One pass; nothing is exploded. `words` names a column that
+    holds the stems (or tokens) already, as the store writes them; then no text is read."""
     groups = parse_query(query, stem)
     phrases = [p for g in groups for p in g]
     if not phrases or any(not g[0].words for g in groups):
         return chunks.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    words = spread(chunks).withColumn("_w", stems(text)) if stem else chunks.withColumn("_w", tokens(text))
-    counted = words.select(*chunks.columns, F.size("_w").alias("_dl"), *[_hits(F.col("_w"), p).alias(f"_tf{i}") for i, p in enumerate(phrases)])
+    parted = chunks.withColumn("_w", F.col(words)) if words else spread(chunks).withColumn("_w", stems(text)) if stem else chunks.withColumn("_w", tokens(text))
+    counted = parted.select(*chunks.columns, F.size("_w").alias("_dl"), *[_hits(F.col("_w"), p).alias(f"_tf{i}") for i, p in enumerate(phrases)])
     stats = counted.agg(F.count("*").alias("n"), F.sum("_dl").alias("len"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]).first()
     n, mean = stats["n"] or 0, (stats["len"] or 0) / max(1, stats["n"] or 0)
     score, at, match = F.lit(0.0), 0, F.lit(True)
@@ -159,29 +160,99 @@ def overfetch(top_k: int) -> int:
     return max(5 * top_k, 25)
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame | None, *, text: str | None, vector: list[float] | None = None, top_k: int = DEFAULT_TOP_K, scope: DataFrame | None = None,
-                  labels: tuple[list[str], list[str]] | None = None, min_score: float | None = None, weights: tuple[float, float] = (1.0, 1.0), max_distance: float | None = None, stem: bool = True) -> DataFrame:
-    """(id, score, memory_id...): fused hits of a lexical and a vector arm over source maps.
-
-    chunks: id, memory_id, text, kinds; vectors: id, memory_id, vector; scope: the memory_ids that may be seen. Arms fetch
-    five times top_k (25 at least); labels (all, some) and min_score are applied to the fused list, then top_k."""
-    n, arms = overfetch(top_k), []
-    inside = (lambda d: d if scope is None else d.join(scope.select("memory_id").distinct(), "memory_id", "left_semi"))
-    if text and weights[0] > 0:
-        arms.append(Arm("lexical", ranked(inside(bm25(chunks, text, stem)), "id", "score", "id", limit=n), weights[0]))
-    if vector is not None and vectors is not None and weights[1] > 0:
-        arms.append(Arm("vector", ranked(nearest(inside(vectors), vector, n, "id", max_distance=max_distance), "id", "distance", "id", limit=n), weights[1]))
-    if not arms or top_k <= 0:
-        return chunks.select("id", F.lit(0.0).alias("score"), "memory_id", "kinds").where(F.lit(False))
+def resolve_method(requested: str | None = None, available: tuple[str, ...] = ("ann", "knn")) -> str | None:
+    """How vectors are searched: what is asked for, if it is available (else not at all); without a wish ann before knn."""
+    if requested is not None:
+        return requested if requested in available else None
+    return next((m for m in ("ann", "knn") if m in available), None)
+
+
+def distances(vectors: DataFrame, query: list[float], max_distance: float | None = None) -> DataFrame:
+    """`vectors` of the query's length with `distance`, without their vectors."""
+    far = vectors.where(F.size("vector") == len(query)).select(*[c for c in vectors.columns if c != "vector"], distances_to("vector", query).alias("distance")).where("distance IS NOT NULL")
+    return far if max_distance is None else far.where(F.col("distance") <= max_distance)
+
+
+def hybrid_search(chunks: DataFrame, vectors: DataFrame | None, *, text: str | None, vector: list[float] | None = None, top_k: int = DEFAULT_TOP_K, scope: DataFrame | None = None, memory_ids: list[str] | None = None,
+                  where: Column | None = None, labels: tuple[list[str], list[str]] | None = None, min_score: float | None = None, weights: tuple[float, float] = (1.0, 1.0), max_distance: float | None = None,
+                  stem: bool = True, words: str | None = None, method: str | None = "knn", neighbours: DataFrame | None = None, max_neighbours: int | None = None) -> DataFrame:
+    """(id, score, memory_id, kinds): fused hits of a lexical and a vector arm over source maps, best first.
+
+    chunks: id, memory_id, text, kinds; vectors: id, memory_id, vector. What may be seen is settled before the arms are ranked:
+    scope (a table of memory_ids), memory_ids (a short list; an empty one allows nothing) and `where` (a predicate on the
+    columns of both tables, such as as-of bounds). Word statistics are those of all chunks. Arms fetch five times top_k (25 at
+    least); with the method ann the vector arm is cut to as many before what may be seen is settled. Labels (all, some) and
+    min_score are applied to the fused list, then top_k.
+
+    With neighbours (memory_id, neighbour_id) each hit has `neighbours`: the memories next to its own, inside the hit's
+    namespace, that match the same query, ranked by the same arms among themselves (`neighbour_search`); chunks and vectors
+    then have a namespace too."""
+    n, method = overfetch(top_k), resolve_method(method)
+    rule = F.lit(True) if where is None else where
+    rule = rule if memory_ids is None else rule & F.col("memory_id").isin(memory_ids)
+    inside = (lambda d: d.where(rule) if scope is None else d.where(rule).join(scope.select("memory_id").distinct(), "memory_id", "left_semi"))
+    lexical = inside(bm25(chunks, text, stem, words=words)) if text and weights[0] > 0 else None
+    asked = vector is not None and vectors is not None and weights[1] > 0 and method is not None
+    far = inside(distances(vectors, vector, max_distance)) if asked else None
+    if (lexical is None and far is None) or top_k <= 0:
+        none = chunks.select("id", F.lit(0.0).alias("score"), "memory_id", "kinds").where(F.lit(False))
+        return none if neighbours is None else none.withColumn("neighbours", F.lit(None).cast(NEIGHBOURS))
+    near = far
+    if asked and method == "ann":
+        from stratamem.operators.links import approximate_nearest
+
+        near = approximate_nearest(vectors, vector, n, "id").join(inside(vectors).select("id"), "id", "left_semi")
+        near = near if max_distance is None else near.where(F.col("distance") <= max_distance)
+    arms = [Arm("lexical", ranked(lexical, "id", "score", "id", limit=n), weights[0])] if lexical is not None else []
+    arms += [Arm("vector", ranked(near, "id", "distance", "id", limit=n), weights[1])] if near is not None else []
     hits = fuse(arms).drop("contributions")
     if min_score is not None:
         hits = hits.where(F.col("score") >= min_score)
-    rows = hits.join(chunks.select("id", "memory_id", "kinds"), "id")
+    rows = hits.join(chunks.select("id", "memory_id", "kinds", *(["namespace"] if neighbours is not None else [])), "id")
     if labels:
         from stratamem.operators.predicates import has_labels
 
         rows = rows.where(has_labels("kinds", *labels))
-    return rows.orderBy(F.desc("score"), "id").limit(top_k)
+    rows = rows.orderBy(F.desc("score"), "id").limit(top_k)
+    if neighbours is None:
+        return rows
+    rows = keep(rows, "hits")
+    found = neighbour_search(rows, neighbours, lexical, far, weights=weights, min_score=min_score, cap=max_neighbours)
+    lists = found.groupBy("hit_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "memory_id", "id", "score"))).alias("neighbours"))  # of top_k hits
+    out = rows.join(lists.withColumnRenamed("hit_id", "id"), "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(NEIGHBOURS)))
+    return out.select("id", "score", "memory_id", "kinds", "neighbours").orderBy(F.desc("score"), "id")
+
+
+NEIGHBOURS = "array<struct<rank: int, memory_id: string, id: string, score: double>>"
+
+
+def neighbour_search(hits: DataFrame, neighbours: DataFrame, lexical: DataFrame | None, far: DataFrame | None, *, weights: tuple[float, float] = (1.0, 1.0), min_score: float | None = None, cap: int | None = None) -> DataFrame:
+    """(hit_id, memory_id, id, score, rank): the neighbours of each hit, ranked for the same query.
+
+    hits: id, memory_id, namespace; lexical: id, memory_id, namespace, score (least best); far: the same with distance. The arms are
+    ranked among the chunks of a hit's neighbours alone, each to five times the cap (without one: the number of neighbours, 10
+    at least) or 25; of a neighbour only its best chunk counts. Neighbours without a match, and those outside the hit's
+    namespace, vanish."""
+    pairs = hits.select(F.col("id").alias("hit_id"), "memory_id", F.col("namespace").alias("hit_ns")).join(neighbours.select("memory_id", "neighbour_id").distinct(), "memory_id")
+    pairs = pairs.select("hit_id", "hit_ns", F.col("neighbour_id").alias("memory_id"))
+    most = F.greatest(F.lit(25), 5 * (F.lit(cap) if cap is not None else F.greatest(F.lit(10), F.count("*").over(Window.partitionBy("hit_id")))))
+    pairs = keep(pairs.withColumn("most", most), "neighbours")
+    inside = (F.col("namespace") == F.col("hit_ns")) | F.col("namespace").startswith(F.concat("hit_ns", F.lit("/")))
+
+    def arm(name: str, rows: DataFrame, by: str, weight: float) -> Arm:
+        met = rows.select("id", "memory_id", "namespace", by).join(pairs, "memory_id").where(inside)
+        place = F.row_number().over(Window.partitionBy("hit_id").orderBy(by, "id"))
+        return Arm(name, met.withColumn("rank", place).where(F.col("rank") <= F.col("most")).select("hit_id", "id", "rank"), weight, per=["hit_id"])
+
+    arms = [arm("lexical", lexical, "score", weights[0])] if lexical is not None else []
+    arms += [arm("vector", far, "distance", weights[1])] if far is not None else []
+    fused = fuse(arms).drop("contributions")
+    fused = fused if min_score is None else fused.where(F.col("score") >= min_score)
+    owner = [d.select("id", "memory_id") for d in (lexical, far) if d is not None]
+    owned = fused.join((owner[0] if len(owner) == 1 else owner[0].union(owner[1])).distinct(), "id")
+    first = owned.groupBy("hit_id", "memory_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b")).select("hit_id", "memory_id", "b.id", (-F.col("b.s")).alias("score"))
+    out = first.withColumn("rank", F.row_number().over(Window.partitionBy("hit_id").orderBy(F.desc("score"), "id")))
+    return out.select("hit_id", "memory_id", "id", "score", "rank") if cap is None else out.where(F.col("rank") <= cap).select("hit_id", "memory_id", "id", "score", "rank")
 
 
 def expand(hits: DataFrame, neighbours: DataFrame, scored: DataFrame, cap: int | None = None, inside: bool = True) -> DataFrame:

@@ -121,17 +121,14 @@ def rrf_contributions(spark: SparkSession, d: str) -> DataFrame:
     return _round(rows.select("id", "c.arm", "c.rank", "c.score"), "score")
 
 
+ASKED = "v-7"
+
+
 def _hybrid(spark: SparkSession, d: str, **options) -> DataFrame:
-    """Two arms of 50; as_of bounds the rows before they are ranked (word statistics are those of all chunks), labels and min_score the fused list."""
-    c = V.chunks(spark, d)
-    inside = (lambda df: df.where(P.as_of(**options["as_of"])) if "as_of" in options else df)
-    arms = [R.Arm("lexical", R.ranked(inside(R.bm25(c, QUERY, stem=False)), "id", "score", "id", limit=50)), R.Arm("recent", R.ranked(inside(c), "id", F.desc("_ts_created"), "id", limit=50), 0.5)]
-    rows = R.fuse(arms).join(c.select("id", "namespace", "kinds", "_ts_created"), "id")
-    if "labels" in options:
-        rows = rows.where(P.has_labels("kinds", *options["labels"]))
-    if "min_score" in options:
-        rows = rows.where(F.col("score") >= options["min_score"])
-    return _round(rows.orderBy(F.desc("score"), "id").limit(10).select("id", "score"), "score")
+    """The search operator over documents and their vectors: what is bounded by `where` is so before the arms are ranked, labels and
+    min_score are asked of the fused list."""
+    hits = R.hybrid_search(V.chunks(spark, d), V.chunk_vectors(spark, d), text=QUERY, vector=_query(V.embeddings(spark, d), ASKED), stem=False, **options)
+    return hits if "neighbours" in options else _round(hits.select("id", "score"), "score")
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
@@ -147,13 +144,31 @@ def hybrid_min_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_asof(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid(spark, d, as_of={"gte": 1735689600000.0, "lte": 1767225600000.0})
+    return _hybrid(spark, d, where=P.as_of(gte=1735689600000.0, lte=1767225600000.0))
+
+
+def hybrid_allowlist(spark: SparkSession, d: str) -> DataFrame:
+    """Within the namespaces of a scope, with a bound on the distance, and the vector arm at half weight."""
+    c = V.chunks(spark, d)
+    return _hybrid(spark, d, scope=P.path_subtree(c, ROOTS).select("memory_id"), max_distance=1.0, weights=(1.0, 0.5), top_k=5)
+
+
+def search_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours of each hit of the search, ranked for the same query."""
+    hits = _hybrid(spark, d, neighbours=V.chunk_neighbours(spark, d), max_neighbours=4)
+    rows = hits.select(F.col("id").alias("hit_id"), F.inline("neighbours"))
+    return _round(rows.select("hit_id", "memory_id", "id", "rank", "score"), "score")
+
+
+def search_ann(spark: SparkSession, d: str) -> DataFrame:
+    """The search with approximate vectors, which the method resolves to where none is asked for."""
+    return _hybrid(spark, d, method=None)
 
 
 def hybrid_text_and_vector(spark: SparkSession, d: str) -> DataFrame:
-    """The whole search: stemmed lexical arm and vector arm over memos in scope."""
-    v = V.vectors(spark, d).where("size(vector) = 512")
-    q = list(v.where("forall(vector, x -> NOT isnan(x) AND abs(x) < 1e30)").orderBy("id").select("vector").first()[0])
+    """The whole search: stemmed lexical arm, and vector arm over the vectors of every length, of which the query's counts."""
+    v = V.vectors(spark, d)
+    q = list(v.where("size(vector) = 512 AND forall(vector, x -> NOT isnan(x) AND abs(x) < 1e30)").orderBy("id").select("vector").first()[0])
     c = V.chunks(spark, d).select("id", "memory_id", "text", "kinds")
     both = c.unionByName(v.select("id", "memory_id", F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("kinds")))
     return R.hybrid_search(both, v, text="merged budget", vector=q, top_k=10).select("id", F.round("score", 9).alias("score"), "memory_id")
@@ -263,7 +278,7 @@ def autolink_edges(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     knn_cosine, knn_max_distance, knn_scoped, knn_dim_filter, knn_cosine_each, knn_max_distance_each, knn_scoped_each, knn_dim_filter_each, ann_lsh, bm25_topk, bm25_scoped_global_idf, bm25_stemmed, rrf_two_arms, rrf_weights, rrf_item_boost, rrf_contributions, hybrid_search,
-    hybrid_label_all_some, hybrid_min_score, hybrid_asof, hybrid_text_and_vector, path_subtree, path_errors, namespace_lineage, rename_map, scope_closure, exact_scope, scope_dag, suppression_visible,
+    hybrid_label_all_some, hybrid_min_score, hybrid_asof, hybrid_allowlist, search_neighbours, search_ann, hybrid_text_and_vector, path_subtree, path_errors, namespace_lineage, rename_map, scope_closure, exact_scope, scope_dag, suppression_visible,
     edge_suppression, closest_suppressed, namespace_catalog, namespace_under_prefix, namespace_rank, namespace_meta_rank, namespace_by_metadata, namespace_fused, neighbor_expand, autolink_edges)}
 
 _Q7 = "q AS (SELECT vector AS qv FROM embeds WHERE id = 'v-7')"
@@ -291,7 +306,7 @@ def _bm25(query: str) -> str:
     return f"""worded AS (SELECT *, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM chunks),
 counted AS (SELECT * EXCLUDE (w), len(w) AS dl, {tfs} FROM worded),
 stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl, {dfs} FROM counted),
-hits AS (SELECT id, namespace, key, lang, source, _ts_created, 0.0 {score} AS score FROM counted, stats WHERE {match})"""
+hits AS (SELECT id, memory_id, namespace, key, lang, source, _ts_created, 0.0 {score} AS score FROM counted, stats WHERE {match})"""
 
 
 _ARMS = f"""{V.sql('embeds')}, {_Q7},
@@ -299,12 +314,22 @@ near AS (SELECT id, row_number() OVER (ORDER BY dist, id) AS rank FROM (SELECT i
 lab AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM embeds WHERE label = 3 ORDER BY id LIMIT 25)"""
 
 
-def _hybrid_sql(where: str = "true") -> str:
-    return f"""{V.sql('chunks')}, {_bm25(QUERY)},
-lex AS (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM hits ORDER BY score, id LIMIT 50),
-rec AS (SELECT id, row_number() OVER (ORDER BY _ts_created DESC, id) AS rank FROM chunks ORDER BY _ts_created DESC, id LIMIT 50),
-fused AS (SELECT id, sum(s) AS score FROM (SELECT id, 1.0::DOUBLE / (60 + rank) AS s FROM lex UNION ALL SELECT id, 0.5::DOUBLE / (60 + rank) FROM rec) GROUP BY id)
-SELECT f.id, round(score, 6) + 0.0 AS score FROM fused f JOIN chunks c USING (id) WHERE {where} ORDER BY f.score DESC, f.id LIMIT 10"""
+_FAR = "1 - list_dot_product(vector, qv) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(qv, qv)))"
+
+
+def _arms_sql(inside: str = "true", far: str = "true", n: int = 50, weight: float = 1.0) -> str:
+    """CTEs up to fused (id, score): both arms over the rows for which `inside` holds."""
+    return f"""{V.sql('chunks', 'embeds', 'chunk_vectors')}, {_Q7}, {_bm25(QUERY)},
+lexall AS (SELECT id, memory_id, namespace, score FROM hits WHERE {inside}),
+farall AS (SELECT id, memory_id, namespace, {_FAR} AS dist FROM cvec, q WHERE {inside} AND {_FAR} <= {far}),
+lex AS (SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM lexall QUALIFY rank <= {n}),
+vec AS (SELECT id, row_number() OVER (ORDER BY dist, id) AS rank FROM farall QUALIFY rank <= {n}),
+fused AS (SELECT id, sum(s) AS score FROM (SELECT id, 1.0::DOUBLE / (60 + rank) AS s FROM lex UNION ALL SELECT id, {weight}::DOUBLE / (60 + rank) FROM vec) GROUP BY id)"""
+
+
+def _hybrid_sql(where: str = "true", inside: str = "true", far: str = "2.5", n: int = 10, weight: float = 1.0) -> str:
+    return f"""{_arms_sql(inside, far, max(5 * n, 25), weight)}
+SELECT f.id, round(score, 6) + 0.0 AS score FROM fused f JOIN chunks c USING (id) WHERE {where} ORDER BY f.score DESC, f.id LIMIT {n}"""
 
 
 _CLOSURE = """,
@@ -348,7 +373,16 @@ q AS (SELECT vector AS qv FROM fit ORDER BY id LIMIT 1) SELECT id, {_DIST} AS di
     "hybrid_search": _hybrid_sql(),
     "hybrid_label_all_some": _hybrid_sql("c.lang = 'en' AND c.source IN ('session-log', 'import-ops', 'agent-ops', 'import-agents', 'mail-ops')"),
     "hybrid_min_score": _hybrid_sql("f.score >= 0.014"),
-    "hybrid_asof": _hybrid_sql("c._ts_created >= 1735689600000 AND c._ts_created <= 1767225600000"),
+    "hybrid_asof": _hybrid_sql(inside="_ts_created >= 1735689600000 AND _ts_created <= 1767225600000"),
+    "hybrid_allowlist": _hybrid_sql(inside=f"({_UNDER('namespace', 'support')} OR {_UNDER('namespace', 'orbit/sales')})", far="1.0", n=5, weight=0.5),
+    "search_neighbours": f"""{_arms_sql(far="2.5")}, {V.SQL['chunk_neighbours']},
+top AS (SELECT f.id AS hit_id, c.memory_id AS own, c.namespace AS ns FROM fused f JOIN chunks c USING (id) ORDER BY f.score DESC, f.id LIMIT 10),
+pairs AS (SELECT DISTINCT hit_id, ns, neighbour_id AS memory_id FROM top JOIN cnext ON cnext.memory_id = own),
+nl AS (SELECT hit_id, id, memory_id, row_number() OVER (PARTITION BY hit_id ORDER BY score, id) AS rank FROM lexall l JOIN pairs p USING (memory_id) WHERE l.namespace = ns OR starts_with(l.namespace, ns || '/') QUALIFY rank <= 25),
+nv AS (SELECT hit_id, id, memory_id, row_number() OVER (PARTITION BY hit_id ORDER BY dist, id) AS rank FROM farall f JOIN pairs p USING (memory_id) WHERE f.namespace = ns OR starts_with(f.namespace, ns || '/') QUALIFY rank <= 25),
+nf AS (SELECT hit_id, id, memory_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT * FROM nl UNION ALL SELECT * FROM nv) GROUP BY 1, 2, 3),
+one AS (SELECT * FROM nf QUALIFY row_number() OVER (PARTITION BY hit_id, memory_id ORDER BY s DESC, id) = 1)
+SELECT hit_id, memory_id, id, CAST(row_number() OVER (PARTITION BY hit_id ORDER BY s DESC, id) AS INT) AS rank, round(s, 6) + 0.0 AS score FROM one QUALIFY rank <= 4""",
     "path_subtree": f"{V.sql('memos')} SELECT memory_id, namespace FROM memos WHERE {_UNDER('namespace', 'support')} OR {_UNDER('namespace', 'orbit/sales')}",
     "path_errors": f"""{V.sql('memos')} SELECT path, CASE WHEN path = '' THEN 'empty' WHEN length(path) > 512 THEN 'max_length' WHEN NOT regexp_full_match(path, '[a-z0-9_-]+(/[a-z0-9_-]+)*') THEN 'invalid'
       WHEN len(string_split(path, '/')) > 2 THEN 'max_depth' END AS error FROM (SELECT namespace AS path FROM memos UNION SELECT key FROM memos)""",

@@ -36,6 +36,21 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(id_.alias("id"), id_.alias("memory_id"), F.concat(F.lit("vec/label"), F.col("label").cast("string")).alias("namespace"), F.col("embedding").alias("vector"), F.col("label"))
 
 
+def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """id, memory_id, namespace, kinds, _ts_created, vector: a vector for each chunk, that of the document's number modulo their number."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
+    n = e.agg(F.count("*").alias("n")).scalar()
+    c = chunks(spark, d).withColumn("v", F.pmod(F.substring("id", 5, 20).cast("long"), n))
+    return c.join(e, "v").select("id", "memory_id", "namespace", "kinds", "_ts_created", "vector")
+
+
+def chunk_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """(memory_id, neighbour_id), both ways: the memories of chunks of one namespace in the same hundred of numbers."""
+    c = chunks(spark, d).select("namespace", F.floor(F.substring("id", 5, 20).cast("long") / 100).alias("hundred"), "memory_id")
+    p = c.join(c.withColumnRenamed("memory_id", "neighbour_id"), ["namespace", "hundred"])
+    return p.where("memory_id <> neighbour_id").select("memory_id", "neighbour_id").distinct()
+
+
 _NODES = (("region", "geo/region", "r_regionkey", None), ("nation", "geo/nation", "n_nationkey", None), ("customer", "crm/customer", "c_custkey", "c_acctbal < 0"), ("supplier", "crm/supplier", "s_suppkey", "s_acctbal < 0"), ("orders", "sales/orders", "o_orderkey", None))
 _EDGES = (("nation", "geo/nation", "n_nationkey", "geo/region", "n_regionkey", "includes"), ("customer", "crm/customer", "c_custkey", "geo/nation", "c_nationkey", "references"), ("supplier", "crm/supplier", "s_suppkey", "geo/nation", "s_nationkey", "references"), ("orders", "sales/orders", "o_orderkey", "crm/customer", "o_custkey", "affects"))
 
@@ -83,6 +98,8 @@ SQL = {
       FROM documents WHERE text IS NOT NULL)""",
     "vectors": "vectors AS (SELECT DISTINCT source_map_id AS id, memory_id, vector FROM vector_features)",
     "embeds": "embeds AS (SELECT 'v-' || vec_id AS id, 'vec/label' || label AS namespace, CAST(embedding AS DOUBLE[]) AS vector, label FROM embeddings)",
+    "chunk_vectors": "cvec AS (SELECT c.id, c.memory_id, c.namespace, c.lang, c.source, c._ts_created, e.vector FROM chunks c JOIN embeds e ON e.id = 'v-' || (CAST(substr(c.id, 5) AS BIGINT) % (SELECT count(*) FROM embeds)))",
+    "chunk_neighbours": "cnext AS (SELECT DISTINCT a.memory_id, b.memory_id AS neighbour_id FROM chunks a JOIN chunks b ON a.namespace = b.namespace AND CAST(substr(a.id, 5) AS BIGINT) // 100 = CAST(substr(b.id, 5) AS BIGINT) // 100 WHERE a.memory_id <> b.memory_id)",
     "nodes": "nodes_ AS (" + " UNION ALL ".join(f"SELECT '{ns}/' || {k} AS memory_id, '{ns}' AS namespace, CAST({k} AS VARCHAR) AS key, {off or 'false'} AS suppressed, '{t}' AS kind FROM {t}" for t, ns, k, off in _NODES) + ")",
     "edges": "edges_ AS (" + " UNION ALL ".join(f"SELECT '{a}/' || {ka} || '>{b}/' || {kb} AS edge_id, '{a}/' || {ka} AS from_id, '{b}/' || {kb} AS to_id, '{kind}' AS kind FROM {t}" for t, a, ka, b, kb, kind in _EDGES) + ")",
     "metadata": "metadata AS (SELECT DISTINCT string_split(namespace, '/')[1] AS namespace, upper(substr(string_split(namespace, '/')[1], 1, 1)) || substr(string_split(namespace, '/')[1], 2) AS alias, 'Notes about ' || string_split(namespace, '/')[1] AS description, string_split(namespace, '/')[1] IN ('legal', 'orbit') AS suppressed FROM memory_rows)",

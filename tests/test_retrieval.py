@@ -75,3 +75,23 @@ def test_expand_keeps_best_chunk_inside_the_subtree(spark):
     got = R.expand(hits, near, scored).collect()
     assert [(r["neighbour_id"], r["id"], r["rank"]) for r in got] == [("n1", "c2", 1)]
     assert R.expand(hits, near, scored, cap=0).count() == 0
+
+
+def test_methods():
+    assert R.resolve_method() == "ann" and R.resolve_method(available=("knn",)) == "knn" and R.resolve_method("ann", ("knn",)) is None and R.resolve_method("knn") == "knn"
+
+
+def test_search_with_neighbours_and_bounds(spark):
+    """Neighbours are ranked among themselves by both arms; each counts once; those without a match or outside the namespace vanish."""
+    rows = [("1", "m1", "a", "dawn raid", 1.0, [1.0, 0.0]), ("2", "m2", "a/b", "dawn dawn dawn", 2.0, [0.0, 1.0]), ("3", "m2", "a/b", "dawn of it all and more", 2.0, [0.9, 0.1]), ("4", "m3", "a", "dusk", 3.0, [0.0, 0.0]), ("5", "m4", "b", "dawn dawn", 4.0, [1.0, 0.1])]
+    chunks = spark.createDataFrame([(i, m, ns, t, ts, ["x"]) for i, m, ns, t, ts, _ in rows], "id string, memory_id string, namespace string, text string, _ts_created double, kinds array<string>")
+    vectors = spark.createDataFrame([(i, m, ns, ts, v) for i, m, ns, _, ts, v in rows], "id string, memory_id string, namespace string, _ts_created double, vector array<float>")
+    near = spark.createDataFrame([("m1", n) for n in ("m2", "m3", "m4", "m2")], "memory_id string, neighbour_id string")
+    ask = dict(text="dawn", vector=[1.0, 0.0])
+    hit = next(r for r in R.hybrid_search(chunks, vectors, neighbours=near, **ask).collect() if r["id"] == "1")
+    assert [(n["rank"], n["memory_id"], n["id"]) for n in hit["neighbours"]] == [(1, "m2", "2")]  # 1/61 + 1/62 for both of its chunks
+    assert hit["neighbours"][0]["score"] == pytest.approx(1 / 61 + 1 / 62)
+    assert all(r["neighbours"] == [] for r in R.hybrid_search(chunks, vectors, neighbours=near, max_neighbours=0, **ask).collect())
+    ids = lambda **o: {r["id"] for r in R.hybrid_search(chunks, vectors, **ask, **o).collect()}
+    assert ids(memory_ids=["m2"]) == {"2", "3"} and ids(memory_ids=[]) == set() and ids(where=R.F.col("_ts_created") <= 1) == {"1"}
+    assert ids(method="lsh", weights=(0.0, 1.0)) == set() and ids(method="ann") >= {"1", "5"}

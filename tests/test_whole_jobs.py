@@ -21,10 +21,13 @@ def _documents(spark, at, rows):
 def test_as_of_bounds_rows_before_they_are_ranked(spark, tmp_path):
     """60 rows after the window, which both arms rank first, take no place of the 12 within it."""
     day = lambda y, n: datetime.datetime(y, 1, 1) + datetime.timedelta(days=n)
-    d = _documents(spark, tmp_path, [(i, "budget warehouse", day(2026, 10 + i)) for i in range(60)] + [(i, "budget warehouse of the year and more words", day(2025, 10 + i)) for i in range(100, 112)]
-                   + [(i, "nothing of this kind", day(2024, i - 200)) for i in range(200, 350)])
-    scores = {f"doc-{99 + r}": round(1 / (60 + r) + 0.5 / (60 + 13 - r), 6) for r in range(1, 13)}
-    assert {r["id"]: r["score"] for r in PR.hybrid_asof(spark, d).collect()} == dict(sorted(scores.items(), key=lambda x: -x[1])[:10])
+    d = _documents(spark, tmp_path, [(8 * i + 7, "budget warehouse", day(2026, 10 + i)) for i in range(60)] + [(i, "budget warehouse of the year and more words", day(2025, i - 990)) for i in range(1000, 1012)]
+                   + [(i, "nothing of this kind", day(2024, i - 2000)) for i in range(2000, 2150)])
+    spark.createDataFrame([(k, [float(k == i) for i in range(8)], 0) for k in range(8)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    ids = [f"doc-{i}" for i in range(1000, 1012)]
+    near = sorted(ids, key=lambda x: (int(x[4:]) % 8 != 7, x))
+    scores = {x: round(1 / (61 + ids.index(x)) + 1 / (61 + near.index(x)), 6) for x in ids}
+    assert {r["id"]: r["score"] for r in PR.hybrid_asof(spark, d).collect()} == dict(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10])
 
 
 def test_clusters_are_those_of_all_items(spark):
