@@ -41,6 +41,7 @@ SHAPED = 1 << 10  # the first buckets: features of length and place
 SURE = 0.65
 FIT_DOCS = 20_000  # the largest number of documents the sample of units is drawn from
 FIT_UNITS = 50_000  # the largest number of their units the model is fitted on
+LONG_BODY, ONE_IN = 8, 4  # of longer bodies one plain unit in so many is labelled for the sample
 HELD_OUT_HOSTS = 5  # in validation, one host in so many is not trained on
 KNOWN_WORDS = 300_000  # kept in each Python worker
 DOCS_AT_ONCE = 500
@@ -348,29 +349,27 @@ def _beginning(unit: str, words: int) -> str | None:
 
 
 def sample(docs: DataFrame, n: int) -> DataFrame:
-    """Weakly labelled units (host, idx, blind, label) of at most FIT_DOCS documents, at most FIT_UNITS; rare classes first. blind: the
-    features without the phrases that the label is given by."""
+    """Weakly labelled units (host, unit, place, label) of at most FIT_DOCS documents, at most FIT_UNITS; rare classes first. Of bodies of
+    more than LONG_BODY units, one plain unit in ONE_IN is labelled."""
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, FIT_DOCS / max(1, n)) * (1 << 20)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
         for pdf in batches:
             rows = []
             for doc, text, host in zip(pdf["doc_id"], pdf["text"], pdf["source"]):
                 body = _body(paragraphs(text)) if text and text.strip() else []
                 for i, (_, u) in enumerate(body):
+                    spread = zlib.crc32(f"{doc}:{i}".encode())
+                    if len(body) > LONG_BODY and spread % ONE_IN and not _MARK.search(u):
+                        continue
                     if label := weak_label(u):
-                        spread = zlib.crc32(f"{doc}:{i}".encode())
                         rows.append((host, u, _where(i, len(body)), CLASSES.index(label), spread if label == "clean" else spread // 16))
                         if label == "clean" and spread % 3 == 0 and (begin := _beginning(u, 3 + spread % 7)):
                             rows.append((host, begin, "alone", 0, spread))
-            if rows:
-                n = len(rows)
-                idx = _rows(*features([(r[1], r[2]) for r in rows], known), n)
-                blind = _rows(*features([(_phrases(r[1]), r[2]) for r in rows], known, False), n)
-                yield pd.DataFrame({"host": [r[0] for r in rows], "idx": idx, "blind": blind, "label": [r[3] for r in rows], "spread": [r[4] for r in rows]})
+            yield pd.DataFrame(rows, columns=["host", "unit", "place", "label", "spread"])
 
-    return spread(some.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source")).mapInPandas(run, "host string, idx array<int>, blind array<int>, label int, spread long").orderBy("spread", "idx").limit(FIT_UNITS)
+    drawn = spread(some.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source")).mapInPandas(run, "host string, unit string, place string, label int, spread long")
+    return drawn.orderBy("spread", "unit", "place").limit(FIT_UNITS).drop("spread")
 
 
 def _host_part(host: str | None) -> int:
@@ -385,12 +384,18 @@ def train(docs: DataFrame, validate: bool = True) -> tuple[np.ndarray, DataFrame
     fitted without the held-out hosts, on those hosts: with all features, and with the phrases that labels are given by
     held out of training and test."""
 
-    def scores(pdf: pd.DataFrame, column: str, name: str) -> list[tuple]:
-        rows, y = [np.asarray(r, np.int64) for r in pdf[column]], pdf["label"].to_numpy()
+    def given(pdf: pd.DataFrame, blind: bool) -> list[np.ndarray]:
+        units, known, out = [(_phrases(u) if blind else u, w) for u, w in zip(pdf["unit"], pdf["place"])], Words(), []
+        for a in range(0, len(units), 5_000):
+            out += _rows(*features(units[a : a + 5_000], known, not blind), len(units[a : a + 5_000]))
+        return out
+
+    def scores(pdf: pd.DataFrame, blind: bool, name: str) -> list[tuple]:
+        rows, y = given(pdf, blind), pdf["label"].to_numpy()
         held = pdf["host"].map(_host_part).to_numpy() == 0
         if not held.any():
             return []
-        more, classes = _seed_rows(Words(), column == "blind")
+        more, classes = _seed_rows(Words(), blind)
         w = fit([r for r, h in zip(rows, held) if not h] + more, np.concatenate([y[~held], classes]))
         test, y = [r for r, h in zip(rows, held) if h], y[held]
         p = scored(np.repeat(np.arange(len(test)), [len(r) for r in test]), np.concatenate(test), len(test), w)
@@ -398,9 +403,9 @@ def train(docs: DataFrame, validate: bool = True) -> tuple[np.ndarray, DataFrame
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         more, classes = _seed_rows(Words())
-        w = fit([np.asarray(r, np.int64) for r in pdf["idx"]] + more, np.concatenate([pdf["label"].to_numpy(), classes]))
+        w = fit(given(pdf, False) + more, np.concatenate([pdf["label"].to_numpy(), classes]))
         used = np.flatnonzero(w.any(1))
-        table = [t for c, name in (("idx", "all"), ("blind", "without the labels' phrases")) for t in scores(pdf, c, name)] if validate else []
+        table = [t for blind, name in ((False, "all"), (True, "without the labels' phrases")) for t in scores(pdf, blind, name)] if validate else []
         return pd.DataFrame({"at": [used.astype(np.int32).tobytes()], "w": [w[used].tobytes()], "scores": [[dict(zip(("features", "class", "n", "precision", "recall"), t)) for t in table]]})
 
     shape = "at binary, w binary, scores array<struct<features: string, class: string, n: long, precision: double, recall: double>>"
