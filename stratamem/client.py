@@ -45,15 +45,17 @@ class Memos:
         return a.join(c, "label_id").select("edge_id", "kind", "props")
 
     def chunks(self, system: bool = True) -> DataFrame:
-        """id, memory_id, source_key, namespace, key, text, kinds, created of every source map with a text."""
+        """id, memory_id, source_key, namespace, key, text, stems, kinds, created of every source map with a text."""
         maps = self.store.table("source_maps").select(F.col("_id").alias("id"), "memory_id", "source_key")
         maps = maps if system else maps.where(~F.col("source_key").startswith(SYSTEM_PREFIX))
         texts = self.store.table("text_features").select(F.col("source_map_id").alias("id"), "text")
+        texts = texts.join(self.store.table("text_stems").select(F.col("source_map_id").alias("id"), "stems"), "id")
         rows = maps.join(texts, "id").join(self.memos().select("memory_id", "namespace", "key", "_ts_created"), "memory_id")
         return G.with_kinds(rows, self.node_labels(), "memory_id")
 
     def vectors(self) -> DataFrame:
-        return self.store.table("vector_features").select(F.col("source_map_id").alias("id"), "memory_id", "vector")
+        v = self.store.table("vector_features").select(F.col("source_map_id").alias("id"), "memory_id", "vector")
+        return v.join(self.memos().select("memory_id", "namespace"), "memory_id")
 
     # -- reads
     def scope(self, namespaces: list[str] | None, mode: str = "subtree", suppressed: bool = False, as_of: dict | None = None, memory_ids: list[str] | None = None) -> DataFrame:
@@ -66,15 +68,58 @@ class Memos:
             m = m.where(P.as_of(**as_of))
         return (m if memory_ids is None else m.where(F.col("memory_id").isin(memory_ids))).select("memory_id")
 
-    def search(self, text: str | None = None, vector: list[float] | None = None, namespaces: list[str] | None = None, mode: str = "subtree", top_k: int = DEFAULT_TOP_K, as_of: dict | None = None, suppressed: bool = False, **options) -> DataFrame:
-        """Hits with their memory: id, score, memory_id, kinds, namespace, key, source_key, text."""
-        c = self.chunks()
-        hits = Q.hybrid_search(c, self.vectors(), text=text, vector=vector, top_k=top_k, scope=self.scope(namespaces, mode, suppressed, as_of), **options)
+    def search(self, text: str | None = None, vector: list[float] | None = None, namespaces: list[str] | None = None, mode: str = "subtree", top_k: int = DEFAULT_TOP_K, as_of: dict | None = None, suppressed: bool = False,
+               memory_ids: list[str] | None = None, neighbours: bool | dict = False, **options) -> DataFrame:
+        """Hits with their memory: id, score, memory_id, kinds, namespace, key, source_key, text, and with neighbours (True, or the
+        constraint of `neighbours`) those that match the query. memory_ids: only these memories may be seen. An edge memory's neighbours are its ends."""
+        if namespaces is not None:
+            namespaces = P.namespaces_of(None, namespaces)
+        near = None
+        if neighbours is not False:
+            ends = self.edge_ends()
+            near = G.constrained(G.neighbours(self.edges()), self.memos(), self.edge_labels(), self.node_labels(), **(neighbours if isinstance(neighbours, dict) else {})).select("memory_id", "neighbour_id").union(ends)
+        scope = self.scope(namespaces, mode, suppressed, as_of, memory_ids)
+        hits = Q.hybrid_search(self.chunks(), self.vectors(), text=text, vector=vector, top_k=top_k, scope=scope, words="stems", neighbours=near, **options)
         return self.hydrate(hits)
 
+    def edge_ends(self) -> DataFrame:
+        """(memory_id, neighbour_id): each edge memory and the memories its edge joins."""
+        own = self.memos().where("edge_id IS NOT NULL").select("memory_id", "edge_id")
+        return own.join(self.edges(), "edge_id").select("memory_id", F.explode(F.array("from_id", "to_id")).alias("neighbour_id"))
+
+    def standard_search(self, text: str | None = None, vector: list[float] | None = None, namespaces: list[str] | None = None, root: str | None = None, **options) -> DataFrame:
+        """The search with the defaults of an assistant: 12 hits, no neighbours, of memories created up to the time of an event (the last one)."""
+        log = self.log()
+        at = (R.head(log) if root is None else log.where(F.col("root") == root)).select("_ts_created").limit(1).collect()
+        return self.search(text, vector, namespaces, **({"top_k": 12, "as_of": {"lte": at[0][0]} if at else None} | options)).select("id", "score", "memory_id", "namespace", "key", "source_key", "text")
+
+    # -- single things
+    def find(self, namespace: str, key: str) -> DataFrame:
+        """memory_id, kind, node_id or edge_id of a memory by its name."""
+        m = self.memos().where((F.col("namespace") == namespace) & (F.col("key") == key)).select("memory_id", "kind", "edge_id")
+        return m.join(self.store.table("nodes").select("memory_id", F.col("_id").alias("node_id")), "memory_id", "left")
+
+    def source_maps(self, memory_id: str, newest: int) -> DataFrame:
+        """The newest source maps of a memory."""
+        if newest <= 0:
+            raise ValueError("a positive number of source maps")
+        return self.store.table("source_maps").where(F.col("memory_id") == memory_id).orderBy(F.desc("_ts_created"), "_id").limit(newest)
+
+    def of_source_map(self, source_map_id: str) -> DataFrame:
+        """memory_id, namespace, key, source_key, vector of a source map."""
+        m = self.store.table("source_maps").where(F.col("_id") == source_map_id).select("memory_id", "source_key", F.col("_id").alias("id"))
+        return m.join(self.memos().select("memory_id", "namespace", "key"), "memory_id").join(self.store.table("vector_features").select(F.col("source_map_id").alias("id"), "vector"), "id", "left")
+
+    def edge(self, edge_id: str) -> DataFrame:
+        """One edge with its ends and kinds; none if an end is suppressed."""
+        return G.edges_of(self.edges().where(F.col("edge_id") == edge_id), self.nodes(), self.edge_labels())
+
+    def suppressed_keys(self, namespace: str) -> DataFrame:
+        return self.memos().where((F.col("namespace") == namespace) & F.col("suppressed")).select("key")
+
     def hydrate(self, hits: DataFrame) -> DataFrame:
         """Hits (id, score, ...) with what they stand for, best first; unknown ids are dropped."""
-        rows = hits.join(self.chunks().select("id", "namespace", "key", "source_key", "text"), "id")
+        rows = hits.drop("namespace").join(self.chunks().select("id", "namespace", "key", "source_key", "text"), "id")
         return rows.orderBy(F.desc("score"), "id")
 
     def neighbours(self, namespace: str, key: str, **constraint) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-_KINDS = {"STRING": T.StringType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(), "BINARY": T.BinaryType(), "ARRAY<FLOAT>": T.ArrayType(T.FloatType())}
+_KINDS = {"STRING": T.StringType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(), "BINARY": T.BinaryType(), "ARRAY<FLOAT>": T.ArrayType(T.FloatType()), "ARRAY<STRING>": T.ArrayType(T.StringType())}
 
 
 def _table(columns: str) -> T.StructType:
@@ -18,6 +18,7 @@ TABLES = {
     "memos": _table("namespace STRING NOT NULL, key STRING NOT NULL, kind STRING NOT NULL, edge_id STRING, suppressed BOOLEAN NOT NULL"),
     "source_maps": _table("memory_id STRING NOT NULL, source_key STRING NOT NULL, content_hash STRING"),
     "text_features": _table("memory_id STRING NOT NULL, source_map_id STRING NOT NULL, text STRING NOT NULL"),
+    "text_stems": _table("memory_id STRING NOT NULL, source_map_id STRING NOT NULL, stems ARRAY<STRING> NOT NULL"),
     "vector_features": _table("memory_id STRING NOT NULL, source_map_id STRING NOT NULL, vector ARRAY<FLOAT> NOT NULL"),
     "nodes": _table("memory_id STRING NOT NULL, value STRING NOT NULL, properties STRING"),
     "edges": _table("from_node_id STRING NOT NULL, to_node_id STRING NOT NULL, properties STRING"),
@@ -38,6 +39,7 @@ TABLES = {
 # Fixed values of the data model.
 SYSTEM_PREFIX = "__"
 SEARCH_META_KEY = "__mem_search_meta__"
+LABEL_PROPS_KEYS = {"node": "__mem_nl_props__/", "edge": "__mem_edge_props__/"}
 GENESIS = "0" * 64
 MAX_DEPTH, MAX_CHARS = 6, 512
 ABSOLUTE_DEPTH, ABSOLUTE_CHARS = 32, 2048

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,18 @@ def _item(ns, key, text, labels=()):
 ITEM = "namespace string, key string, properties string, chunks array<struct<key: string, text: string, vector: array<float>>>, labels array<struct<kind: string, props: string>>"
 
 
+def _texts(s):
+    """The texts that were written as such, without the derived ones."""
+    own = s.table("source_maps").where("NOT startswith(source_key, '__')").select(F.col("_id").alias("source_map_id"))
+    return {r["text"] for r in s.table("text_features").join(own, "source_map_id", "left_semi").collect()}
+
+
+def _derived(s):
+    rows = s.table("source_maps").where("startswith(source_key, '__')").select(F.col("_id").alias("source_map_id"), "source_key").join(s.table("text_features").select("source_map_id", "memory_id", "text"), "source_map_id")
+    keys = {r["_id"]: r["key"] for r in s.table("memos").collect()}
+    return {(keys[r["memory_id"]], r["source_key"].split("/")[0], r["text"]) for r in rows.collect()}
+
+
 def test_store_life(spark, tmp_path):
     s = S.Store(spark, f"file://{tmp_path}/store")
     assert s.table("memos").count() == 0
@@ -79,10 +92,11 @@ def test_store_life(spark, tmp_path):
     S.suppress(s, one, 13.0)
     S.merge(s, spark.createDataFrame([_item("a", "x", "three")], ITEM), 99.0)
     m = s.table("memos").where("key = 'x'").first()
-    assert m["suppressed"] and m["_ts_created"] == 10.0 and s.table("edges").count() == 0 and {r["text"] for r in s.table("text_features").collect()} == {"two", "three"}
+    assert m["suppressed"] and m["_ts_created"] == 10.0 and s.table("edges").count() == 0 and _texts(s) == {"two", "three"}
     S.replace_feature(s, "a", "x", "body", 100.0, text="four")
-    assert {r["text"] for r in s.table("text_features").collect()} == {"two", "four"} and s.table("vector_features").count() == 2
-    S.rename_namespace(s, "a", "z")
+    assert _texts(s) == {"two", "four"} and s.table("vector_features").count() == 2 and s.table("text_stems").count() == s.table("text_features").count()
+    S.rename_namespace(s, "a", "z", now_ms=101.0)
+    assert s.table("memory_provenance").orderBy(F.desc("_ts_created")).first()["event_json"] == '{"from":"a","kind":"RENAME_NAMESPACE","recursive":true,"source_keys":[],"to":"z","v":1}'
     assert {r["namespace"] for r in s.table("memos").collect()} == {"z", "z/b"}
     moved = s.table("memos")
     for t in ("source_maps", "text_features", "vector_features", "nodes", "memory_scopes"):
@@ -94,7 +108,7 @@ def test_store_life(spark, tmp_path):
     with pytest.raises(ValueError):
         S.rename_namespace(s, "q", "z")
     S.delete(s, s.table("memos").where("key = 'x'").select(F.col("_id").alias("memory_id")), 200.0)
-    assert s.table("memos").count() == 1 and s.table("text_features").first()["text"] == "two"
+    assert s.table("memos").count() == 1 and _texts(s) == {"two"}
     ro = S.Store(spark, f"file://{tmp_path}/store", readonly=True)
     with pytest.raises(PermissionError):
         S.upsert_metadata(ro, s.table('namespace_metadata'))
@@ -102,6 +116,68 @@ def test_store_life(spark, tmp_path):
         S.Store(spark, f"file://{tmp_path}/none", readonly=True)
 
 
+def test_crashes_keep_the_last_version(spark, tmp_path, monkeypatch):
+    """A writer that dies at any step leaves what was there; a second writer from the same version is refused."""
+    path = f"file://{tmp_path}/store"
+    s = S.Store(spark, path)
+    names = lambda *n: spark.createDataFrame([(x, x, "d", False) for x in n], "namespace string, display_name string, description string, suppressed boolean")
+    have = lambda: {r["namespace"] for r in S.Store(spark, path).table("namespace_metadata").collect()}
+    S.upsert_metadata(s, names("a"))
+    for step in ("publish", "rename"):
+        with monkeypatch.context() as m:
+            def die(*_):
+                raise OSError("gone")
+
+            m.setattr(S.Store, "_publish", die) if step == "publish" else m.setattr(s, "_files", type("F", (), {"rename": die})())
+            with pytest.raises(OSError):
+                S.upsert_metadata(s, names("b"))
+        assert have() == {"a"}
+    one, two = s.change(), s.change()
+    for c, n in ((one, "c"), (two, "d")):
+        S._metadata(c, names(n))
+    one.commit()
+    with pytest.raises(RuntimeError):
+        two.commit()
+    assert have() == {"a", "c"} and s.version == 3 and s.table("namespace_metadata", 2).count() == 1
+    monkeypatch.setattr(S, "COMPACT_AT", 3)
+    S.upsert_metadata(s, names("a", "e"))
+    assert have() == {"a", "c", "e"} and len(s.manifest()["tables"]["namespace_metadata"]) == 1
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x").write_text("y")
+    with pytest.raises(ValueError):
+        S.Store(spark, f"file://{tmp_path}/other")
+
+
+def test_edges_as_memories_and_derived_chunks(spark, tmp_path):
+    s = S.Store(spark, f"file://{tmp_path}/store")
+    S.merge(s, spark.createDataFrame([_item("a", "x", "one", [("person", '{"full_name": "Ada"}')]), _item("a", "y", "two")], ITEM), 10.0)
+    ids = {r["key"]: r["_id"] for r in s.table("memos").collect()}
+    edge = "namespace string, key string, chunks array<struct<key: string, text: string, vector: array<float>>>, from_id string, to_id string, kind string, props string, properties string"
+    S.merge_edges(s, spark.createDataFrame([("a", "e", [("body", "they met", None)], ids["x"], ids["y"], "knows", '{"since": 1843}', None)], edge), 11.0)
+    meta, node, of = "__mem_search_meta__", "__mem_nl_props__", "__mem_edge_props__"
+    assert _derived(s) == {("x", meta, "edge out:y:knows\nnode:person"), ("y", meta, "edge in:x:knows"), ("x", node, "Kind: person\nfull name: Ada"), ("e", of, "Kind: knows\nsince: 1843")}
+    m = Memos(s)
+    assert [r["key"] for r in m.search(text="ada").collect()] == ["x"] and m.find("a", "e").first()["edge_id"] == m.edges().first()["edge_id"]
+    hit = m.search(text="met one two", neighbours=True).collect()
+    assert hit == [] and [n["memory_id"] for r in m.search(text="they", neighbours=True).collect() for n in r["neighbours"]] == []
+    assert {n["memory_id"] for r in m.search(vector=[1.0, 2.0], text="they met", neighbours=True).where("key = 'e'").collect() for n in r["neighbours"]} == {ids["x"], ids["y"]}
+    assert [r["key"] for r in m.search(text="one", memory_ids=[ids["y"]]).collect()] == [] and m.standard_search(text="one", root="none").count() == 1
+    assert m.source_maps(ids["x"], 1).count() == 1 and m.suppressed_keys("a").count() == 0 and m.edge(m.edges().first()["edge_id"]).first()["kinds"] == ["knows"]
+    S.suppress_namespace(s, "a", 12.0)
+    S.suppress_namespace(s, "a", 13.0)
+    assert m.search(text="one").count() == 0 and s.table("memory_provenance").where("event_type = 'SUPPRESS_NAMESPACE'").count() == 1
+    S.delete(s, spark.createDataFrame([(ids["y"],), ("none",)], "memory_id string"), 14.0)
+    assert {r["key"] for r in s.table("memos").collect()} == {"x"} and _derived(s) == {("x", meta, "node:person"), ("x", node, "Kind: person\nfull name: Ada")}
+    S.delete_namespace(s, "a", 15.0)
+    assert all(s.table(t).count() == 0 for t in ("memos", "nodes", "edges", "source_maps", "text_features", "text_stems", "vector_features", "node_label_assignments", "edge_label_assignments", "memory_scopes", "namespace_metadata"))
+    assert R.verify_chain(m.log()).where("NOT links OR NOT hashes").count() == 0
+    with pytest.raises(ValueError):
+        S.merge(s, spark.createDataFrame([_item("a", "x", "1"), _item("b", "x", "2")], ITEM), 16.0, quota=1)
+    S.ensure_scope_chain(s, ["p", "q", "r"])
+    S.ensure_scope_chain(s, ["p", "q"])
+    assert s.table("scope_closure").count() == 6
+
+
 def test_client_and_history(spark, tmp_path):
     s = S.Store(spark, f"file://{tmp_path}/store")
     S.merge(s, spark.createDataFrame([_item("a", "x", "merged budget", [("fact", "{}")]), _item("a/b", "y", "budget of dawn"), _item("c", "z", "dawn")], ITEM), 10.0)
