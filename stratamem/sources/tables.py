@@ -41,8 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path for an intermediate table, known to `release`."""
+    _KEPT.add(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return path
+
+
+_KEPT: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this session's operators have written to the shared folder so far. For when their results were read: a
+    DataFrame that an operator gave out reads from there."""
+    while _KEPT:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def keep(df: DataFrame, name: str, **options) -> DataFrame:

@@ -75,3 +75,15 @@ def test_codec_and_quota(spark):
     assert [r[0] for r in df.select(V.decode_vector(V.encode_vector("v"))).collect()] == [[1.5, -2.0], None]
     have, new = spark.createDataFrame([("a",)], "namespace string"), spark.createDataFrame([("a",), ("b",), ("c",)], "namespace string")
     assert [r[0] for r in over_quota(have, new, 2).collect()] == ["c"] and over_quota(have, new, 9).count() == 0
+
+
+def test_kept_tables_are_released(spark):
+    from stratamem.sources.tables import SharedFiles, keep, release, shared_path
+
+    path = shared_path(spark, "x")
+    spark.range(3).withColumn("b", F.col("id") % 2).write.partitionBy("b").parquet(path)
+    files = SharedFiles(path)
+    assert sorted(files.read("b=0", ["id"])["id"].to_pylist()) == [0, 2] and files.read("b=7", ["id"]) is None
+    assert keep(spark.range(3), "y").count() == 3
+    release(spark)
+    assert files.read("b=0", ["id"]) is None
