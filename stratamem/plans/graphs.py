@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratamem.functions.ids import database_id, stable_id, body_hash
 from stratamem.functions.paths import lineage
 from stratamem.functions import text as TX
-from stratamem.functions.text import jaccard, preview
+from stratamem.functions.text import preview, tokens
 from stratamem.functions.vectors import label_features, mean_pool, property_features, sketch
 from stratamem.operators import dedup as D
 from stratamem.operators import graph as G
@@ -177,10 +177,12 @@ def ontology_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each evaluation item against the next one."""
-    items = table(spark, d, "eval_items")
-    other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
-    return _round(items.join(other, "item_id").select("item_id", jaccard("text", "next").alias("jaccard")), "jaccard")
+    """All pairs of evaluation items whose token sets overlap by at least 0.1, by the tokens they share."""
+    words = table(spark, d, "eval_items").select("item_id", F.array_distinct(tokens("text")).alias("w"))
+    each = words.select("item_id", F.size("w").alias("n"), F.explode("w").alias("w"))
+    other = each.select(F.col("item_id").alias("other_id"), F.col("n").alias("m"), "w")
+    both = each.join(other, "w").where("item_id < other_id").groupBy("item_id", "other_id", "n", "m").agg(F.count("*").alias("b"))
+    return _round(both.select("item_id", "other_id", (F.col("b") / (F.col("n") + F.col("m") - F.col("b"))).alias("jaccard")).where("jaccard >= 0.1"), "jaccard")
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -296,8 +298,9 @@ SELECT id, 'chunk:' || (row_number() OVER (PARTITION BY id ORDER BY pn, k) - 1)
     "database_ids": """SELECT DISTINCT kind, owner_key, rtrim(replace(replace(base64(encode('["' || kind || '","' || owner_key || '"]')), '+', '-'), '/', '_'), '=') AS database_id FROM database_ontology_links WHERE kind IS NOT NULL AND trim(owner_key) <> ''""",
     "latest_links": f"SELECT kind, owner_key, {V._n('ontology_hash')} AS ontology_hash FROM database_ontology_links WHERE trim(owner_key) <> '' AND {V._n('ontology_hash')} <> '' QUALIFY row_number() OVER (PARTITION BY kind, owner_key ORDER BY linked_at_ms DESC, link_id DESC) = 1",
     "ontology_kinds": f"WITH o AS (SELECT {V._n('ontology_hash')} AS hash, CAST(node_kinds_json AS JSON)::VARCHAR[] AS kinds FROM ontologies) SELECT DISTINCT a.hash AS least, b.hash AS has FROM o a JOIN o b ON a.hash <> b.hash AND list_has_all(b.kinds, a.kinds)",
-    "jaccard_pairs": """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM eval_items)
-SELECT a.item_id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE, 6) + 0.0 AS jaccard FROM w a JOIN w b ON b.item_id = a.item_id + 1""",
+    "jaccard_pairs": """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM eval_items),
+j AS (SELECT a.item_id, b.item_id AS other_id, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE AS j FROM w a JOIN w b ON a.item_id < b.item_id)
+SELECT item_id, other_id, round(j, 6) + 0.0 AS jaccard FROM j WHERE j >= 0.1""",
     "dedup_pairs": f"{_PAIRS} SELECT a, b FROM pairs",
     "dedup_components": f"{_PAIRS}{_COMP} SELECT id, component FROM comp",
     "dedup_survivors": f"{_PAIRS}{_COMP} SELECT arg_max(id, CAST(substr(id, 3) AS INT)) AS id, count(*) AS n FROM comp GROUP BY component",

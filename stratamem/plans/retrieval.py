@@ -269,11 +269,14 @@ def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def autolink_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Each memory key linked to the best others of its namespace for one query: hits of the lexical arm, by source."""
-    hits = R.bm25(V.chunks(spark, d), QUERY, stem=False).select("id", "namespace", "key", F.round(-F.col("score"), 6).alias("score"))
-    sources = hits.groupBy("namespace").agg(F.min("key").alias("source_key"))
-    rows = hits.join(sources, "namespace").select("source_key", F.col("key").alias("memory_key"), F.lit("node").alias("kind"), F.col("id").alias("source_map"), "score")
-    return autolink(rows, top_k=3, min_score=1.0).select("source_key", "memory_key", "source_map", "score", "rank")
+    """The 10 best memories for each source, the memories of chunks whose number is divisible by 100, from the 25 chunks nearest to each."""
+    v = V.chunk_vectors(spark, d).join(V.chunks(spark, d).select("id", "key"), "id").select("id", F.concat("namespace", F.lit("::"), "key").alias("name"), "vector")
+    asked = v.where("CAST(substring(id, 5) AS BIGINT) % 100 = 0")
+    near = R.nearest_each(v, asked.select(F.col("id").alias("query_id"), "vector"), 25, "id")
+    hits = R.ranked(near, "id", "distance", "id", per=["query_id"]).select("query_id", "id", (1 / (60 + F.col("rank"))).alias("score"))
+    rows = hits.join(asked.select(F.col("id").alias("query_id"), F.col("name").alias("source_key")), "query_id").join(v.select("id", F.col("name").alias("memory_key")), "id")
+    links = autolink(rows.select("source_key", "memory_key", F.lit("node").alias("kind"), F.col("id").alias("source_map"), "score"), top_k=10)
+    return _round(links.select("source_key", "memory_key", "source_map", "score", "rank"), "score")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -409,9 +412,9 @@ SELECT namespace, round(score, 6) + 0.0 AS score FROM fused ORDER BY fused.score
 pairs AS (SELECT from_id AS a, to_id AS b FROM edges_ UNION SELECT to_id, from_id FROM edges_),
 found AS (SELECT p.a AS hit_id, p.b AS neighbour_id, CAST(n.key AS DOUBLE) AS score FROM pairs p JOIN nodes_ h ON h.memory_id = p.a AND h.namespace = 'geo/nation' JOIN nodes_ n ON n.memory_id = p.b WHERE starts_with(n.namespace, 'crm/'))
 SELECT hit_id, neighbour_id, CAST(row_number() OVER (PARTITION BY hit_id ORDER BY score DESC, neighbour_id) AS INT) AS rank FROM found QUALIFY rank <= 5""",
-    "autolink_edges": f"""{V.sql('chunks')}, {_bm25(QUERY)}, r AS (SELECT id, namespace, key, round(-score, 6) AS score FROM hits),
-src AS (SELECT namespace, min(key) AS source_key FROM r GROUP BY 1),
-cand AS (SELECT source_key, key AS memory_key, id AS source_map, score FROM r JOIN src USING (namespace) WHERE key <> source_key),
-best AS (SELECT *, row_number() OVER (PARTITION BY source_key, memory_key ORDER BY score DESC, source_map DESC) AS n FROM cand QUALIFY n = 1)
-SELECT source_key, memory_key, source_map, score, CAST(row_number() OVER (PARTITION BY source_key ORDER BY score DESC, memory_key) - 1 AS INT) AS rank FROM best WHERE score >= 1.0 QUALIFY rank < 3""",
+    "autolink_edges": f"""{V.sql('chunks', 'embeds', 'chunk_vectors')}, named AS (SELECT v.id, v.namespace || '::' || c.key AS name, v.vector FROM cvec v JOIN chunks c USING (id)),
+q AS (SELECT id AS query_id, name AS source_key, vector AS qv FROM named WHERE CAST(substr(id, 5) AS BIGINT) % 100 = 0),
+near AS (SELECT query_id, source_key, id, name AS memory_key, row_number() OVER (PARTITION BY query_id ORDER BY round({_FAR}, 12), id) AS place FROM named, q QUALIFY place <= 25),
+best AS (SELECT source_key, memory_key, id AS source_map, 1.0::DOUBLE / (60 + place) AS s FROM near WHERE memory_key <> source_key QUALIFY row_number() OVER (PARTITION BY source_key, memory_key ORDER BY place, id DESC) = 1)
+SELECT source_key, memory_key, source_map, round(s, 6) + 0.0 AS score, CAST(row_number() OVER (PARTITION BY source_key ORDER BY s DESC, memory_key) - 1 AS INT) AS rank FROM best QUALIFY rank < 10""",
 }
