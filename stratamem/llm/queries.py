@@ -74,7 +74,15 @@ def p8_validation(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_chunk_counts, p5_found, p5_neighbours, p6_batches, p6_waste, p7_found, p7_near, p8_found, p8_kinds, p8_agreement, p8_validation)}
 
+_NEAR = """
+WITH one AS (SELECT source_map_id AS id, any_value(vector) AS v FROM vector_features
+  WHERE source_map_id IS NOT NULL AND len(vector) IN (512, 768) AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1),
+unit AS (SELECT id, CAST(v AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))) AS n FROM one),
+near AS (SELECT a.id, b.id AS neighbour, list_dot_product(a.v, b.v) / (a.n * b.n) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v) / (a.n * b.n), 12) DESC, b.id) AS rank
+  FROM unit a JOIN unit b ON len(a.v) = len(b.v) AND a.id <> b.id QUALIFY rank <= 5)"""  # brute force
+
 SQL = {
+    "p5_found": _NEAR + " SELECT DISTINCT least(id, neighbour) AS source_map_id_a, greatest(id, neighbour) AS source_map_id_b FROM near",
     "p2_found": """
 SELECT DISTINCT input_id FROM text_to_content
 WHERE length(trim(replace(text, E'\\r\\n', E'\\n'), E' \\t\\n')) > CASE WHEN max_chunk_chars >= 1 THEN max_chunk_chars ELSE 2000 END""",
