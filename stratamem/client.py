@@ -71,7 +71,7 @@ class Memos:
     def search(self, text: str | None = None, vector: list[float] | None = None, namespaces: list[str] | None = None, mode: str = "subtree", top_k: int = DEFAULT_TOP_K, as_of: dict | None = None, suppressed: bool = False,
                memory_ids: list[str] | None = None, neighbours: bool | dict = False, **options) -> DataFrame:
         """Hits with their memory: id, score, memory_id, kinds, namespace, key, source_key, text, and with neighbours (True, or the
-        constraint of `neighbours`) those that match the query. memory_ids: only these memories may be seen. An edge memory's neighbours are its ends."""
+        constraint of `neighbours`) those that match the query. memory_ids: only these memos may be seen. An edge memory's neighbours are its ends."""
         if namespaces is not None:
             namespaces = P.namespaces_of(None, namespaces)
         near = None
@@ -83,12 +83,12 @@ class Memos:
         return self.hydrate(hits)
 
     def edge_ends(self) -> DataFrame:
-        """(memory_id, neighbour_id): each edge memory and the memories its edge joins."""
+        """(memory_id, neighbour_id): each edge memory and the memos its edge joins."""
         own = self.memos().where("edge_id IS NOT NULL").select("memory_id", "edge_id")
         return own.join(self.edges(), "edge_id").select("memory_id", F.explode(F.array("from_id", "to_id")).alias("neighbour_id"))
 
     def standard_search(self, text: str | None = None, vector: list[float] | None = None, namespaces: list[str] | None = None, root: str | None = None, **options) -> DataFrame:
-        """The search with the defaults of an assistant: 12 hits, no neighbours, of memories created up to the time of an event (the last one)."""
+        """The search with the defaults of an assistant: 12 hits, no neighbours, of memos created up to the time of an event (the last one)."""
         log = self.log()
         at = (R.head(log) if root is None else log.where(F.col("root") == root)).select("_ts_created").limit(1).collect()
         return self.search(text, vector, namespaces, **({"top_k": 12, "as_of": {"lte": at[0][0]} if at else None} | options)).select("id", "score", "memory_id", "namespace", "key", "source_key", "text")

@@ -184,7 +184,7 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame | None, *, text: str | N
     least); with the method ann the vector arm is cut to as many before what may be seen is settled. Labels (all, some) and
     min_score are applied to the fused list, then top_k.
 
-    With neighbours (memory_id, neighbour_id) each hit has `neighbours`: the memories next to its own, inside the hit's
+    With neighbours (memory_id, neighbour_id) each hit has `neighbours`: the memos next to its own, inside the hit's
     namespace, that match the same query, ranked by the same arms among themselves (`neighbour_search`); chunks and vectors
     then have a namespace too."""
     n, method = overfetch(top_k), resolve_method(method)

@@ -269,7 +269,7 @@ def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def autolink_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 best memories for each source, the memories of chunks whose number is divisible by 100, from the 25 chunks nearest to each."""
+    """The 10 best memos for each source, the memos of chunks whose number is divisible by 100, from the 25 chunks nearest to each."""
     v = V.chunk_vectors(spark, d).join(V.chunks(spark, d).select("id", "key"), "id").select("id", F.concat("namespace", F.lit("::"), "key").alias("name"), "vector")
     asked = v.where("CAST(substring(id, 5) AS BIGINT) % 100 = 0")
     near = R.nearest_each(v, asked.select(F.col("id").alias("query_id"), "vector"), 25, "id")

@@ -45,7 +45,7 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """(memory_id, neighbour_id), both ways: the memories of chunks of one namespace in the same hundred of numbers."""
+    """(memory_id, neighbour_id), both ways: the memos of chunks of one namespace in the same hundred of numbers."""
     c = chunks(spark, d).select("namespace", F.floor(F.substring("id", 5, 20).cast("long") / 100).alias("hundred"), "memory_id")
     p = c.join(c.withColumnRenamed("memory_id", "neighbour_id"), ["namespace", "hundred"])
     return p.where("memory_id <> neighbour_id").select("memory_id", "neighbour_id").distinct()

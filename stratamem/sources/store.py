@@ -220,7 +220,7 @@ def logged(c: Change, kind: str, events: DataFrame, now_ms: float, facets: bool
 
 
 def _events(memos: DataFrame, ids: DataFrame) -> DataFrame:
-    """Events without contents for the memories `ids` (memory_id)."""
+    """Events without contents for the memos `ids` (memory_id)."""
     return memos.join(ids.select(F.col("memory_id").alias("_id")).distinct(), "_id", "left_semi").select("namespace", F.col("key").alias("memory_key"), F.array().cast(CONTENTS).alias("contents"))
 
 
@@ -233,14 +233,14 @@ def memory_id(ns="namespace", key="key"):
 
 
 def _incident(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges with an end at the memories `ids`, each once."""
+    """Edges with an end at the memos `ids`, each once."""
     own = _of(nodes, ids, "memory_id").select(F.col("_id").alias("node"))
     return edges.join(own, edges["from_node_id"] == own["node"], "left_semi").unionByName(edges.join(own, edges["to_node_id"] == own["node"], "left_semi")).dropDuplicates(["_id"])
 
 
 def cleared(c: Change, ids: DataFrame) -> None:
-    """Removes what hangs on the memories `ids` (memory_id): features, labels, nodes, incident edges and the memories of those edges; and
-    of edge memories, their edge. The rows of the memories themselves stay."""
+    """Removes what hangs on the memos `ids` (memory_id): features, labels, nodes, incident edges and the memos of those edges; and
+    of edge memos, their edge. The rows of the memos themselves stay."""
     s = c.store
     memos, nodes, edges = s.table("memos"), s.table("nodes"), s.table("edges")
     owned = _of(memos, ids, "_id").where("edge_id IS NOT NULL").select(F.col("edge_id").alias("_id"))
@@ -261,7 +261,7 @@ def _known_labels(c: Change, table: str, kinds: DataFrame, prefix: str, t: Colum
 
 
 def _memo_rows(c: Change, items: DataFrame, kind: str, edge: Column, now_ms: float) -> None:
-    """The rows of memories (memory_id, namespace, key); the time of creation and suppression stay."""
+    """The rows of memos (memory_id, namespace, key); the time of creation and suppression stay."""
     old = c.store.table("memos").select(F.col("_id").alias("memory_id"), F.col("suppressed").alias("was"), F.col("_ts_created").alias("since"))
     c.add("memos", items.join(old, "memory_id", "left").select("namespace", "key", F.lit(kind).alias("kind"), edge.alias("edge_id"), F.coalesce("was", F.lit(False)).alias("suppressed"), F.col("memory_id").alias("_id"), F.coalesce("since", F.lit(float(now_ms))).alias("_ts_created")))
 
@@ -286,7 +286,7 @@ def _checked(c: Change, items: DataFrame, quota: int | None) -> DataFrame:
 
 
 def derived(c: Change, ids: DataFrame, now_ms: float, formatter: Callable[[Column, Column], Column] | None = None) -> None:
-    """The chunks that follow from the graph, for the memories `ids` (memory_id) as they will be: one with the kinds of its labels and the keys
+    """The chunks that follow from the graph, for the memos `ids` (memory_id) as they will be: one with the kinds of its labels and the keys
     and kinds of its neighbours, and one for each of its labels (of an edge memory, its edge's) that has properties."""
     t = F.lit(float(now_ms)).alias("_ts_created")
     memos, nodes, edges = c.after("memos"), c.after("nodes"), c.after("edges")
@@ -312,7 +312,7 @@ def derived(c: Change, ids: DataFrame, now_ms: float, formatter: Callable[[Colum
 
 
 def _around(s: Store, ids: DataFrame) -> DataFrame:
-    """The memories `ids` and those next to them now."""
+    """The memos `ids` and those next to them now."""
     near = _incident(s.table("nodes"), s.table("edges"), ids)
     at = s.table("nodes").select(F.col("_id").alias("n"), "memory_id")
     ends = near.select(F.explode(F.array("from_node_id", "to_node_id")).alias("n")).join(at, "n").select("memory_id")
@@ -320,7 +320,7 @@ def _around(s: Store, ids: DataFrame) -> DataFrame:
 
 
 def merge(s: Store, items: DataFrame, now_ms: float, formatter: Callable[[Column, Column], Column] | None = None, quota: int | None = None) -> None:
-    """Writes node memories: items have namespace, key, properties?, chunks array<struct<key, text, vector>>, labels
+    """Writes node memos: items have namespace, key, properties?, chunks array<struct<key, text, vector>>, labels
     array<struct<kind, props>>. What hung on them before is replaced; time of creation and suppression stay. Of several labels
     of one kind the last wins; illegal namespaces, and more namespaces than a quota, are refused. The chunks derived from
     the graph are made anew for them and for those that were next to them."""
@@ -342,7 +342,7 @@ def merge(s: Store, items: DataFrame, now_ms: float, formatter: Callable[[Column
 
 
 def _edge_rows(c: Change, edges: DataFrame, t: Column) -> DataFrame:
-    """Writes edges (from_id, to_id, kind, props?, properties?) between memories that must have nodes; with their ids."""
+    """Writes edges (from_id, to_id, kind, props?, properties?) between memos that must have nodes; with their ids."""
     node = c.store.table("nodes").select(F.col("_id").alias("n"), F.col("memory_id").alias("m"))
     known = edges.join(node.select(F.col("m").alias("from_id"), F.col("n").alias("from_node_id")), "from_id", "left").join(node.select(F.col("m").alias("to_id"), F.col("n").alias("to_node_id")), "to_id", "left")
     if known.where("from_node_id IS NULL OR to_node_id IS NULL").take(1):
@@ -369,7 +369,7 @@ def link(s: Store, edges: DataFrame, now_ms: float) -> None:
 
 
 def merge_edges(s: Store, items: DataFrame, now_ms: float, formatter: Callable[[Column, Column], Column] | None = None) -> None:
-    """Writes edges that are memories themselves: items have namespace, key, chunks, from_id, to_id, kind, props?, properties?. What hung on
+    """Writes edges that are memos themselves: items have namespace, key, chunks, from_id, to_id, kind, props?, properties?. What hung on
     them before is replaced, their edge too."""
     c = s.change()
     items = keep(_checked(c, items, None), "items")
@@ -400,7 +400,7 @@ def replace_feature(s: Store, ns: str, key: str, source_key: str, now_ms: float,
 
 
 def delete(s: Store, ids: DataFrame, now_ms: float) -> None:
-    """Deletes memories (memory_id) with all that hangs on them, one event each; unknown ids are nothing to delete."""
+    """Deletes memos (memory_id) with all that hangs on them, one event each; unknown ids are nothing to delete."""
     c = s.change()
     ids = keep(_of(s.table("memos"), ids, "_id").select(F.col("_id").alias("memory_id")), "delete")
     around = _around(s, ids)
@@ -412,7 +412,7 @@ def delete(s: Store, ids: DataFrame, now_ms: float) -> None:
 
 
 def delete_namespace(s: Store, namespace: str, now_ms: float, recursive: bool = True) -> None:
-    """Deletes the memories of a namespace, and of those below it, and its metadata."""
+    """Deletes the memos of a namespace, and of those below it, and its metadata."""
     hit = under("namespace", namespace) if recursive else F.col("namespace") == namespace
     delete(s, s.table("memos").where(hit).select(F.col("_id").alias("memory_id")), now_ms)
     c = s.change()
@@ -421,7 +421,7 @@ def delete_namespace(s: Store, namespace: str, now_ms: float, recursive: bool =
 
 
 def suppress(s: Store, ids: DataFrame, now_ms: float, flag: bool = True) -> None:
-    """Hides memories (memory_id) from reads, or shows them again; writes stay allowed. Those that are so already give no event."""
+    """Hides memos (memory_id) from reads, or shows them again; writes stay allowed. Those that are so already give no event."""
     rows = keep(_of(s.table("memos").where(F.coalesce("suppressed", F.lit(False)) != flag), ids, "_id"), "suppress")
     if not rows.take(1):
         return
@@ -500,7 +500,7 @@ def _scopes(s: Store, edges: DataFrame) -> None:
 
 
 def replace_scopes(s: Store, rows: DataFrame) -> None:
-    """Attaches memories to scopes (memory_id, scope_id) in place of those they were attached to."""
+    """Attaches memos to scopes (memory_id, scope_id) in place of those they were attached to."""
     c = s.change()
     c.remove("memory_scopes", _of(s.table("memory_scopes"), rows, "memory_id"))
     c.add("memory_scopes", rows.distinct().select("memory_id", "scope_id", stable_id("ms", F.col("memory_id"), F.col("scope_id")).alias("_id"), F.lit(0.0).alias("_ts_created")))
@@ -529,7 +529,7 @@ def payloads(s: Store, fields: DataFrame, cold_path: str | None = None) -> DataF
 
 
 def rename_namespace(s: Store, old: str, new: str, recursive: bool = True, now_ms: float = 0.0) -> None:
-    """Moves memories to the renamed namespace, with one event. Their ids follow from their names, so every reference is rewritten; a memory
+    """Moves memos to the renamed namespace, with one event. Their ids follow from their names, so every reference is rewritten; a memory
     that is already there is a collision and nothing is changed. The outbox keeps the names under which its rows were written."""
     hit = under("namespace", old) if recursive else F.col("namespace") == old
     memos, c = s.table("memos"), s.change()

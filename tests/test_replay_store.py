@@ -148,7 +148,7 @@ def test_crashes_keep_the_last_version(spark, tmp_path, monkeypatch):
         S.Store(spark, f"file://{tmp_path}/other")
 
 
-def test_edges_as_memories_and_derived_chunks(spark, tmp_path):
+def test_edges_as_memos_and_derived_chunks(spark, tmp_path):
     s = S.Store(spark, f"file://{tmp_path}/store")
     S.merge(s, spark.createDataFrame([_item("a", "x", "one", [("person", '{"full_name": "Ada"}')]), _item("a", "y", "two")], ITEM), 10.0)
     ids = {r["key"]: r["_id"] for r in s.table("memos").collect()}
