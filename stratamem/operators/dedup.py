@@ -1,13 +1,14 @@
 """Semantic duplicates: clusters, threshold graph, connected components, survivors.
 
 items: id, vector, text, created_at. Exact copies (equal vector and text) are one item for the pair search and rejoin it
-as links to their smallest id, so a large group of copies makes no pairs. Pairs are only searched within a cluster, in
-blocks of rows: a cluster of any size is spread over many tasks and no task holds more than two blocks."""
+as links to their smallest id, so a large group of copies makes no pairs. Links are only searched within a cluster, in
+blocks of rows: a cluster of any size is spread over many tasks and no task holds more than two blocks, nor gives more links
+than these have rows."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,11 @@ def seeded(seed: int):
     return draw
 
 
+def _closest(unit: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The first of the closest centroids; products equal to 12 places are ties, as the order of a sum differs with the block."""
+    return (unit @ c.T).round(12).argmax(1)
+
+
 def centroids(unit: np.ndarray, k: int, rounds: int = MAX_ROUNDS, seed: int = 1) -> np.ndarray:
     """Spherical k-means: seeds are drawn rows, an empty cluster keeps its centroid, ties go to the first one."""
     n = len(unit)
@@ -57,7 +63,7 @@ def centroids(unit: np.ndarray, k: int, rounds: int = MAX_ROUNDS, seed: int = 1)
             picked.append(i)
     c, old = unit[picked].copy(), None
     for _ in range(rounds):
-        at = (unit @ c.T).argmax(1)
+        at = _closest(unit, c)
         for j in np.unique(at):
             mean = unit[at == j].mean(0)
             c[j] = mean / (np.linalg.norm(mean) or 1)
@@ -89,7 +95,7 @@ def _moved(packed: DataFrame, c: np.ndarray) -> np.ndarray:
             x = np.frombuffer(b"".join(b.column(0).to_pylist())).reshape(-1, dim)
             if not len(x):
                 continue
-            at = (x @ c.T).argmax(1)
+            at = _closest(x, c)
             order = np.argsort(at, kind="stable")
             own, first = np.unique(at[order], return_index=True)
             s[own] += np.add.reduceat(x[order], first, axis=0)
@@ -135,7 +141,7 @@ def assign(items: DataFrame, k: int | None = None, kept: bool = False) -> DataFr
 
     @F.pandas_udf("int")
     def nearest(v: pd.Series) -> pd.Series:
-        return pd.Series((_unit(v) @ c.T).argmax(1) if len(v) else [], dtype="int32")
+        return pd.Series(_closest(_unit(v), c) if len(v) else [], dtype="int32")
 
     return items.withColumn("cluster", nearest("vector"))
 
@@ -149,12 +155,16 @@ def copies(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tied.where(~same | (F.col("id") == F.col("r.id"))).select(*items.columns), tied.where(same & (F.col("id") != F.col("r.id"))).select(F.col("r.id").alias("a"), F.col("id").alias("b"))
 
 
-def similar_pairs(items: DataFrame, epsilon: float) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of one cluster with cosine similarity of at least 1 - epsilon."""
+def _met(items: DataFrame) -> DataFrame:
+    """`items` (cluster and others) once for each pair of blocks (i, j) of its cluster that its own block is in."""
     sizes = items.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = items.select("id", "vector", "cluster").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = items.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("id", "vector", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def similar_pairs(items: DataFrame, epsilon: float) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of one cluster with cosine similarity of at least 1 - epsilon."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -168,16 +178,51 @@ def similar_pairs(items: DataFrame, epsilon: float) -> DataFrame:
         return pd.DataFrame({"a": np.minimum(a[ok], b[ok]), "b": np.maximum(a[ok], b[ok]), "similarity": s[x, y][ok]})
 
     kind = dict(items.dtypes)["id"]
-    return met.groupBy("cluster", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
+    return _met(items.select("id", "vector", "cluster")).groupBy("cluster", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
+
+
+def _forest(s: np.ndarray, least: float, same: bool, alike: Callable[[int, int], bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The most similar links between rows and columns (of one block, if `same`) that join what is joined by the pairs of at least
+    `least` that are alike: as many as there are rows at most, with which each threshold above gives the same groups."""
+    x, y = np.nonzero(s >= least)
+    if same:
+        x, y = x[x < y], y[x < y]
+    order = np.argsort(-s[x, y], kind="stable")
+    x, y = x[order], y[order]
+    off = 0 if same else s.shape[0]
+    group, took = np.arange(off + s.shape[1]), []
+    for c in range(0, len(x), 4096):
+        rest = np.arange(c, min(c + 4096, len(x)))
+        for k in rest[group[x[rest]] != group[y[rest] + off]]:
+            a, b = group[x[k]], group[y[k] + off]
+            if a != b and alike(x[k], y[k]):
+                group[group == b] = a
+                took.append(k)
+    return x[took], y[took]
+
+
+def links(items: DataFrame, epsilon: float, min_jaccard: float = 0.0) -> DataFrame:
+    """(a, b, similarity): links that join within each cluster what is joined by all pairs with cosine similarity of at least 1 -
+    epsilon whose texts' token sets overlap by at least min_jaccard. A block gives no more links than it has rows."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        s = _unit(left["vector"]) @ _unit(right["vector"]).T
+        lw, rw = (side["words"].map(frozenset).to_list() for side in (left, right))
+
+        def alike(x: int, y: int) -> bool:
+            both = len(lw[x] & rw[y])
+            return min_jaccard <= 0 or (both >= min_jaccard * (len(lw[x]) + len(rw[y]) - both) if lw[x] or rw[y] else min_jaccard <= 1)
 
-def overlapping(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts' token sets overlap by at least `least` (Jaccard)."""
-    words = items.select("id", "text").dropDuplicates(["id"]).select("id", F.array_distinct(tokens("text")).alias("w"))
-    rows = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    both = F.size(F.array_intersect("wa", "wb"))
-    score = F.when((F.size("wa") == 0) & (F.size("wb") == 0), 1.0).otherwise(both / F.nullif(F.size("wa") + F.size("wb") - both, F.lit(0)))
-    return rows.where(score >= least).drop("wa", "wb")
+        x, y = _forest(s, 1 - epsilon, i == j, alike)
+        return pd.DataFrame({"a": left["id"].to_numpy()[x], "b": right["id"].to_numpy()[y], "similarity": s[x, y]})
+
+    kind = dict(items.dtypes)["id"]
+    words = F.transform(F.array_distinct(tokens("text")), lambda w: F.xxhash64(w)) if min_jaccard > 0 else F.array().cast("array<bigint>")
+    return _met(items.select("id", "vector", "cluster", words.alias("words"))).groupBy("cluster", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
 def groups(items: DataFrame, epsilon: float = 0.05, min_jaccard: float = 0.1, without: DataFrame | None = None) -> DataFrame:
@@ -187,16 +232,19 @@ def groups(items: DataFrame, epsilon: float = 0.05, min_jaccard: float = 0.1, wi
         items = items.join(without.select("id"), "id", "left_anti")
     items = keep(items, "dedup")
     apart, tied = copies(items)
-    pairs = similar_pairs(apart, epsilon)
-    if min_jaccard > 0:
-        pairs = overlapping(pairs, apart, min_jaccard)
-    members = components(pairs.select("a", "b").union(tied))
+    members = components(links(apart, epsilon, min_jaccard).select("a", "b").union(tied))
     rows = members.join(items.select("id", "created_at", F.length(F.coalesce("text", F.lit(""))).alias("len")).dropDuplicates(["id"]), "id")
     best = rows.groupBy("component").agg(F.max(F.struct("created_at", "len")).alias("m"), F.count("*").alias("n"))
     first = rows.join(best, "component").where((F.col("created_at") == F.col("m.created_at")) & (F.col("len") == F.col("m.len"))).groupBy("component").agg(F.min("id").alias("kept"), F.first("n").alias("n"))
     return members.join(first, "component").select("id", "component", (F.col("id") == F.col("kept")).alias("keep"), "n")
 
 
+def applied(items: DataFrame, grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`items` without the duplicates, and (id, kept): what each duplicate is to be replaced by."""
+    out = grouped.where("NOT keep").select("id", "component").join(grouped.where("keep").select("component", F.col("id").alias("kept")), "component").select("id", "kept")
+    return items.join(out.select("id"), "id", "left_anti"), out
+
+
 def keep_fraction(items: DataFrame, grouped: DataFrame) -> float:
     n, dropped = items.count(), grouped.where("NOT keep").count()
     return 1.0 if not n else (n - dropped) / n
@@ -206,8 +254,7 @@ def calibrate(items: DataFrame, target: float, min_jaccard: float = 0.1, rounds:
     """The epsilon whose keep fraction comes closest to the target from above, by bisection over pairs computed once."""
     items = keep(items, "calibrate")
     apart, tied = copies(items)
-    pairs = similar_pairs(apart, widest)
-    pairs = keep(overlapping(pairs, apart, min_jaccard) if min_jaccard > 0 else pairs, "pairs")
+    pairs = keep(links(apart, widest, min_jaccard), "pairs")  # the most similar ones: right for every narrower threshold
     n, low, high = items.count(), 0.0, widest
     for _ in range(rounds):
         mid = (low + high) / 2

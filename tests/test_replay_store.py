@@ -279,6 +279,30 @@ def test_blocks_cover_all_pairs(spark, monkeypatch):
     assert D.similar_pairs(items, 0.01).distinct().count() == 40 * 39 // 2
 
 
+def test_links_join_what_all_pairs_join(spark, monkeypatch):
+    """At each threshold the links give the groups of all pairs that overlap, and are fewer than the rows of their blocks."""
+    monkeypatch.setattr(D, "BLOCK", 20)
+    rng = np.random.default_rng(4)
+    words = "red green blue grey black white".split()
+    rows = [(f"{i:03d}", (rng.normal(size=3) + 3 * np.eye(3)[i % 3]).tolist(), " ".join(rng.choice(words, 2)), i % 2) for i in range(90)]
+    items = spark.createDataFrame(rows, "id string, vector array<double>, text string, cluster int")
+    link = D.links(items, 0.3, 0.4)
+    assert link.count() < 6 * 40 * 2
+    unit = {r[0]: np.array(r[1]) / np.linalg.norm(r[1]) for r in rows}
+
+    def parts(pairs):
+        of = {r[0]: r[0] for r in rows}
+        for a, b in pairs:
+            low, high = sorted((of[a], of[b]))
+            of = {k: low if v == high else v for k, v in of.items()}
+        return of
+
+    for eps in (0.3, 0.1, 0.02):
+        jac = lambda a, b: len(set(a) & set(b)) >= 0.4 * len(set(a) | set(b))
+        want = [(a[0], b[0]) for i, a in enumerate(rows) for b in rows[:i] if a[3] == b[3] and unit[a[0]] @ unit[b[0]] >= 1 - eps and jac(a[2].split(), b[2].split())]
+        assert parts([(r["a"], r["b"]) for r in link.where(f"similarity >= {1 - eps}").collect()]) == parts(want)
+
+
 def test_links_and_layout(spark):
     hits = spark.createDataFrame([("s", "s", "node", "m0", 9.0), ("s", "a", "node", "m1", 1.0), ("s", "a", "node", "m2", 2.0), ("s", "b", "edge", "m3", 5.0), ("s", "c", None, "m4", 2.0)], "source_key string, memory_key string, kind string, source_map string, score double")
     assert [(r["memory_key"], r["source_map"], r["rank"]) for r in L.autolink(hits).orderBy("rank").collect()] == [("a", "m2", 0), ("c", "m4", 1)]
