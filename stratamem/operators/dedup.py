@@ -25,6 +25,7 @@ from stratamem.sources.tables import keep, spread
 
 BLOCK = 2_048
 MAX_ROUNDS = 40
+DRIVER_BYTES = 32 << 20  # of sums that the tasks of a k-means round may send without a shuffle
 
 
 def default_k(n: int) -> int:
@@ -84,7 +85,7 @@ def _packed(v: pd.Series) -> pd.Series:
     return pd.Series([x.tobytes() for x in _unit(v)], dtype=object)
 
 
-def _moved(packed: DataFrame, c: np.ndarray) -> np.ndarray:
+def _moved(packed: DataFrame, c: np.ndarray, tasks: int) -> np.ndarray:
     """The centroids after one round over all rows: sums and counts per cluster and task, added up per cluster in the order
     of the tasks, so that equal assignments give equal centroids."""
     k, dim = c.shape
@@ -106,12 +107,17 @@ def _moved(packed: DataFrame, c: np.ndarray) -> np.ndarray:
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(b) for b in pdf.sort_values("task")["s"]], axis=0)
-        return pd.DataFrame({"j": pdf["j"].iloc[:1], "n": [pdf["n"].sum()], "s": [total.tobytes()]})
-
-    out = c.copy()
-    for r in packed.mapInArrow(part, "j int, task int, n long, s binary").groupBy("j").applyInPandas(add, "j int, n long, s binary").collect():  # k centroids
-        mean = np.frombuffer(bytes(r["s"])) / r["n"]
-        out[r["j"]] = mean / (np.linalg.norm(mean) or 1)
+        return pd.DataFrame({"j": pdf["j"].iloc[:1], "task": 0, "n": [pdf["n"].sum()], "s": [total.tobytes()]})
+
+    sums, out = packed.mapInArrow(part, "j int, task int, n long, s binary"), c.copy()
+    if tasks * k * dim * 8 > DRIVER_BYTES:
+        sums = sums.groupBy("j").applyInPandas(add, "j int, task int, n long, s binary")
+    got: dict[int, list] = {}
+    for r in sums.collect():  # k centroids, or as many from each task if they are known to be few bytes
+        got.setdefault(r["j"], []).append((r["task"], r["n"], np.frombuffer(bytes(r["s"]))))
+    for j, parts in got.items():
+        mean = np.sum([x for _, _, x in sorted(parts, key=lambda p: p[0])], axis=0) / sum(n for _, n, _ in parts)
+        out[j] = mean / (np.linalg.norm(mean) or 1)
     return out
 
 
@@ -134,8 +140,9 @@ def assign(items: DataFrame, k: int | None = None, kept: bool = False) -> DataFr
     seeds = items.join(F.broadcast(ids), "id").orderBy("place").select("vector").collect()  # k of them
     c = _unit([r["vector"] for r in seeds])
     packed = keep(spread(items.select("vector")).select(_packed("vector").alias("x")), "packed")
+    tasks = packed.rdd.getNumPartitions()
     for _ in range(MAX_ROUNDS):
-        old, c = c, _moved(packed, c)
+        old, c = c, _moved(packed, c, tasks)
         if np.array_equal(old, c):
             break
 
